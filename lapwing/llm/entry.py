@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lapwing.llm import bpe, exact, simhash
+from lapwing.llm import bpe, exact, quality, simhash
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op4_quality_rules": quality.op4_quality_rules,
         "op6_simhash": simhash.op6_simhash,
         "op7_exact_dedup": exact.op7_exact_dedup,
     }
