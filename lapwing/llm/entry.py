@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lapwing.llm import bpe, exact, quality, simhash
+from lapwing.llm import bpe, exact, packing, quality, simhash
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_quality_rules": quality.op4_quality_rules,
         "op6_simhash": simhash.op6_simhash,
         "op7_exact_dedup": exact.op7_exact_dedup,
+        "op8_packing": packing.op8_packing,
     }
 
 
