@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lapwing.llm import bpe, exact, packing, quality, simhash
+from lapwing.llm import bpe, exact, packing, pii, quality, simhash
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op6_simhash": simhash.op6_simhash,
         "op7_exact_dedup": exact.op7_exact_dedup,
         "op8_packing": packing.op8_packing,
+        "op10_pii": pii.op10_pii,
     }
 
 
