@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lapwing.llm import bpe, exact, packing, pii, quality, simhash
 
 
@@ -13,6 +14,7 @@ def queries() -> dict:
         "op7_exact_dedup": exact.op7_exact_dedup,
         "op8_packing": packing.op8_packing,
         "op10_pii": pii.op10_pii,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -92,6 +92,12 @@ def exact_dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     return done.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def drop_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
+    """The documents that stay, with their own columns."""
+    stay = exact_dedup(docs, counters).where("kept").select(F.col("doc_id").alias("_stays"))
+    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stays")), "left_semi")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

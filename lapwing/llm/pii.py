@@ -79,15 +79,18 @@ def _votes_sql(x: str = "x") -> str:
     return f"concat({', '.join(f'({v})' for v in (form, gaz, context, shape, around))})"
 
 
-def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, base spans by kind (arrays of s and e) and cands (kind, s, e, votes) of each text."""
-    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+def candidates(docs: DataFrame, text: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id, base spans by kind (arrays of s and e) and cands (kind, s, e, votes) of
+    each text; with ``carry``, also the document itself, as the struct ``row``."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * carry
+    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"), *row)
+    carried = ["row"] * carry
     base = [f"{spans_sql(kind, *BASE[kind])} AS {kind}" for kind in BASE]
     wider = [spans_sql(kind, *WIDER[kind]) for kind in WIDER]
-    t = t.selectExpr("doc_id", "t", *base, f"concat({', '.join(wider)}) AS wider")
+    t = t.selectExpr("doc_id", "t", *carried, *base, f"concat({', '.join(wider)}) AS wider")
     bare = [f"transform({kind}, x -> struct(x.s AS s, x.e AS e)) AS {kind}" for kind in BASE]
     cands = f"transform(concat({', '.join(BASE)}, wider), x -> struct(x.kind AS kind, x.s AS s, x.e AS e, {_votes_sql()} AS votes)) AS cands"
-    return t.selectExpr("doc_id", *bare, cands)
+    return t.selectExpr("doc_id", *carried, *bare, cands)
 
 
 def span_model(found: DataFrame) -> DataFrame:
@@ -103,10 +106,10 @@ def span_model(found: DataFrame) -> DataFrame:
     return logistic_scores(rows, 1 + len(kinds) + len(says)).select("kind", "votes", "score")
 
 
-def personal_data(docs: DataFrame) -> DataFrame:
+def personal_data(docs: DataFrame, carry: bool = False) -> DataFrame:
     """doc_id, base spans and all: the base spans and the candidates that the classifier
     takes and that touch no base span, as (kind, s, e), by kind and start."""
-    found = staged(candidates(docs), "pii")
+    found = staged(candidates(docs, carry=carry), "pii")
     # at most kinds * 3^labelers patterns
     taken = [f"{r['kind']}:{r['votes']}" for r in span_model(found).where("score >= 0.5").select("kind", "votes").collect()]
     wanted = F.array(*[F.lit(x) for x in sorted(taken)]) if taken else F.array().cast("array<string>")
@@ -125,19 +128,20 @@ def spans_text(column: str):
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with each span of personal data replaced by its kind in angle
     brackets; of overlapping spans, the first (then the longest) is replaced. n_chars,
-    where there is such a column, is counted anew. Documents without spans stay as they are."""
-    spans = personal_data(docs).where("size(all) > 0").select(F.col("doc_id").alias("_id"), "all").dropDuplicates(["_id"])
+    where there is such a column, is counted anew. Documents without spans stay as they
+    are, and no document is shuffled."""
+    found = personal_data(docs, carry=True)
     names = ", ".join(f"'{k}'" for k in KINDS)
     order = "array_sort(`all`, (a, b) -> CASE WHEN a.s < b.s THEN -1 WHEN a.s > b.s THEN 1 WHEN a.e > b.e THEN -1 WHEN a.e < b.e THEN 1 ELSE 0 END)"
     merged = f"""aggregate({order}, struct(0 AS at, CAST(array() AS array<string>) AS parts),
-        (z, x) -> CASE WHEN x.s < z.at THEN z ELSE struct(x.e AS at, concat(z.parts, array(substr(text, z.at + 1, x.s - z.at), concat('<', get(array({names}), x.kind), '>'))) AS parts) END,
-        z -> concat(array_join(z.parts, ''), substr(text, z.at + 1)))"""
-    joined = docs.join(spans, docs["doc_id"].cast("long") == spans["_id"], "left")
-    text = F.expr(f"CASE WHEN `all` IS NULL THEN text ELSE {merged} END")
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("all").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        (z, x) -> CASE WHEN x.s < z.at THEN z ELSE struct(x.e AS at, concat(z.parts, array(substr(row.text, z.at + 1, x.s - z.at), concat('<', get(array({names}), x.kind), '>'))) AS parts) END,
+        z -> concat(array_join(z.parts, ''), substr(row.text, z.at + 1)))"""
+    out = found.select("row", F.size("all").alias("spans"), F.expr(f"CASE WHEN size(`all`) = 0 THEN row.text ELSE {merged} END").alias("clean"))
+    own = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    own["text"] = F.col("clean")
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("spans") == 0, own["n_chars"]).otherwise(F.length("clean")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[column.alias(c) for c, column in own.items()])
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,13 +44,17 @@ def repeat_words_sql(words: str = "words") -> str:
     return _let(words, "ws", f"CASE WHEN size(ws) <= {WINDOW} THEN 0L ELSE {body} END")
 
 
-def text_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and what the rules look at, from each whole text."""
-    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    t = t.selectExpr("doc_id", "t", f"regexp_extract_all(t, '[^{_SPACE}]+', 0) AS words")
+def text_features(docs: DataFrame, text: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id and what the rules look at, from each whole text; with ``carry``, also
+    the document itself, as the struct ``row``."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * carry
+    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"), *row)
+    carried = ["row"] * carry
+    t = t.selectExpr("doc_id", "t", *carried, f"regexp_extract_all(t, '[^{_SPACE}]+', 0) AS words")
     lines = _let(f"filter(split(t, '\\n'), l -> l RLIKE '[^{_SPACE}]')", "ls", "CAST(size(ls) - size(array_distinct(ls)) AS LONG)")
     return t.selectExpr(
         "doc_id",
+        *carried,
         "CAST(size(words) AS LONG) AS n_words",
         f"CAST(length(t) - regexp_count(t, '[{_SPACE}]') AS LONG) AS word_chars",
         "CAST(regexp_count(t, '[#*$%&|<>]') AS LONG) AS n_symbols",
@@ -83,12 +87,22 @@ def with_votes(features: DataFrame) -> DataFrame:
     return features.selectExpr("*", f"({base}) AS base_failed", f"array({votes}) AS votes")
 
 
-def quality(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, base_failed, kept and the posterior of each document."""
-    voted = staged(with_votes(text_features(docs)), "quality")
+def judged(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """The features of each document with votes, base_failed, posterior and kept."""
+    voted = staged(with_votes(text_features(docs, carry=carry)), "quality")
     model = em_posteriors(vote_patterns(voted), len(RULES)).select("votes", F.round("posterior", 9).alias("posterior"))
     out = voted.join(F.broadcast(model), "votes", "left")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("posterior") >= 0.5)).alias("kept"), "posterior")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
+
+
+def quality(docs: DataFrame) -> DataFrame:
+    """doc_id, the base counts, base_failed, kept and the posterior of each document."""
+    return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The documents that are kept, with their own columns; none of them is shuffled."""
+    return judged(docs, carry=True).where("kept").select("row.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,5 +173,11 @@ def near_dedup(docs: DataFrame, distance: int = DISTANCE, words: int = SHINGLE,
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """One document of each group, that of the smallest doc_id, with its own columns."""
+    stay = near_dedup(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_stays"))
+    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stays")), "left_semi")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
