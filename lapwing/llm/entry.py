@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lapwing.llm import bpe, exact, packing, pii, quality, simhash
+from lapwing.llm import bpe, exact, html_text, packing, pii, quality, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_quality_rules": quality.op4_quality_rules,
         "op6_simhash": simhash.op6_simhash,
         "op7_exact_dedup": exact.op7_exact_dedup,
         "op8_packing": packing.op8_packing,
+        "op9_html": html_text.op9_html,
         "op10_pii": pii.op10_pii,
         "pipeline": corpus_pipeline.run,
     }
