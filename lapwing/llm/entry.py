@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lapwing.llm import bpe, exact, html_text, packing, pii, quality, simhash, toxicity
+from lapwing.llm import bpe, exact, html_text, licenses, lines, packing, pii, quality, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op2_line_dedup": lines.op2_line_dedup,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_quality_rules": quality.op4_quality_rules,
+        "op5_licenses": licenses.op5_licenses,
         "op6_simhash": simhash.op6_simhash,
         "op7_exact_dedup": exact.op7_exact_dedup,
         "op8_packing": packing.op8_packing,
