@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lapwing.functions.prototypes import base_name, member_name, parse_params
 
 _NAMES = "CAST(array() AS array<string>)"
-_BASE = "regexp_extract({x}, '^&?([^-.[]*)', 1)"
+_BASE = "regexp_extract({x}, '^&?([^-.\\\\[]*)', 1)"
 
 
 def _bodies(statements: DataFrame, ascending: bool = True) -> DataFrame:
@@ -52,7 +52,7 @@ def freed_arguments(statements: DataFrame, seeds: DataFrame, summaries: DataFram
     out = calls.join(seeds.select(F.col("funcname").alias("callee"), "arg_index"), "callee").select("func", "seq", F.expr(f"array({at('arg_index')})").alias("freed"))
     if summaries is not None:
         rows = calls.join(summaries.select(F.col("funcname").alias("callee"), "params", "members"), "callee")
-        member = "concat(get(filter(args, a -> a.idx = m.idx), 0).name, regexp_extract(m.name, '^[^-.[]*(.*)$', 1))"
+        member = "concat(get(filter(args, a -> a.idx = m.idx), 0).name, regexp_extract(m.name, '^[^-.\\\\[]*(.*)$', 1))"
         params = "transform(params, m -> get(filter(args, a -> a.idx = m.idx), 0).name)"
         out = out.union(rows.select("func", "seq", F.expr(f"concat({params}, transform(members, m -> {member}))").alias("freed")))
     return out.groupBy("func", "seq").agg(F.flatten(F.collect_list("freed")).alias("freed"))
@@ -62,8 +62,8 @@ def backward_aliases(statements: DataFrame, freed: DataFrame) -> DataFrame:
     """(func, names): freed expressions and, last statement first, what they are aliases of."""
     rows = statements.join(freed, ["func", "seq"], "left")
     body = rows.groupBy("func").agg(F.sort_array(F.collect_list(F.struct("seq", "kind", "lhs", "rhs", "freed")), False).alias("body"))
-    base_of = "regexp_extract(n, '^&?([^-.[]*)', 1)"
-    moved = f"transform(filter(z, n -> n = s.lhs OR {base_of} = s.lhs), n -> concat(s.rhs, regexp_extract(n, '^[^-.[]*(.*)$', 1)))"
+    base_of = "regexp_extract(n, '^&?([^-.\\\\[]*)', 1)"
+    moved = f"transform(filter(z, n -> n = s.lhs OR {base_of} = s.lhs), n -> concat(s.rhs, regexp_extract(n, '^[^-.\\\\[]*(.*)$', 1)))"
     step = f"CASE WHEN s.kind IN ('assign', 'decl') AND s.rhs IS NOT NULL AND s.lhs IS NOT NULL THEN array_union(array_union(z, coalesce(s.freed, {_NAMES})), {moved}) ELSE array_union(z, coalesce(s.freed, {_NAMES})) END"
     names = body.select("func", F.expr(f"filter(aggregate(body, {_NAMES}, (z, s) -> {step}), n -> n IS NOT NULL)").alias("names"))
     return names.where("size(names) > 0")

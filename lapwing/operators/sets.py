@@ -38,10 +38,10 @@ def add_primitives(normal: DataFrame, customised: DataFrame, seeds: DataFrame) -
     return bag_union(normal.select("funcname"), first), bag_union(customised.select("funcname", "params", "members"), others)
 
 
-def distinct_by_name(*tables: DataFrame, lower: bool = True) -> DataFrame:
+def distinct_by_name(*tables: DataFrame, key: str = "funcname", lower: bool = True) -> DataFrame:
     """Union of label files, one row for each (lower-cased) name; earlier files win."""
     from lapwing.operators.lookups import prioritised
 
     if lower:
         tables = tuple(t.select(*[F.lower(c).alias(c) if kind == "string" else F.col(c) for c, kind in t.dtypes]) for t in tables)
-    return prioritised(*tables)
+    return prioritised(*tables, key=key)
