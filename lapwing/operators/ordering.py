@@ -74,9 +74,12 @@ def memory_bugs(events: DataFrame, path: str = "path_id", sym: str = "sym", orde
     rows = events
     if "addr_of" in events.columns:
         rows = rows.where(~((F.col("op") == "free") & F.coalesce("addr_of", F.lit(False))))
-    rows = trace_states(rows, path, sym, order)
     if "customised" in events.columns:
-        rows = rows.where(~((F.col("op") == "free") & F.coalesce("customised", F.lit(False)) & F.col("state").isNull()))
+        mine = (F.col("op") == "free") & F.coalesce("customised", F.lit(False))
+        w = Window.partitionBy(path, sym).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        known = F.max(F.col("op").isin("alloc", "free") & ~mine).over(w)
+        rows = rows.withColumn("_known", F.coalesce(known, F.lit(False))).where(~mine | F.col("_known")).drop("_known")
+    rows = trace_states(rows, path, sym, order)
     bug = F.when((F.col("state") == "released") & (F.col("op") == "free"), "double_free").when((F.col("state") == "released") & (F.col("op") == "use"), "use_after_free")
     return rows.withColumn("bug", bug).where("bug IS NOT NULL")
 
