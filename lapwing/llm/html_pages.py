@@ -79,11 +79,13 @@ def _around(r: random.Random, content: str) -> str:
 
 def _content(r: random.Random) -> str:
     inner = f"<h1>{_sentence(r, 2, 9)}</h1>" * (r.random() < 0.7) + _paragraphs(r)
-    if r.random() < 0.3:
-        cue = r.choice(["ad", "share", "related", "newsletter", "promo", "comments", "author-notice"])
-        inner += f"<div class={cue} data-y=0><p>{_text(r)}</p></div>" + f"<p>{_text(r)}</p>" * (r.random() < 0.5)
+    for _ in range(r.choice([0, 0, 1, 2])):
+        cue = r.choice(["ad", "ad", "share", "related", "newsletter", "promo", "comments", "author-notice", "sidebar", "cookie-consent", "menu", "search-form"])
+        piece = r.choice([_word(r), _sentence(r), f"<p>{_text(r)}</p>", f"<p>{_text(r)}</p>"])
+        inner += f"<div class={cue} data-y=0>{piece}</div>" + f"<p>{_text(r)}</p>" * (r.random() < 0.5)
     if r.random() < 0.1:
-        inner += f"<aside data-y=0><p>{_text(r)}</p></aside>"
+        inner += f"<{r.choice(['aside', 'nav', 'form'])} data-y=0><p>{_text(r)}</p>"
+        inner += "</" + inner.rsplit(" data-y=0>", 1)[0].rsplit("<", 1)[1] + ">"
     if r.random() < 0.25:
         inner += f"<footer data-y=0>{_sentence(r)}</footer>"
     kind = r.random()

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 EM_ROUNDS = 25
+#: Strength of the rates that EM starts from, in times the number of rows.
+DRAW = 3
 FIT_ROUNDS = 150
 
 
@@ -20,12 +22,12 @@ def vote_patterns(votes: DataFrame, column: str = "votes") -> DataFrame:
     return votes.groupBy(column).agg(F.count("*").alias("n")).withColumnRenamed(column, "votes")
 
 
-def em_posteriors(patterns: DataFrame, voters: int, prior: float = 0.9) -> DataFrame:
+def em_posteriors(patterns: DataFrame, voters: int, prior: float = 0.85) -> DataFrame:
     """(votes, n, posterior): probability that a row with these votes is positive.
 
     A voter's reliability is how often it says what on positive and on negative rows:
     a and b hold those rates, three for each voter (abstains, negative, positive),
-    drawn towards the rates it starts from as by as many rows as there are (voters are
+    drawn towards the rates it starts from as by ``DRAW`` times the rows (voters are
     written to be right when they object, and EM should weigh them, not find another
     way to halve the rows), and so is the share of positive rows. A negative vote never counts
     for a row, nor a positive one against it, and abstaining says nothing. A row on
@@ -39,13 +41,13 @@ def em_posteriors(patterns: DataFrame, voters: int, prior: float = 0.9) -> DataF
         WHEN 1 THEN greatest(0D, {weight}) WHEN 0 THEN least(0D, {weight}) ELSE 0D END)"""
     posterior = f"1D / (1D + exp(-({log_odds})))"
 
-    total = "aggregate(w, 0D, (z, r) -> z + r.n)"
+    total = "greatest(1e-9D, aggregate(w, 0D, (z, r) -> z + r.n))"  # no rows: nothing is divided by zero
 
     def rates(weight: str, start: str) -> str:
         said = f"aggregate(w, 0D, (z, r) -> z + CASE WHEN get(r.votes, k div 3) + 1 = k % 3 THEN {weight} ELSE 0D END)"
-        return f"transform(sequence(0, {3 * voters - 1}), k -> ({said} + {total} * get({start}, k % 3)) / (aggregate(w, 0D, (z, r) -> z + {weight}) + {total}))"
+        return f"transform(sequence(0, {3 * voters - 1}), k -> ({said} + {DRAW} * {total} * get({start}, k % 3)) / (aggregate(w, 0D, (z, r) -> z + {weight}) + {DRAW} * {total}))"
 
-    good, bad = "array(0.195D, 0.005D, 0.8D)", "array(0D, 0.35D, 0.65D)"
+    good, bad = "array(0.197D, 0.003D, 0.8D)", "array(0D, 0.35D, 0.65D)"
     positive = "aggregate(w, 0D, (z, r) -> z + r.n * r.q)"
     step = f"""transform(array(transform(ps, r -> struct(r.votes AS votes, r.n AS n, {posterior} AS q))), w -> struct(
         least(0.99D, greatest(0.01D, ({positive} / {total} + {prior}D) / 2)) AS p, {rates("r.n * r.q", good)} AS a, {rates("r.n * (1 - r.q)", bad)} AS b))[0]"""
@@ -68,7 +70,7 @@ def logistic_scores(rows: DataFrame, features: int, rate: float = 2.0, decay: fl
     slope = "aggregate(e, 0D, (z, r) -> z + r.d * get(r.x, j))"
     step = f"""transform(array(transform(ps, r -> struct(r.x AS x, r.n / total * ({score} - r.y) AS d))), e ->
         transform({j}, j -> get(w, j) * (1 - {rate * decay}D) - {rate}D * {slope}))[0]"""
-    fitted = f"transform(array(aggregate(ps, 0D, (z, r) -> z + r.n)), total -> aggregate(sequence(1, {FIT_ROUNDS}), array_repeat(0D, {features}), (w, i) -> {step}))[0]"
+    fitted = f"transform(array(greatest(1e-9D, aggregate(ps, 0D, (z, r) -> z + r.n))), total -> aggregate(sequence(1, {FIT_ROUNDS}), array_repeat(0D, {features}), (w, i) -> {step}))[0]"
     one = rows.select(F.struct("x", "y", F.col("n").cast("double").alias("n"), F.struct(*[c for c in rows.columns if c not in ("x", "y", "n")]).alias("key")).alias("r"))
     one = one.agg(F.sort_array(F.collect_list("r")).alias("ps")).where("size(ps) > 0")
     done = one.selectExpr(f"transform(array({fitted}), w -> transform(ps, r -> struct(r.key AS key, r.x AS x, r.y AS y, r.n AS n, {score} AS score)))[0] AS ps")
