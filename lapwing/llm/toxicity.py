@@ -33,14 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapwing.llm.bpe import _Missing
-from lapwing.llm.common import small_arrow_batches, table, text_or_empty
+from lapwing.llm.common import small_arrow_batches, staged, table, text_or_empty
 
 #: Labelled texts of each class, training words of each class, landmarks.
 SAMPLE, WORDS, LANDMARKS = 3000, 1500, 160
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Characters of a subsequence, counted from its first; each further character of its span halves the weight.
 PATTERNS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4), (0, 1, 2, 3))
 _WEIGHTS = [0.5 ** (p[-1] + 1 - len(p)) for p in PATTERNS]
+_WEIGHTED = list(zip(PATTERNS, _WEIGHTS, strict=True))
 _STRIP = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
 LOWEST = -3.0
 
@@ -97,22 +98,26 @@ class WordModel:
 
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
-        self.tables = [{s: v * x for s, v in weights.items() if len(s) == len(p)} for p, x in zip(PATTERNS, _WEIGHTS, strict=True)]
+        self.tables = {n: {s: v for s, v in weights.items() if len(s) == n} for n in {len(p) for p in PATTERNS}}
         self.norms = [_norm(n) for n in range(64)]
+        self.known = _Missing(self._score, CACHE_WORDS)
         self.cache = _Missing(self.word, CACHE_WORDS)
 
     def word(self, word: str) -> float:
-        w = word.strip(_STRIP)
+        return self.known[word.strip(_STRIP)]
+
+    def _score(self, w: str) -> float:
         n = len(w)
         if n < 3:
             return LOWEST
         if n > 40:  # long runs are read in overlapping pieces
-            return max(self.word(w[k : k + 40]) for k in range(0, n - 20, 20))
+            return max(self._score(w[k : k + 40]) for k in range(0, n - 20, 20))
         w = f"^{w}$"
+        tails = [w, w[1:], w[2:], w[3:], w[4:]]
         total = 0.0
-        for p, t in zip(PATTERNS, self.tables, strict=True):
-            get = t.get
-            total += sum([get(s, 0.0) for s in map("".join, zip(*[w[k:] for k in p]))])  # noqa: B905
+        for p, weight in _WEIGHTED:
+            found = map(self.tables[len(p)].get, map("".join, zip(*[tails[k] for k in p])))  # noqa: B905
+            total += weight * sum(filter(None, found))
         return total / self.norms[n] + self.bias
 
     def text(self, text: str) -> float:
@@ -174,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Wor
                 found.append("")  # counts the texts
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([toxic] * len(found), pa.int32())], names=["word", "toxic"])
 
-    tally = rows.mapInArrow(words, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("fine"))
+    tally = staged(rows.mapInArrow(words, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("fine")), "toxic-words")
     totals = tally.where("word = ''").collect()
     bad, fine = (totals[0]["bad"], totals[0]["fine"]) if totals else (0, 0)
     if not bad or not fine:
