@@ -95,7 +95,7 @@ def exact_dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 def drop_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """The documents that stay, with their own columns."""
     stay = exact_dedup(docs, counters).where("kept").select(F.col("doc_id").alias("_stays"))
-    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stays")), "left_semi")
+    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["_stays"]), "left_semi")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,8 @@ BITS, DISTANCE, SHINGLE, SEED = 64, 4, 4, 42
 BLOCKS = 7
 #: Fingerprints of a bucket that are compared with each other in one task.
 DENSE = 2048
+#: Fingerprints with more than this part of all rows are labelled by a broadcast.
+HOT = 1024
 #: Shingles hashed at a time.
 PIECE = 65_536
 
@@ -163,20 +165,25 @@ def near_dedup(docs: DataFrame, distance: int = DISTANCE, words: int = SHINGLE,
     if distance % 2:
         raise ValueError("distance must be even: halfway points are exact for even distances only")
     rows = staged(fingerprints(docs, words), "fingerprints")
-    nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
     comp = components(links(nodes.select("fp"), distance, blocks, dense)).select(F.col("node").alias("fp"), "root")
     known = comp.join(nodes, "fp")
     roots = known.groupBy("root").agg(F.min("first").alias("component_id"))
     merged = known.join(roots, "root").select("fp", "component_id")
     labels = nodes.join(merged, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    out = rows.join(labels, "fp", "left")
+    # fewer than HOT fingerprints have more than 1 / HOT of the rows: their rows stay where they are
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = nodes.where(F.col("n") * HOT > total).select("fp")
+    settled = rows.join(F.broadcast(labels.join(F.broadcast(hot), "fp", "left_semi")), "fp")
+    rest = rows.join(F.broadcast(hot), "fp", "left_anti").join(labels, "fp", "left")
+    out = settled.unionByName(rest)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each group, that of the smallest doc_id, with its own columns."""
     stay = near_dedup(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_stays"))
-    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stays")), "left_semi")
+    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["_stays"]), "left_semi")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
