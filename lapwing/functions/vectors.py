@@ -36,3 +36,22 @@ def centroids(df: DataFrame, key: str, vector: str, by: list[str] | None = None)
 def scores(df: DataFrame, key: str, vector: str, centroid: DataFrame) -> DataFrame:
     """(key, cos), against a one-row table of the centroid."""
     return df.join(F.broadcast(centroid)).select(key, cosine(F.col(vector), F.col("centroid")).alias("cos"))
+
+
+def squared_loss(cos: Column, label: Column) -> Column:
+    """Squared distance of a pair's cosine to its label, 1 or -1."""
+    return F.pow(cos - label, 2)
+
+
+def contrastive_loss(cos: Column, label: Column, margin: float = 0.0) -> Column:
+    """Pairs of a class are drawn to cosine 1, others pushed under the margin."""
+    return F.when(label > 0, F.pow(1 - cos, 2)).otherwise(F.pow(F.greatest(cos - margin, F.lit(0.0)), 2))
+
+
+def embedding_matrix(ids: DataFrame, pretrained: DataFrame, reserved: int, size: int) -> DataFrame:
+    """(id, vector) of (word, id): reserved ids (1..reserved) are one-hot, other words take
+    their pretrained vector (word, vector), and zeros where there is none."""
+    rows = ids.join(pretrained, "word", "left")
+    hot = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: (i == F.col("id")).cast("double"))
+    zero = F.array_repeat(F.lit(0.0), size)
+    return rows.select("id", F.when(F.col("id") <= reserved, hot).otherwise(F.coalesce("vector", zero)).alias("vector"))

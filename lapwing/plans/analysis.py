@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lapwing.functions.prototypes import LONGEST_NAME, normalised_tokens, parse_params, parse_prototype
-from lapwing.functions.segment import segment_udf
+from lapwing.functions.segment import k_best_udf, segment_udf
 from lapwing.functions.vectors import centroids, scores
 from lapwing.operators import dataflow, lookups, selection, sets, summaries
 from lapwing.plans import propagate
@@ -78,6 +78,28 @@ def tokens_of(prototypes: DataFrame, counts: dict[str, float], total: float | No
     return found.select("funcname", normalised_tokens(F.col("return_type"), F.get("w", F.lit(0))["words"], F.slice("w", 2, F.greatest(F.size("w"), F.lit(1)))).alias("tokens"))
 
 
+def token_variants(prototypes: DataFrame, counts: dict[str, float], k: int, total: float | None = None) -> DataFrame:
+    """(funcname, variant, tokens): k segmentations of the function's name, each with the
+    best ones of its parameters' names."""
+    best = tokens_of(prototypes, counts, total)
+    heads = prototypes.where(F.length("funcname") <= LONGEST_NAME).select("funcname", F.posexplode(k_best_udf(counts, k, total)("funcname")).alias("variant", "words"))
+    # the name's words stand between the kind and the first parenthesis
+    tail = F.slice("tokens", F.array_position("tokens", "(").cast("int"), F.size("tokens"))
+    return heads.join(best, "funcname").select("funcname", "variant", F.concat(F.slice("tokens", 1, 2), "words", tail).alias("tokens"))
+
+
+def training_batches(pairs: DataFrame, size: int = 100) -> Iterator[list]:
+    """Batches of rows for a trainer, one partition at a time on the driver."""
+    batch: list = []
+    for row in pairs.toLocalIterator(prefetchPartitions=True):
+        batch.append(row)
+        if len(batch) == size:
+            yield batch
+            batch = []
+    if batch:
+        yield batch
+
+
 def raw_prototypes(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select(parse_prototype(F.col(column)).alias("r")).where("r IS NOT NULL").select("r.*")
 

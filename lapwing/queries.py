@@ -198,6 +198,41 @@ def hard_masks(spark, d):
     return rows.select("vec_id", selection.hard_flags(F.col("cos"), F.col("label") == 0).alias("f")).select("vec_id", "f.*")
 
 
+@query(_VECTORS + "SELECT label = 0 AS positive, round(avg(power(cos - CASE WHEN label = 0 THEN 1 ELSE -1 END, 2)), 5) AS squared, round(avg(CASE WHEN label = 0 THEN power(1 - cos, 2) ELSE power(greatest(cos, 0), 2) END), 5) AS contrastive FROM cos GROUP BY 1")
+def pair_losses(spark, d):
+    rows = _cosines(spark, d).join(t(spark, d, "embeddings").select("vec_id", "label"), "vec_id").withColumn("y", F.when(F.col("label") == 0, 1).otherwise(-1))
+    losses = [F.round(F.avg(f(F.col("cos"), F.col("y"))), 5).alias(n) for f, n in ((vectors.squared_loss, "squared"), (vectors.contrastive_loss, "contrastive"))]
+    return rows.groupBy((F.col("label") == 0).alias("positive")).agg(*losses)
+
+
+@query("""WITH c AS (SELECT p_brand AS funcname, count(*) AS n FROM part GROUP BY 1) SELECT funcname, CASE WHEN n * 250 < 10000 THEN 2 WHEN n * 250 < 50000 THEN 5 WHEN n * 250 < 100000 THEN 10 ELSE 20 END AS least FROM c""")
+def size_tiers(spark, d):
+    return t(spark, d, "part").groupBy(F.col("p_brand").alias("funcname")).agg(F.count("*").alias("n")).select("funcname", P.class_tiers(F.col("n") * 250).alias("least"))
+
+
+@query("""SELECT o_custkey, max(i) AS place FROM (SELECT o_custkey, CASE WHEN o_orderkey = first THEN 0 ELSE 1 END AS i FROM (SELECT o_custkey, o_orderkey, min(o_orderkey) OVER (PARTITION BY o_custkey) AS first FROM orders)) GROUP BY 1""")
+def overlap_split(spark, d):
+    o = t(spark, d, "orders").select("o_custkey", "o_orderkey")
+    first = o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"))
+    inside, outside = lookups.split_overlap(o, first, "o_orderkey")
+    both = inside.select("o_custkey", F.lit(0).alias("place")).union(outside.select("o_custkey", F.lit(1)))
+    return both.groupBy("o_custkey").agg(F.max("place").alias("place"))
+
+
+@query(_WITH + """, h AS (SELECT path_id, sym, count(*) FILTER (op = 'alloc') AS n_alloc, count(*) FILTER (op = 'free') AS n_free FROM trace GROUP BY ALL)
+SELECT path_id, CAST(sum(n_alloc) AS BIGINT) AS n_alloc, CAST(sum(n_free) AS BIGINT) AS n_free FROM h GROUP BY 1""")
+def path_counters(spark, d):
+    return trace(spark, d).groupBy("path_id").agg(F.count_if(F.col("op") == "alloc").alias("n_alloc"), F.count_if(F.col("op") == "free").alias("n_free"))
+
+
+@query()
+def segment_variants(spark, d):
+    """Three segmentations of each part name, best first."""
+    names = t(spark, d, "part").select(F.regexp_replace("p_name", " ", "_").alias("name")).distinct()
+    cut = segment.k_best_udf(_part_words(spark, d), 3)
+    return names.select("name", F.posexplode(cut("name")).alias("variant", "w")).select("name", "variant", F.array_join("w", " ").alias("words"))
+
+
 @query("""WITH f AS (SELECT DISTINCT CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS class, doc_id FROM labels), l AS (SELECT DISTINCT CASE WHEN toxic = 0 THEN 'good' ELSE 'bad' END AS class, doc_id FROM labels),
 j AS (SELECT coalesce(f.class, l.class) AS class, f.doc_id AS a, l.doc_id AS b FROM f FULL JOIN l ON f.class = l.class AND f.doc_id = l.doc_id)
 SELECT class, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS tp, count(*) FILTER (b IS NULL) AS fp, count(*) FILTER (a IS NULL) AS fn FROM j GROUP BY ROLLUP (class)""")

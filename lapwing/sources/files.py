@@ -128,3 +128,24 @@ def write_similarity(scores: DataFrame, path: str) -> None:
 
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def plain_names(spark: SparkSession, path: str) -> DataFrame:
+    """Names of an overlap or allocator file; lines that begin with - or { are none."""
+    return spark.read.text(path).where(~F.col("value").rlike(r"^\s*([-{]|$)")).select(F.trim("value").alias("funcname"))
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """Table rows (number, row_html) in order, as lines of HTML part files."""
+    numbered = F.regexp_replace("row_html", r"<tr[^>]*>", F.concat(F.lit('<tr data-number="'), F.col("number").cast("string"), F.lit('">')))
+    rows.repartitionByRange("number").sortWithinPartitions("number").select(numbered.alias("value")).write.mode("overwrite").text(path)
+
+
+def write_summaries(summaries: DataFrame, normal_path: str, customised_path: str) -> None:
+    """Names of normal summaries as text, customised ones as JSON lines with names only."""
+    from lapwing.functions.prototypes import names_of_pairs
+    from lapwing.operators.summaries import is_normal_free
+
+    normal = is_normal_free(F.col("params"), F.col("members"))
+    summaries.where(normal).select(F.col("funcname").alias("value")).write.mode("overwrite").text(normal_path)
+    summaries.where(~normal).select("funcname", names_of_pairs(F.col("params")).alias("param_names"), names_of_pairs(F.col("members")).alias("member_name")).write.mode("overwrite").json(customised_path)

@@ -235,3 +235,37 @@ def test_models(spark):
     e = spark.createDataFrame([(["a", "b"],)], "tokens array<string>")
     v = analysis.embed(e).first()["vector"]
     assert len(v) == 128 and math.isclose(sum(x * x for x in v), 1)
+
+
+def test_variants_and_batches(spark):
+    counts = {"ab": 5.0, "a": 2.0, "b": 2.0, "n": 1.0}
+    protos = analysis.raw_prototypes(spark.createDataFrame([("void *ab(int n)",)], "value string"))
+    got = {r["variant"]: r["tokens"] for r in analysis.token_variants(protos, counts, 2).collect()}
+    assert got[0] == "<cls> <ptr> ab ( <noptr> n )".split() and got[1] == "<cls> <ptr> a b ( <noptr> n )".split()
+    assert [len(b) for b in analysis.training_batches(spark.range(7), 3)] == [3, 3, 1]
+
+
+def test_sinks(spark, tmp_path):
+    s = spark.createDataFrame([("n", [(0, "p")], []), ("c", [(1, "p")], [(0, "a->b")])], "funcname string, params array<struct<idx:int,name:string>>, members array<struct<idx:int,name:string>>")
+    files.write_summaries(s, str(tmp_path / "n"), str(tmp_path / "c"))
+    assert names(files.plain_names(spark, str(tmp_path / "n")), "funcname") == ["n"]
+    assert spark.read.json(str(tmp_path / "c")).first()["member_name"] == ["a->b"]
+    files.write_similarity(spark.createDataFrame([("x", 0.1), ("y", 0.9)], "funcname string, cos double"), str(tmp_path / "s"))
+    assert names(files.read_similarity(spark, str(tmp_path / "s")), "funcname", "cos") == [("x", 0.1), ("y", 0.9)]
+    files.write_report(spark.createDataFrame([(2, "<tr>b</tr>"), (1, "<tr>a</tr>")], "number int, row_html string"), str(tmp_path / "r"))
+    assert names(spark.read.text(str(tmp_path / "r")), "value") == ['<tr data-number="1">a</tr>', '<tr data-number="2">b</tr>']
+
+
+def test_analysis_stages(spark):
+    f = spark.createDataFrame([("my_alloc", "void *", "int@n,", "a.c"), ("my_free", "void", "void *@p,", "a.c")], "funcname string, return_type string, params string, file string")
+    e = spark.createDataFrame([("my_alloc", 0, 0, "kmalloc", "void *", "int@n,", 1), ("my_free", 1, 0, "kfree", "void", "void *@p,", 1)], "caller string, pos long, nth int, callee string, return_type string, params string, number int")
+    sim = spark.createDataFrame([("my_alloc", 0.9), ("kmalloc", 0.99)], "funcname string, cos double")
+    official = spark.createDataFrame([("kmalloc",)], "funcname string")
+    flows = spark.createDataFrame([(0, "my_alloc", "kmalloc", ["<nops>"], ["<nops>"], 1)], "pos long, caller string, callee string, passed_params array<string>, return_values array<string>, direct_return int")
+    got = analysis.allocation_stage(f, e, sim, official, flows)
+    assert names(got, "funcname") == ["kmalloc", "my_alloc"]
+    s = spark.createDataFrame([("my_free", 1, "call", None, None, "kfree", [(0, True, "p")])], _FACTS)
+    seeds = spark.createDataFrame([("kfree", 0)], "funcname string, arg_index int")
+    freed = spark.createDataFrame([("my_free", 0.9), ("kfree", 0.99)], "funcname string, cos double")
+    normal, customised = analysis.free_stage(f, e, freed, seeds, s)
+    assert names(normal, "funcname") == ["kfree", "my_free"] and customised.count() == 0
