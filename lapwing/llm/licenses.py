@@ -24,7 +24,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapwing.llm.common import table
+from lapwing.llm.common import staged, table
 from lapwing.llm.license_texts import FAMILIES, OTHERS
 
 #: Fixed words that announce a licence.
@@ -99,7 +99,7 @@ def scan_paragraphs(docs: DataFrame) -> DataFrame:
     announces = rf"(?i)\b(?:{'|'.join(ANNOUNCING)})\b"
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t")).where(F.col("t").rlike(announces))
     lines = t.select("doc_id", F.posexplode(F.split("t", "\n")).alias("line_no", "line")).where(F.col("line").rlike(announces))
-    words = lines.select("doc_id", "line_no", F.expr(f"regexp_extract_all(lower(line), '{_WORD_SQL}', 0)").alias("w"))
+    words = staged(lines.select("doc_id", "line_no", F.expr(f"regexp_extract_all(lower(line), '{_WORD_SQL}', 0)").alias("w")), "licence-lines")
     grams = words.select("doc_id", "line_no", F.explode(F.expr("array_distinct(flatten(transform(w, (x, i) -> array(x, concat_ws(' ', x, get(w, i + 1)), concat_ws(' ', x, get(w, i + 1), get(w, i + 2))))))")).alias("gram"))
     useful = F.col("gram").rlike(rf"(?:^| )(?:{'|'.join(ANNOUNCING)})(?: |$)")
     key = ["doc_id", "line_no"]
