@@ -31,8 +31,8 @@ from lapwing.llm.common import staged, table
 from lapwing.llm.graph import components
 
 THRESHOLD, LEAST = 1, 30
-#: Letters whose counts are compared before a pair is verified.
-LETTERS = "etaonihsrdlucmg"
+#: Letters whose counts (up to 255 each, in one integer) are compared before a pair is verified.
+LETTERS = "etaonihs"
 
 
 def segments(length: str, threshold: int) -> list[tuple[str, str]]:
@@ -51,7 +51,7 @@ def index_sql(threshold: int) -> str:
 
 
 def probe_sql(threshold: int, least: int) -> str:
-    """Keys of the substrings that may be a segment of a line of n - d code points."""
+    """Keys of the substrings that may be a segment of a line of n - d code points; null where there is none."""
     keys = []
     for d in range(threshold + 1):
         for i, (start, size) in enumerate(segments(f"(n - {d})", threshold)):
@@ -60,7 +60,7 @@ def probe_sql(threshold: int, least: int) -> str:
                 if abs(shift) <= i and abs(d - shift) <= threshold - i:
                     at = f"({start} + {shift})"
                     keys.append(f"CASE WHEN n - {d} >= {least} AND {at} >= 0 AND {at} + {size} <= n THEN xxhash64(n - {d}, {i}, substr(line, {at} + 1, {size})) END")
-    return f"array_distinct(filter(array({', '.join(keys)}), k -> k IS NOT NULL))"
+    return f"array({', '.join(keys)})"
 
 
 def within_sql(a: str, b: str, threshold: int) -> str:
@@ -95,13 +95,14 @@ def text_lines(docs: DataFrame) -> DataFrame:
 def edit_links(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
     """(a, b): hashes of different lines at most ``threshold`` edits apart."""
     lines = text_lines(docs).select("line_id", "line", F.length("line").alias("n")).where(f"n >= {least}")
-    counts = ", ".join(f"CAST(length(line) - length(replace(line, '{c}', '')) AS SMALLINT)" for c in LETTERS)
-    keyed = lines.selectExpr("line_id", f"array({counts}) AS letters", f"{index_sql(threshold)} AS own", f"{probe_sql(threshold, least)} AS asked")
-    own = keyed.select("line_id", "letters", F.explode("own").alias("k")).groupBy("k", "line_id").agg(F.first("letters").alias("letters"))
-    asked = keyed.select("line_id", "letters", F.explode("asked").alias("k")).groupBy("k", "line_id").agg(F.first("letters").alias("letters"))
+    counts = " | ".join(f"shiftleft(CAST(least(255, length(line) - length(replace(line, '{c}', ''))) AS LONG), {8 * k})" for k, c in enumerate(LETTERS))
+    keyed = staged(lines.selectExpr("line_id", f"({counts}) AS letters", f"{index_sql(threshold)} AS own", f"{probe_sql(threshold, least)} AS asked"), "line-keys")
+    own = keyed.select("line_id", "letters", F.explode("own").alias("k")).distinct()
+    asked = keyed.select("line_id", "letters", F.explode("asked").alias("k")).where("k IS NOT NULL").distinct()
     a, b = own.alias("a"), asked.alias("b")
-    near = f"aggregate(zip_with(a.letters, b.letters, (x, y) -> abs(int(x) - int(y))), 0, (z, x) -> z + x) <= {2 * threshold}"
-    pairs = a.join(b, F.expr(f"a.k = b.k AND a.line_id <> b.line_id AND {near}")).select(F.least("a.line_id", "b.line_id").alias("a"), F.greatest("a.line_id", "b.line_id").alias("b")).distinct()
+    byte = lambda t, k: f"(shiftrightunsigned({t}.letters, {8 * k}) & 255)"
+    near = " + ".join(f"abs({byte('a', k)} - {byte('b', k)})" for k in range(len(LETTERS)))
+    pairs = a.join(b, F.expr(f"a.k = b.k AND a.line_id <> b.line_id AND {near} <= {2 * threshold}")).select(F.least("a.line_id", "b.line_id").alias("a"), F.greatest("a.line_id", "b.line_id").alias("b")).distinct()
     pairs = staged(pairs, "line-pairs")
     wanted = pairs.select(F.col("a").alias("line_id")).union(pairs.select(F.col("b").alias("line_id"))).distinct()
     texts = staged(text_lines(docs).join(wanted, "line_id", "left_semi").groupBy("line_id").agg(F.min("line").alias("line")), "line-texts")
