@@ -128,7 +128,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
     sent = spark.sparkContext.broadcast(places(plan(histogram, capacity)))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("first"))
-    ranked = cut.join(first, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("nth")).alias("rank"))
+    # the counts are small on disk but not in memory, and grow with the tasks: never a broadcast
+    ranked = cut.join(first.hint("merge"), ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("nth")).alias("rank"))
 
     def place(batches):
         at = sent.value
