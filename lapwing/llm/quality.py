@@ -24,6 +24,9 @@ from lapwing.llm.weak import em_posteriors, vote_patterns
 LEAST_WORDS = 10
 REPEAT_PERCENT = 20
 WINDOW = 5
+#: Kinds of words are counted anew in each block of so many words: over a whole text
+#: their share falls with its length.
+BLOCK = 100
 _SPACE = r"\\x20\\x09-\\x0D"
 
 
@@ -63,7 +66,7 @@ def text_features(docs: DataFrame, text: str = "text", carry: bool = False) -> D
         "CAST(length(t) - length(replace(t, '!', '')) AS LONG) AS n_bangs",
         "CAST(length(t) - length(replace(t, '.', '')) AS LONG) AS n_stops",
         "CAST(regexp_count(t, '[A-ZÀ-ÖØ-Þ]') AS LONG) AS n_upper",
-        "CAST(size(array_distinct(words)) AS LONG) AS n_kinds",
+        f"CAST(size(array_distinct(transform(words, (w, i) -> xxhash64(w, i div {BLOCK})))) AS LONG) AS n_kinds",
     )
 
 

@@ -29,7 +29,10 @@ def em_posteriors(patterns: DataFrame, voters: int, prior: float = 0.85) -> Data
     a and b hold those rates, three for each voter (abstains, negative, positive),
     drawn towards the rates it starts from as by ``DRAW`` times the rows (voters are
     written to be right when they object, and EM should weigh them, not find another
-    way to halve the rows), and so is the share of positive rows. A negative vote never counts
+    way to halve the rows), and so is the share of positive rows. The rates it starts from
+    are fixed, but a voter that objects to more rows than ``1 - prior`` can hold must be
+    wrong on the rest: those objections are dealt to the positive rows, which takes its
+    weight. A negative vote never counts
     for a row, nor a positive one against it, and abstaining says nothing. A row on
     which all abstain gets the prior that was estimated. An empty table gives an
     empty result.
@@ -45,14 +48,17 @@ def em_posteriors(patterns: DataFrame, voters: int, prior: float = 0.85) -> Data
 
     def rates(weight: str, start: str) -> str:
         said = f"aggregate(w, 0D, (z, r) -> z + CASE WHEN get(r.votes, k div 3) + 1 = k % 3 THEN {weight} ELSE 0D END)"
-        return f"transform(sequence(0, {3 * voters - 1}), k -> ({said} + {DRAW} * {total} * get({start}, k % 3)) / (aggregate(w, 0D, (z, r) -> z + {weight}) + {DRAW} * {total}))"
+        return f"transform(sequence(0, {3 * voters - 1}), k -> ({said} + {DRAW} * {total} * get({start}, k)) / (aggregate(w, 0D, (z, r) -> z + {weight}) + {DRAW} * {total}))"
 
-    good, bad = "array(0.197D, 0.003D, 0.8D)", "array(0D, 0.35D, 0.65D)"
+    objects = f"aggregate(ps, 0D, (z, r) -> z + CASE WHEN get(r.votes, j) = 0 THEN r.n ELSE 0D END) / {total.replace('aggregate(w,', 'aggregate(ps,')}"
+    starts = f"""transform(array(transform({j}, j -> {objects})), os -> struct(
+        flatten(transform(os, o -> transform(array(greatest(0.003D, (o - {1 - prior:.6f}D) / {prior}D)), x -> array((1 - x) * 0.197D / 0.997D, x, (1 - x) * 0.8D / 0.997D))[0])) AS a,
+        flatten(transform(os, o -> transform(array(greatest(0.35D, o)), x -> array(0D, x, 1 - x))[0])) AS b))[0]"""
     positive = "aggregate(w, 0D, (z, r) -> z + r.n * r.q)"
     step = f"""transform(array(transform(ps, r -> struct(r.votes AS votes, r.n AS n, {posterior} AS q))), w -> struct(
-        least(0.99D, greatest(0.01D, ({positive} / {total} + {prior}D) / 2)) AS p, {rates("r.n * r.q", good)} AS a, {rates("r.n * (1 - r.q)", bad)} AS b))[0]"""
-    begin = f"struct({prior}D AS p, flatten(array_repeat({good}, {voters})) AS a, flatten(array_repeat({bad}, {voters})) AS b)"
-    model = f"aggregate(sequence(1, {EM_ROUNDS}), {begin}, (m, i) -> {step})"
+        least(0.99D, greatest(0.01D, ({positive} / {total} + {prior}D) / 2)) AS p, {rates("r.n * r.q", "s.a")} AS a, {rates("r.n * (1 - r.q)", "s.b")} AS b))[0]"""
+    begin = f"struct({prior}D AS p, s.a AS a, s.b AS b)"
+    model = f"transform(array({starts}), s -> aggregate(sequence(1, {EM_ROUNDS}), {begin}, (m, i) -> {step}))[0]"
     one = patterns.select(F.struct("votes", F.col("n").cast("double").alias("n")).alias("r")).agg(F.sort_array(F.collect_list("r")).alias("ps")).where("size(ps) > 0")
     done = one.selectExpr(f"transform(array({model}), m -> transform(ps, r -> struct(r.votes AS votes, r.n AS n, {posterior} AS posterior)))[0] AS ps")
     return done.selectExpr("inline(ps)").select("votes", F.col("n").cast("long").alias("n"), "posterior")

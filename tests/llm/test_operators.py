@@ -90,6 +90,27 @@ def test_quality_verdict(spark):
     assert kept == set(range(60))
 
 
+def test_quality_long_prose_is_kept(spark):
+    """A book of few kinds of words: their share falls with the length, the text is no worse."""
+    r = random.Random(11)
+    kinds = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(3, 8))) for _ in range(700)]
+    prose = lambda n: " ".join(x + "." * (k % 9 == 8) for k, x in enumerate(r.choices(kinds, k=n)))
+    d = spark.createDataFrame([(i, prose(90)) for i in range(60)] + [(100, prose(12000)), (101, "same few words again and now. " * 30)], "doc_id long, text string")
+    got = {x["doc_id"]: x for x in quality.judged(d).collect()}
+    assert got[100]["kept"] and got[100]["votes"][6] == 1 and got[101]["votes"][6] == 0
+
+
+def test_quality_frequent_wrong_objection(spark):
+    """One rule objects to nearly half of the clean texts (no full stops): it says little, they stay; junk goes."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(3, 8)))
+    rows = [" ".join(word() + "." * (i % 5 < 3 and k % 9 == 8) for k in range(200)) for i in range(100)]
+    junk = [" ".join(word() + "*!" for _ in range(200)) for _ in range(6)]
+    got = {x["doc_id"]: x for x in quality.judged(spark.createDataFrame(list(enumerate(rows + junk)), "doc_id long, text string")).collect()}
+    assert sum(got[i]["votes"][7] == 0 for i in range(100)) == 40
+    assert [i for i in got if got[i]["kept"]] and {i for i in got if got[i]["kept"]} == set(range(100))
+
+
 def test_exact_dedup(docs, empty):
     groups = collections.defaultdict(list)
     for r in docs.collect():
