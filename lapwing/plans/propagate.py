@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -9,29 +10,35 @@ from pyspark.sql import functions as F
 
 from lapwing.staging import staged
 
-#: Bound of the rounds, and of a chain's depth in graphs with cycles.
+#: Bound of the rounds of ``until_stable``.
 ROUNDS = 15
 
 
-def call_depths(edges: DataFrame, seeds: DataFrame, candidates: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def call_depths(edges: DataFrame, seeds: DataFrame, candidates: DataFrame) -> DataFrame:
     """(funcname, depth): 1 + the largest depth of the callees that are seeds (depth 1) or
-    candidates that reach one. In a cycle the depth stops at the bound of rounds.
+    candidates that reach one. A call of a function by itself adds nothing; a longer cycle
+    among the functions that reach a seed has no largest depth and is an error.
 
-    Each round joins only what rose in the last one with its callers.
+    A function is settled once all its callees are, so the rounds are as many as the
+    longest chain has calls. Each round joins only what was settled in the last one.
     """
-    calls = edges.select("caller", "callee").distinct().join(candidates.select(F.col("funcname").alias("caller")), "caller", "left_semi")
-    calls = staged(calls, "calls")
-    depth = staged(seeds.select("funcname").distinct().withColumn("depth", F.lit(1)), "depth")
-    front, taken = depth, seeds.select("funcname").distinct()
-    for _ in range(rounds):
-        up = calls.join(front.select(F.col("funcname").alias("callee"), "depth"), "callee").groupBy(F.col("caller").alias("funcname")).agg((F.max("depth") + 1).alias("depth"))
-        up = up.join(taken, "funcname", "left_anti")  # a seed stays at 1
-        merged = depth.withColumnRenamed("depth", "old").join(up, "funcname", "full_outer")
-        merged = staged(merged.select("funcname", F.greatest("old", "depth").alias("depth"), (F.col("old").isNull() | (F.col("depth") > F.col("old"))).alias("rose")), "depth")
-        depth, front = merged.select("funcname", "depth"), merged.where("rose").select("funcname", "depth")
-        if front.isEmpty():
-            break
-    return depth
+    calls = edges.select("caller", "callee").where("caller <> callee").distinct().join(candidates.select(F.col("funcname").alias("caller")), "caller", "left_semi")
+    calls = staged(calls.join(seeds.select(F.col("funcname").alias("caller")), "caller", "left_anti"), "calls")  # a seed stays at 1
+    reached = reach(calls, seeds, sys.maxsize)
+    calls = staged(calls.join(reached.select(F.col("funcname").alias("callee")), "callee", "left_semi"), "calls")
+    counts = calls.groupBy(F.col("caller").alias("funcname")).agg(F.count("*").alias("open"))
+    state = reached.join(counts, "funcname", "left").select("funcname", F.lit(1).alias("depth"), F.coalesce("open", F.lit(0)).alias("open"), F.col("open").isNull().alias("settled"))
+    state = staged(state, "depth")
+    while not state.where("settled").isEmpty():
+        front = state.where("settled").select(F.col("funcname").alias("callee"), F.col("depth").alias("below"))
+        up = calls.join(front, "callee").groupBy(F.col("caller").alias("funcname")).agg((F.max("below") + 1).alias("up"), F.count("*").alias("n"))
+        left = F.col("open") - F.coalesce("n", F.lit(0))
+        state = state.join(up, "funcname", "left").select("funcname", F.greatest("depth", "up").alias("depth"), left.alias("open"), ((F.col("open") > 0) & (left == 0)).alias("settled"))
+        state = staged(state, "depth")
+    cyclic = [r["funcname"] for r in state.where("open > 0").orderBy("funcname").limit(5).collect()]
+    if cyclic:
+        raise ValueError(f"calls form a cycle, depth is not defined for: {cyclic}")
+    return state.select("funcname", "depth")
 
 
 def reach(edges: DataFrame, start: DataFrame, rounds: int = 1000) -> DataFrame:

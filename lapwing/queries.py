@@ -553,6 +553,15 @@ def call_depths(spark, d):
     return propagate.call_depths(e, e.where("callee > 92").select(F.col("callee").alias("funcname")), names)
 
 
+@query(f"""WITH RECURSIVE e AS ({_DAG}), r AS (SELECT DISTINCT callee AS funcname, 1 AS depth FROM e WHERE callee > 92 UNION
+SELECT e.caller, r.depth + 1 FROM r JOIN e ON e.callee = r.funcname WHERE e.caller NOT IN (SELECT DISTINCT callee FROM e WHERE callee > 92)) SELECT funcname, max(depth) AS depth FROM r GROUP BY 1""")
+def call_depths_all(spark, d):
+    """As call_depths, over all calls."""
+    e = _dag(spark, d)
+    names = e.select(F.col("caller").alias("funcname")).union(e.select(F.col("callee").alias("funcname"))).distinct()
+    return propagate.call_depths(e, e.where("callee > 92").select(F.col("callee").alias("funcname")), names)
+
+
 _CYCLIC = "SELECT DISTINCT o_custkey % 500 AS caller, (o_orderkey * 7) % 500 AS callee FROM orders WHERE o_orderkey % 53 = 0"
 
 

@@ -5,6 +5,7 @@ import json
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lapwing.functions import prototypes as P
@@ -132,6 +133,17 @@ def test_depths_and_cycles(spark):
     assert names(propagate.reach(e, seeds), "funcname") == ["a", "b", "c", "seed"]
 
 
+def test_depths_of_a_long_chain(spark):
+    calls = [(f"f{i}", f"f{i - 1}") for i in range(1, 35)] + [("f34", "f0"), ("f20", "f20"), ("g", "f30")]
+    e = spark.createDataFrame(calls, "caller string, callee string")
+    cand = spark.createDataFrame([(n,) for n in {c for c, _ in calls}], "funcname string")
+    seeds = spark.createDataFrame([("f0",)], "funcname string")
+    got = dict(propagate.call_depths(e, seeds, cand).collect())
+    assert got == {f"f{i}": i + 1 for i in range(35)} | {"g": 32}
+    with pytest.raises(ValueError, match="cycle"):
+        propagate.call_depths(e.union(spark.createDataFrame([("f3", "f5")], "caller string, callee string")), seeds, cand)
+
+
 def test_belief(spark):
     t = spark.createDataFrame([("a", "s"), ("b", "a"), ("b", "b"), ("c", "bad"), ("c", "s"), ("d", "gone")], "caller string, callee string")
     one = lambda *n: spark.createDataFrame([(x,) for x in n], "funcname string")
