@@ -580,6 +580,30 @@ def belief_fixpoint(spark, d):
     return propagate.beliefs(e, names.where("funcname % 10 = 3").join(e.select(F.col("callee").alias("funcname")).distinct(), "funcname", "left_semi"), names.where("funcname % 10 = 4"), names.where("funcname % 9 <> 0"), names)
 
 
+# the same fixpoints over all orders
+
+_ALL_CALLS = "SELECT DISTINCT o_custkey % 500 AS caller, (o_orderkey * 7) % 500 AS callee FROM orders"
+
+
+def _all_calls(spark, d) -> DataFrame:
+    return t(spark, d, "orders").selectExpr("o_custkey % 500 AS caller", "(o_orderkey * 7) % 500 AS callee").distinct()
+
+
+@query(f"WITH RECURSIVE e AS ({_ALL_CALLS}), r AS (SELECT DISTINCT callee AS funcname FROM e WHERE callee % 10 = 7 UNION SELECT e.caller FROM r JOIN e ON e.callee = r.funcname) SELECT funcname FROM r")
+def reaching_functions_all(spark, d):
+    e = _all_calls(spark, d)
+    return propagate.reach(e, e.where("callee % 10 = 7").select(F.col("callee").alias("funcname")))
+
+
+@query(f"""WITH RECURSIVE e AS ({_ALL_CALLS}), able AS (SELECT caller FROM e GROUP BY 1 HAVING NOT bool_or(callee % 10 = 4) AND caller % 9 <> 0),
+r AS (SELECT DISTINCT callee AS funcname FROM e WHERE callee % 10 = 3 UNION SELECT e.caller FROM r JOIN e ON e.callee = r.funcname JOIN able a ON a.caller = e.caller)
+SELECT funcname, CASE WHEN funcname IN (SELECT funcname FROM r) THEN 1 ELSE -1 END AS belief FROM (SELECT caller AS funcname FROM e UNION SELECT callee FROM e WHERE callee % 10 = 3)""")
+def belief_fixpoint_all(spark, d):
+    e = _all_calls(spark, d)
+    names = e.select(F.col("caller").alias("funcname")).union(e.select("callee")).distinct()
+    return propagate.beliefs(e, names.where("funcname % 10 = 3").join(e.select(F.col("callee").alias("funcname")).distinct(), "funcname", "left_semi"), names.where("funcname % 10 = 4"), names.where("funcname % 9 <> 0"), names)
+
+
 # data flow and sampling
 
 
