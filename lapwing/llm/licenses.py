@@ -1,11 +1,15 @@
 """License scans by a trained paragraph classifier, in DataFrame and SQL functions.
 
-A paragraph (a line) is read as word n-grams of one to three words. A sparse softmax
+Each line that announces a licence is a reading, and so is each block of lines around
+one (up to a line without letters or digits; comment marks are no words), so that
+hard-wrapped notices are read whole. A reading is taken as word n-grams of one to three
+words. A sparse softmax
 regression over the licence families and "none" is fitted on the fixed phrases, with
 its temperature set so that shortened phrases get the confidence they deserve. A
 paragraph whose best family is not sure enough is of an unknown licence if "none" is
 unlikely. Comparison with the family's phrases then confirms a prediction: half of
-some phrase's three-word runs must occur in the paragraph.
+some phrase's three-word runs must occur in the block. A block adds a licence of its
+own only if none of its lines is confirmed as that family.
 
 Only n-grams with a word that announces licences have weights, so a paragraph without
 such a word scores "none" exactly; those paragraphs are passed over unread. The model
@@ -93,16 +97,24 @@ def _model_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, list[str],
 
 def scan_paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, family (or 'unknown'), probability and confirmed, for each
-    paragraph that announces a licence and is not of the class 'none'."""
+    line that announces a licence and is not of the class 'none'; with line_no null,
+    for each block that is confirmed where no line of it is."""
     spark = docs.sparkSession
     model, phrases, classes, offsets = _model_tables(spark)
     announces = rf"(?i)\b(?:{'|'.join(ANNOUNCING)})\b"
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t")).where(F.col("t").rlike(announces))
-    lines = t.select("doc_id", F.posexplode(F.split("t", "\n")).alias("line_no", "line")).where(F.col("line").rlike(announces))
-    words = staged(lines.select("doc_id", "line_no", F.expr(f"regexp_extract_all(lower(line), '{_WORD_SQL}', 0)").alias("w")), "licence-lines")
-    grams = words.select("doc_id", "line_no", F.explode(F.expr("array_distinct(flatten(transform(w, (x, i) -> array(x, concat_ws(' ', x, get(w, i + 1)), concat_ws(' ', x, get(w, i + 1), get(w, i + 2))))))")).alias("gram"))
+    t = t.select("doc_id", F.split("t", "\n").alias("ls"))
+    t = t.selectExpr("doc_id", "ls", "filter(transform(ls, (l, i) -> CASE WHEN l RLIKE '[\\\\p{L}\\\\p{N}]' THEN NULL ELSE i END), i -> i IS NOT NULL) AS seps", f"filter(transform(ls, (l, i) -> CASE WHEN l RLIKE '{announces.replace(chr(92), chr(92) * 2)}' THEN i END), i -> i IS NOT NULL) AS hits")
+    # block: the line before its first one; stop: the line after its last one
+    hit = "struct(i AS line_no, coalesce(array_max(filter(seps, x -> x < i)), -1) AS block, coalesce(array_min(filter(seps, x -> x > i)), size(ls)) AS stop)"
+    t = t.selectExpr("doc_id", "ls", f"transform(hits, i -> {hit}) AS hits")
+    alone = "transform(hits, h -> struct(h.block AS block, h.line_no AS line_no, get(ls, h.line_no) AS line))"
+    whole = "transform(filter(array_distinct(transform(hits, h -> struct(h.block AS block, h.stop AS stop))), b -> b.stop - b.block > 2), b -> struct(b.block AS block, -1 AS line_no, array_join(slice(ls, b.block + 2, b.stop - b.block - 1), ' ') AS line))"
+    lines = t.selectExpr("doc_id", f"inline(concat({alone}, {whole}))")
+    key = ["doc_id", "block", "line_no"]
+    words = staged(lines.select(*key, F.expr(f"regexp_extract_all(lower(line), '{_WORD_SQL}', 0)").alias("w")), "licence-lines")
+    grams = words.select(*key, F.explode(F.expr("array_distinct(flatten(transform(w, (x, i) -> array(x, concat_ws(' ', x, get(w, i + 1)), concat_ws(' ', x, get(w, i + 1), get(w, i + 2))))))")).alias("gram"))
     useful = F.col("gram").rlike(rf"(?:^| )(?:{'|'.join(ANNOUNCING)})(?: |$)")
-    key = ["doc_id", "line_no"]
     sums = [F.sum(F.get("w", F.lit(k))).alias(f"s{k}") for k in range(len(classes))]
     scored = grams.where(useful).join(F.broadcast(model), "gram", "left").groupBy(*key).agg(F.count("*").alias("n"), *sums)
     z = F.array(*[F.lit(offsets[k]) + F.coalesce(F.col(f"s{k}"), F.lit(0.0)) / F.sqrt("n") for k in range(len(classes))])
@@ -110,8 +122,14 @@ def scan_paragraphs(docs: DataFrame) -> DataFrame:
     names = F.array(*[F.lit(c) for c in classes])
     best = p.select(*key, F.get(names, F.expr("int(array_position(p, array_max(p))) - 1")).alias("best"), F.expr("round(array_max(p), 6)").alias("probability"), F.get("p", F.lit(len(classes) - 1)).alias("none"))
     best = best.where(F.col("best") != NONE).select(*key, F.when(F.col("probability") >= SURE, F.col("best")).otherwise("unknown").alias("family"), "probability")
-    matched = grams.join(F.broadcast(phrases), "gram").groupBy(*key, "family", "phrase").agg(F.sum("share").alias("share")).groupBy(*key, "family").agg(F.max("share").alias("share"))
-    return best.join(matched, [*key, "family"], "left").select(*key, "family", "probability", (F.coalesce("share", F.lit(0.0)) >= CONFIRM).alias("confirmed"))
+    shares = grams.join(F.broadcast(phrases), "gram").groupBy(*key, "family", "phrase").agg(F.sum("share").alias("share"))
+    matched = shares.groupBy("doc_id", "block", "family").agg(F.max("share").alias("share"))
+    read = best.join(matched, ["doc_id", "block", "family"], "left").select(*key, "family", "probability", (F.coalesce("share", F.lit(0.0)) >= CONFIRM).alias("confirmed"))
+    read = staged(read, "licence-readings")
+    by_line = read.where("line_no >= 0")
+    by_block = read.where("line_no < 0 AND confirmed").join(by_line.where("confirmed").select("doc_id", "block", "family").distinct(), ["doc_id", "block", "family"], "left_anti")
+    columns = ["doc_id", "line_no", "family", "probability", "confirmed"]
+    return by_line.select(columns).unionByName(by_block.withColumn("line_no", F.lit(None).cast("int")).select(columns))
 
 
 def licenses(docs: DataFrame) -> DataFrame:

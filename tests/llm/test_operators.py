@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -310,6 +311,15 @@ def test_licenses(spark, empty):
     assert licenses.licenses(empty).count() == 0
 
 
+@pytest.mark.parametrize("width", [40, 72])
+def test_licenses_wrapped(spark, width):
+    cases = [(f, x) for f, phrases in licenses.FAMILIES.items() for x in phrases if len(x) > 72]
+    notice = lambda x: "/*\n * Some words before.\n *\n" + "\n".join(" * " + y for y in textwrap.wrap(x, width)) + "\n */\nint main;"
+    d = spark.createDataFrame([(i, notice(x)) for i, (_, x) in enumerate(cases)] + [(99, "The driver showed\na license at the border\nand went on.")], "doc_id long, text string")
+    got = {r["doc_id"]: r["families"] for r in licenses.licenses(d).collect()}
+    assert got == dict(enumerate(f for f, _ in cases)) | {99: ""}
+
+
 def test_html_held_out():
     weights, right, total = html_text.trained(), 0, 0
     for page in labelled_pages(100, seed=99):
