@@ -107,9 +107,14 @@ def native_segments(df: DataFrame, name: str, vocabulary: DataFrame) -> DataFram
 
 
 def word_ids(tokens: DataFrame, column: str, vocabulary: DataFrame) -> DataFrame:
-    """Replace tokens by dense ids: ``vocabulary`` has (word, id), ids from 1; unknown tokens get 0."""
-    long = tokens.select(*[c for c in tokens.columns if c != column], F.posexplode(column).alias("pos", "word"))
-    keys = [c for c in tokens.columns if c != column]
-    found = long.join(F.broadcast(vocabulary), "word", "left")
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(0)).alias("id")))), lambda p: p["id"])
-    return found.groupBy(*keys).agg(ids.alias("ids"))
+    """Replace tokens by dense ids: ``vocabulary`` has (word, id), ids from 1; unknown tokens get 0.
+
+    Each distinct list is looked up once and joined back to its rows, so repeated rows
+    stay, and so do rows with an empty or null list (their ids are empty).
+    """
+    lists = tokens.select(F.col(column).alias("_list")).where("size(_list) > 0").distinct()
+    long = lists.select("_list", F.posexplode("_list").alias("_pos", "word")).join(vocabulary.select("word", "id"), "word", "left")
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("id", F.lit(0)).alias("id")))), lambda p: p["id"])
+    found = long.groupBy("_list").agg(ids.alias("ids"))
+    rest = [c for c in tokens.columns if c != column]
+    return tokens.join(found, F.col(column) == F.col("_list"), "left").select(*rest, F.coalesce("ids", F.array().cast(found.schema["ids"].dataType)).alias("ids"))

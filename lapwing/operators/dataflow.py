@@ -36,7 +36,8 @@ def forward_taint(statements: DataFrame, targets: DataFrame) -> DataFrame:
         CASE WHEN s.kind = 'return' AND s.rhs IS NOT NULL AND s.callee IS NULL THEN concat(z.r, array(s.rhs)) ELSE z.r END AS r,
         CASE WHEN s.kind = 'return' AND s.callee <=> target THEN 1 ELSE z.d END AS d)"""
     fold = f"aggregate(body, struct({_NAMES} AS t, {_NAMES} AS r, 0 AS d), (z, s) -> {step})"
-    rows = _bodies(statements).join(targets.select(F.col("caller").alias("func"), F.col("callee").alias("target")).distinct(), "func")
+    wanted = targets.select(F.col("caller").alias("func"), F.col("callee").alias("target")).distinct()
+    rows = _bodies(statements.join(wanted, "func", "left_semi")).join(wanted, "func")  # bodies of callers only
     return rows.select(F.col("func").alias("caller"), F.col("target").alias("callee"), F.expr(fold).alias("f")).select("caller", "callee", F.col("f.t").alias("passed_params"), F.col("f.r").alias("return_values"), F.col("f.d").alias("direct_return"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapwing.functions.prototypes import base_name, distinct_pairs, parse_params, pointer_kind
@@ -15,13 +15,12 @@ def with_similarity(functions: DataFrame, sim: DataFrame, how: str = "inner") ->
 def target_callees(edges: DataFrame, belief: DataFrame, sim: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Callees whose data flow is followed: up to the first malloc of a caller, the
     believed ones and the similar ones that return a pointer."""
-    w = Window.partitionBy("caller", "pos").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.max((F.col("callee") == "malloc").cast("int")).over(w), F.lit(0))
-    open_ = edges.withColumn("_after", before).where("_after = 0").drop("_after")
+    first = edges.where("callee = 'malloc'").groupBy("caller", "pos").agg(F.min("nth").alias("_malloc"))
     b, s = belief.select(F.col("funcname").alias("callee"), "belief"), sim.select(F.col("funcname").alias("callee"), "cos")
-    rows = open_.join(b, "callee", "left").join(s, "callee", "left")
+    rows = edges.join(b, "callee", "left").join(s, "callee", "left")
     similar = (pointer_kind(F.col("return_type")) != "<noptr>") & (F.col("cos") >= threshold)
-    return rows.where((F.col("callee") == "malloc") | (F.col("belief").isNotNull() & ((F.col("belief") == 1) | similar)))
+    rows = rows.where((F.col("callee") == "malloc") | (F.col("belief").isNotNull() & ((F.col("belief") == 1) | similar)))
+    return rows.join(first, ["caller", "pos"], "left").where("_malloc IS NULL OR nth <= _malloc").drop("_malloc")
 
 
 def last_by_name(functions: DataFrame, name: str = "funcname", order: str = "pos") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapwing.staging import staged
+
 
 def sorted_scores(df: DataFrame, score: str, tie: str) -> DataFrame:
     return df.orderBy(F.desc(score), tie)
@@ -20,14 +22,22 @@ def distinct_reports(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("r")).select(key, *[F.col(f"r.{c}") for c in rest])
 
 
-def renumbered(rows: DataFrame, order: str, name: str = "number") -> DataFrame:
+def renumbered(rows: DataFrame, *order: str, name: str = "number") -> DataFrame:
     """1..n in order. Range partitions are counted, and each numbers its rows from what
-    lies before it, so no task holds all rows."""
-    dealt = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    dealt = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
-    return dealt.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_nth")).drop("_part", "_nth", "_before")
+    lies before it, so no task holds all rows.
+
+    The dealt rows are written once with their places: range bounds are sampled and
+    partitions joined anew whenever such a plan runs, so counts and rows must not be two
+    runs of it. Equal rows are numbered one after the other.
+    """
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # partition in the upper 31 bits, place in the lower 33
+    at = staged(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranges").withColumn("_part", F.shiftright("_at", 33))
+    sizes = at.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_part", before.alias("_before"))  # one row for each partition
+    numbered = at.join(F.broadcast(sizes), "_part").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+    return numbered.drop("_part", "_at", "_before")
 
 
 def report_hash(row_html):

@@ -3,10 +3,11 @@ doesn't depend on how the rows are dealt."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapwing.operators.ordering import renumbered
+from lapwing.staging import staged
 
 
 def _draw(seed: int, *columns: str):
@@ -22,18 +23,22 @@ def k_per_anchor(pairs: DataFrame, k: int, seed: int = 1, anchor: str = "anchor"
 def labelled_pairs(anchors: DataFrame, positives: DataFrame, negatives: DataFrame, k: int = 40, seed: int = 1) -> DataFrame:
     """(anchor, other, y): for each anchor k positives (y 1) and k negatives (y -1).
 
-    Partners are drawn by position, k draws for each anchor, so the class tables are
-    numbered once and joined by number; no anchor meets all partners.
+    Partners are drawn by position: k places of the class table, each drawn by a hash of
+    its own, without replacement. The class tables are numbered once and joined by number;
+    no anchor meets all partners. Fewer than k partners: all of them.
     """
     def drawn(table: DataFrame, y: int) -> DataFrame:
         numbered = table.select(F.col("name").alias("other")).distinct()
-        numbered = renumbered(numbered.withColumn("h", _draw(seed, "other")), "h", "n").select("other", (F.col("n") - 1).alias("n"))
+        numbered = staged(renumbered(numbered.withColumn("h", _draw(seed, "other")), "h", "other", name="n").select("other", (F.col("n") - 1).alias("n")), "partners")
         total = numbered.count()
         if not total:
             return anchors.select(F.col("name").alias("anchor"), F.lit(None).cast("string").alias("other"), F.lit(y).alias("y")).limit(0)
-        # a start for each anchor, then k places in a row of the shuffled table: distinct partners
-        draws = anchors.select(F.col("name").alias("anchor"), F.explode(F.sequence(F.lit(0), F.lit(min(k, total) - 1))).alias("d"))
-        draws = draws.withColumn("n", F.pmod(_draw(seed + y, "anchor") + F.col("d"), F.lit(total)))
+        h = f"xxhash64({seed + y}, name, d)"
+        if total <= 4 * k:  # all places, in the order of their hashes
+            places = f"transform(array_sort(transform(sequence(0L, {total - 1}L), d -> struct({h} AS h, d))), s -> s.d)"
+        else:  # four times as many draws as are asked for; the first places follow should they collide
+            places = f"array_distinct(concat(transform(sequence(1L, {4 * k}L), d -> pmod({h}, {total}L)), sequence(0L, {k - 1}L)))"
+        draws = anchors.select(F.col("name").alias("anchor"), F.explode(F.expr(f"slice({places}, 1, {k})")).alias("n"))
         return draws.join(numbered, "n").select("anchor", "other", F.lit(y).alias("y"))
 
     return drawn(positives, 1).union(drawn(negatives, -1))
@@ -52,16 +57,24 @@ def resampled_pairs(pairs: DataFrame, hard: DataFrame, k: int = 40, seed: int =
 
 def stratified_holdout(df: DataFrame, stratum: str, share: float, key: str, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(training, held out): of each stratum of n rows exactly floor(share * n) are held out."""
-    w = Window.partitionBy(stratum)
-    rows = df.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(_draw(seed, key), key)))
-    held = F.col("_r") <= F.floor(F.col("_n") * share)
-    return rows.where(~held).drop("_n", "_r"), rows.where(held).drop("_n", "_r")
+    return _split_strata(df, stratum, F.floor(F.col("_n") * share), key, seed)
 
 
 def equal_holdout(df: DataFrame, stratum: str, n: int, key: str, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(training, held out): n rows of each stratum are held out."""
-    rows = df.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(_draw(seed, key), key)))
-    return rows.where(F.col("_r") > n).drop("_r"), rows.where(F.col("_r") <= n).drop("_r")
+    return _split_strata(df, stratum, F.lit(n), key, seed)
+
+
+def _split_strata(df: DataFrame, stratum: str, held: Column, key: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The first ``held`` rows of each stratum in the order of their hashes are held out.
+
+    Rows are numbered over range partitions of (stratum, hash), so that a stratum of any
+    size is dealt over many tasks; a stratum's first number makes ranks of the numbers.
+    """
+    rows = staged(renumbered(df.withColumn("_h", _draw(seed, key)), stratum, "_h", key, name="_i"), "strata").drop("_h")
+    sizes = rows.groupBy(F.col(stratum).alias("_s")).agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))
+    ranked = rows.join(sizes, F.col(stratum).eqNullSafe(F.col("_s"))).withColumn("_held", F.col("_i") - F.col("_first") < held)
+    return tuple(ranked.where(c).select(*df.columns) for c in ("NOT _held", "_held"))
 
 
 def triplets(anchors: DataFrame, positives: DataFrame, negatives: DataFrame, per_anchor: int = 1, seed: int = 1) -> DataFrame:

@@ -66,7 +66,7 @@ def special_deallocators(functions: DataFrame, edges: DataFrame, sim: DataFrame,
     rows = functions.where(F.col("return_type").contains("void")).join(above(sim, strong), "funcname").join(reassigned.where(F.col("n") >= least), "funcname").join(calls, "funcname").join(call_counts, "funcname")
     kind = F.get(parse_params(F.col("params")), F.col("arg_index"))["raw_type"]
     weak = (2 * F.col("n") >= F.col("n_calls")) & (F.col("n") < least + 10)
-    return rows.where(kind.isNotNull() & ~kind.contains("struct") & ~weak).select("funcname", "arg_index", "n", "n_calls").orderBy(F.desc("n_calls"), "funcname")
+    return rows.where(kind.isNotNull() & ~kind.contains("struct") & ~weak).select("funcname", "arg_index", "n", "n_calls")
 
 
 def chain_candidates(candidates: DataFrame, targets: DataFrame, belief: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def split_by_flags(df: DataFrame, *flags: str) -> list[DataFrame]:
 
 
 def call_counts(candidates: DataFrame, edges: DataFrame) -> DataFrame:
-    """(funcname, n_calls): 1 + calls of each candidate whose name isn't excluded, most first."""
+    """(funcname, n_calls): 1 + calls of each candidate whose name isn't excluded."""
     names = candidates.select("funcname").distinct().where(~excluded_name(F.col("funcname")))
     calls = edges.groupBy(F.col("callee").alias("funcname")).agg(F.sum("number").alias("n"))
-    return names.join(calls, "funcname", "left").select("funcname", (F.lit(1) + F.coalesce("n", F.lit(0))).alias("n_calls")).orderBy(F.desc("n_calls"), "funcname")
+    return names.join(calls, "funcname", "left").select("funcname", (F.lit(1) + F.coalesce("n", F.lit(0))).alias("n_calls"))

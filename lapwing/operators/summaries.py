@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapwing.functions.prototypes import distinct_pairs, parse_params
@@ -12,8 +12,14 @@ BINS = 7
 
 
 def calls_by_name(edges: DataFrame) -> DataFrame:
-    """(pos, caller, callee, number): how often each callee stands in a caller group."""
-    return edges.groupBy("pos", "caller", "callee").agg(F.count("*").alias("number"))
+    """(pos, caller, callee, number): how often each callee is called in a caller group.
+
+    A callee's first line gives its number (1 if it has none), each repeat adds one, so
+    a graph that was compacted before keeps its counts. ``edges`` (pos, caller, nth, callee,
+    number); equal nth are taken by number.
+    """
+    first = F.min_by(F.coalesce("number", F.lit(1)), F.struct("nth", "number")).cast("long")
+    return edges.groupBy("pos", "caller", "callee").agg((first + F.count("*") - 1).alias("number"))
 
 
 def best_groups(edges: DataFrame, groups: DataFrame) -> DataFrame:
@@ -22,15 +28,19 @@ def best_groups(edges: DataFrame, groups: DataFrame) -> DataFrame:
     ``groups`` (caller, pos) also lists groups without calls. One row for each group is
     ranked, not the calls themselves.
     """
-    n = edges.groupBy("caller", "pos").agg(F.countDistinct("callee").alias("n"))
+    return _best(edges.groupBy("caller", "pos").agg(F.countDistinct("callee").alias("n")), groups)
+
+
+def _best(n: DataFrame, groups: DataFrame) -> DataFrame:
     rows = groups.join(n, ["caller", "pos"], "left").select("caller", "pos", F.coalesce("n", F.lit(0)).alias("n"))
     return rows.groupBy("caller").agg(F.max_by("pos", F.struct("n", -F.col("pos"))).alias("pos"), F.max("n").alias("n_callees"))
 
 
 def compacted(edges: DataFrame, groups: DataFrame) -> DataFrame:
     """The call graph of the best groups: (caller, callee, number)."""
-    best = best_groups(edges, groups).select("caller", "pos")
-    return calls_by_name(edges.join(best, ["caller", "pos"], "left_semi")).select("caller", "callee", "number")
+    counted = calls_by_name(edges)  # a group's callees are its rows: both sides read the same exchange
+    best = _best(counted.groupBy("caller", "pos").agg(F.count("*").alias("n")), groups).select("caller", "pos")
+    return counted.join(best, ["caller", "pos"], "left_semi").select("caller", "callee", "number")
 
 
 def null_checks(events: DataFrame) -> DataFrame:
@@ -41,13 +51,13 @@ def null_checks(events: DataFrame) -> DataFrame:
     bins = events.groupBy("funcname", "arg_index").agg(F.count("*").alias("c"))
     inside = F.when(F.col("arg_index") < BINS, F.col("c")).otherwise(0)
     rows = bins.select("funcname", F.when(F.col("arg_index") < BINS, F.col("arg_index")).otherwise(0).alias("i"), inside.alias("c"))
-    return rows.groupBy("funcname").agg(F.max_by("i", F.struct("c", -F.col("i"))).alias("arg_index"), F.max("c").alias("n")).orderBy(F.desc("n"), "funcname")
+    return rows.groupBy("funcname").agg(F.max_by("i", F.struct("c", -F.col("i"))).alias("arg_index"), F.max("c").alias("n"))
 
 
 def first_then_number(edges: DataFrame, order: list[str], key: str = "callee") -> DataFrame:
     """(callee, n): a callee's first call adds one, each later call its number."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return edges.withColumn("_r", F.row_number().over(w)).groupBy(key).agg(F.sum(F.when(F.col("_r") == 1, F.lit(1)).otherwise(F.col("number"))).alias("n"))
+    first = F.min_by("number", F.struct(*order))
+    return edges.groupBy(key).agg((F.sum("number") - first + 1).alias("n"))  # a hot callee is summed in each task first
 
 
 def void_pointer_callees(edges: DataFrame) -> DataFrame:

@@ -68,13 +68,15 @@ def embed(df: DataFrame, tokens: str = "tokens", model: str = "hashed") -> DataF
 
 
 def tokens_of(prototypes: DataFrame, counts: dict[str, float], total: float | None = None) -> DataFrame:
-    """(funcname, tokens) of prototypes; names over the bound are left out, by name and not by place."""
+    """(funcname, tokens) of distinct prototypes; names over the bound are left out, by
+    name and not by place. Prototypes of one name with other types or arguments have a
+    row each."""
     cut = segment_udf(counts, total)
-    rows = prototypes.where(F.length("funcname") <= LONGEST_NAME).withColumn("p", parse_params(F.col("params")))
+    rows = prototypes.select("funcname", "return_type", "params").distinct().where(F.length("funcname") <= LONGEST_NAME).withColumn("p", parse_params(F.col("params")))
     # all names of a prototype travel in one string: the segmenter sees each distinct one once
     names = rows.select(F.explode(F.concat(F.array("funcname"), F.transform("p", lambda x: x["name"]))).alias("name")).distinct().withColumn("words", cut("name"))
-    long = rows.select("funcname", "return_type", F.posexplode(F.concat(F.array(F.struct(F.lit("").alias("kind"), F.col("funcname").alias("name"))), F.transform("p", lambda x: F.struct(x["kind"].alias("kind"), x["name"].alias("name"))))).alias("i", "a"))
-    found = long.join(names, F.col("a.name") == F.col("name")).groupBy("funcname", "return_type").agg(F.transform(F.array_sort(F.collect_set(F.struct("i", "a.kind", "words"))), lambda x: F.struct(x["kind"].alias("kind"), x["words"].alias("words"))).alias("w"))
+    long = rows.select("funcname", "return_type", "params", F.posexplode(F.concat(F.array(F.struct(F.lit("").alias("kind"), F.col("funcname").alias("name"))), F.transform("p", lambda x: F.struct(x["kind"].alias("kind"), x["name"].alias("name"))))).alias("i", "a"))
+    found = long.join(names, F.col("a.name") == F.col("name")).groupBy("funcname", "return_type", "params").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "a.kind", "words"))), lambda x: F.struct(x["kind"].alias("kind"), x["words"].alias("words"))).alias("w"))
     return found.select("funcname", normalised_tokens(F.col("return_type"), F.get("w", F.lit(0))["words"], F.slice("w", 2, F.greatest(F.size("w"), F.lit(1)))).alias("tokens"))
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapwing.staging import staged
+from lapwing.staging import dropped, staged
 
 #: Bound of the rounds of ``until_stable``.
 ROUNDS = 15
@@ -28,13 +28,15 @@ def call_depths(edges: DataFrame, seeds: DataFrame, candidates: DataFrame) -> Da
     calls = staged(calls.join(reached.select(F.col("funcname").alias("callee")), "callee", "left_semi"), "calls")
     counts = calls.groupBy(F.col("caller").alias("funcname")).agg(F.count("*").alias("open"))
     state = reached.join(counts, "funcname", "left").select("funcname", F.lit(1).alias("depth"), F.coalesce("open", F.lit(0)).alias("open"), F.col("open").isNull().alias("settled"))
-    state = staged(state, "depth")
+    held = state = staged(state, "depth")
     while not state.where("settled").isEmpty():
         front = state.where("settled").select(F.col("funcname").alias("callee"), F.col("depth").alias("below"))
         up = calls.join(front, "callee").groupBy(F.col("caller").alias("funcname")).agg((F.max("below") + 1).alias("up"), F.count("*").alias("n"))
         left = F.col("open") - F.coalesce("n", F.lit(0))
         state = state.join(up, "funcname", "left").select("funcname", F.greatest("depth", "up").alias("depth"), left.alias("open"), ((F.col("open") > 0) & (left == 0)).alias("settled"))
-        state = staged(state, "depth")
+        older, state = held, staged(state, "depth")
+        dropped(older)
+        held = state
     cyclic = [r["funcname"] for r in state.where("open > 0").orderBy("funcname").limit(5).collect()]
     if cyclic:
         raise ValueError(f"calls form a cycle, depth is not defined for: {cyclic}")
@@ -54,7 +56,8 @@ def reach(edges: DataFrame, start: DataFrame, rounds: int = 1000) -> DataFrame:
         front = staged(new, "front")
         if front.isEmpty():
             break
-        known = staged(known.union(front), "known")
+        older, known = known, staged(known.union(front), "known")
+        dropped(older)
     return known
 
 
@@ -82,29 +85,47 @@ def belief_bitmap(functions: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def until_stable(start: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """Repeat a step until the number of rows stays, at most ``rounds`` times."""
+    """Repeat a step until the rows stay the same, at most ``rounds`` times."""
     state = staged(start, "state")
-    n = state.count()
+    before = _signature(state)
     for _ in range(rounds):
-        state = staged(step(state), "state")
-        m = state.count()
-        if m == n:
+        older, state = state, staged(step(state), "state")
+        dropped(older)
+        after = _signature(state)
+        if after == before:
             break
-        n = m
+        before = after
     return state
 
 
+def _signature(state: DataFrame) -> tuple:
+    """Number of rows and sum of their hashes."""
+    return tuple(state.agg(F.count("*"), F.sum(F.xxhash64(*state.columns).cast("decimal(38,0)"))).first())
+
+
 def free_summaries(statements: DataFrame, prototypes: DataFrame, seeds: DataFrame, candidates: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(funcname, params, members): what candidates free, found from the seeds up.
 
-    Each round reads the bodies of candidates with the summaries of the last one.
+    A round reads the bodies of functions that call one whose summary changed in the last
+    round (at first, a seed), with all summaries; it ends when none changes. A function
+    that calls itself on a member (``f(n->next)``) finds a longer member each round, so
+    rounds are bounded.
     """
     from lapwing.operators.dataflow import backward_aliases, consistent, freed_arguments
 
-    own = statements.join(candidates.select(F.col("funcname").alias("func")), "func", "left_semi")
-    empty = statements.sparkSession.createDataFrame([], "funcname string, params array<struct<idx:int,name:string>>, members array<struct<idx:int,name:string>>")
-
-    def step(known: DataFrame) -> DataFrame:
-        return consistent(backward_aliases(own, freed_arguments(own, seeds, known)), prototypes)
-
-    return until_stable(empty, step, rounds)
+    own = staged(statements.join(candidates.select(F.col("funcname").alias("func")), "func", "left_semi"), "bodies")
+    calls = staged(own.where("callee IS NOT NULL").select("func", "callee").distinct(), "body-calls")
+    known = staged(statements.sparkSession.createDataFrame([], "funcname string, params array<struct<idx:int,name:string>>, members array<struct<idx:int,name:string>>"), "summaries")
+    front = seeds.select(F.col("funcname").alias("callee")).distinct()
+    for _ in range(rounds):
+        touched = staged(calls.join(front, "callee", "left_semi").select("func").distinct(), "touched")
+        bodies = own.join(touched, "func", "left_semi")
+        found = consistent(backward_aliases(bodies, freed_arguments(bodies, seeds, known)), prototypes)
+        new = staged(known.join(touched.withColumnRenamed("func", "funcname"), "funcname", "left_anti").unionByName(found), "summaries")
+        marks = [t.select("funcname", F.xxhash64("params", "members").alias(h)) for t, h in ((known, "_old"), (new, "_new"))]
+        front = staged(marks[0].join(marks[1], "funcname", "full_outer").where("NOT _old <=> _new").select(F.col("funcname").alias("callee")), "changed")
+        dropped(known, touched)
+        known = new
+        if front.isEmpty():
+            break
+    return known

@@ -15,6 +15,8 @@ from lapwing.functions import segment, vectors
 from lapwing.operators import dataflow, lookups, metrics, ordering, sampling, selection, sets, summaries
 from lapwing.plans import analysis, propagate
 
+#: Most words that a segmenter function takes along.
+VOCABULARY = 500_000
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -41,7 +43,7 @@ _FUNCTIONS = [
     "p_partkey AS pos",
 ]
 _SIM = ["concat('f', CAST(p_partkey AS STRING)) AS funcname", "CAST((p_partkey * 37) % 1000 AS DOUBLE) / 1000 AS cos"]
-_EDGES = ["concat('f', CAST(l_suppkey AS STRING)) AS caller", "l_orderkey AS pos", "concat('f', CAST(l_partkey AS STRING)) AS callee", "CAST(l_quantity AS INT) AS number"]
+_EDGES = ["concat('f', CAST(l_suppkey AS STRING)) AS caller", "l_orderkey AS pos", "concat('f', CAST(l_partkey AS STRING)) AS callee", "CAST(l_quantity AS INT) AS number", "l_linenumber AS nth"]
 _TRACE = [
     "user_id AS path_id", "concat('s', CAST(event_id % 3 AS STRING)) AS sym", "event_id AS seq",
     "CASE event_type WHEN 'view' THEN 'use' WHEN 'click' THEN 'use' WHEN 'signup' THEN 'alloc' WHEN 'purchase' THEN 'free' ELSE 'other' END AS op",
@@ -116,17 +118,27 @@ def padded_id_vectors(spark, d):
     return t(spark, d, "part").select("p_partkey", F.array_join(F.transform(P.padded_ids(ids, 6), lambda x: x.cast("string")), ",").alias("ids"))
 
 
-@query("""SELECT p_partkey, CAST(v.id AS STRING) AS ids FROM (SELECT p_partkey, string_split(p_name, ' ')[1:1] AS w FROM part)
-JOIN (SELECT word, CAST(row_number() OVER (ORDER BY word) AS INT) AS id FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS word FROM part)) v ON v.word = w[1]""")
+@query("""WITH rows AS (SELECT p_partkey AS k, p_name FROM part UNION ALL SELECT p_partkey % 7, p_name FROM part UNION ALL SELECT p_partkey, '' FROM part),
+v AS (SELECT word, row_number() OVER (ORDER BY word) AS id FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part WHERE p_size > 5)),
+n AS (SELECT DISTINCT p_name FROM part), i AS (SELECT p_name, unnest(string_split(p_name, ' ')) AS word, generate_subscripts(string_split(p_name, ' '), 1) AS i FROM n),
+g AS (SELECT p_name, string_agg(CAST(coalesce(id, 0) AS STRING), ',' ORDER BY i) AS ids FROM i LEFT JOIN v USING (word) GROUP BY 1)
+SELECT k, coalesce(ids, '') AS ids FROM rows LEFT JOIN g USING (p_name)""")
 def word_id_vectors(spark, d):
-    part = t(spark, d, "part").select("p_partkey", F.slice(F.split("p_name", " "), 1, 1).alias("w"))
-    vocabulary = ordering.renumbered(part.select(F.get("w", F.lit(0)).alias("word")).distinct(), "word", "id").select("word", F.col("id").cast("int").alias("id"))
-    return segment.word_ids(part, "w", vocabulary).select("p_partkey", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    """Whole names, with repeated rows, empty lists, and words that the vocabulary lacks."""
+    part = t(spark, d, "part").withColumn("w", F.split("p_name", " "))
+    words = part.where("p_size > 5").select(F.explode("w").alias("word")).distinct()
+    rows = part.select(F.col("p_partkey").alias("k"), "w").union(part.select(F.col("p_partkey") % 7, "w")).union(part.select("p_partkey", F.array().cast("array<string>")))
+    found = segment.word_ids(rows, "w", ordering.renumbered(words, "word", name="id"))
+    return found.select("k", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 def _part_words(spark, d) -> dict[str, float]:
-    """Words of the part names with their counts: the names are drawn from a fixed list."""
-    rows = t(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(50_000).collect()
+    """Words of the part names with their counts: the names are drawn from a fixed list.
+    The function form of the segmenter holds its vocabulary in memory; one beyond its
+    bound is an error, and work for ``native_segments``."""
+    rows = t(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("w")).groupBy("w").count().limit(VOCABULARY + 1).collect()
+    if len(rows) > VOCABULARY:
+        raise ValueError(f"more than {VOCABULARY} words: use native_segments")
     return {r["w"]: float(r["count"]) for r in rows}
 
 
@@ -401,7 +413,10 @@ def prioritised_union(spark, d):
 # aggregations
 
 
-@query(_WITH + "SELECT pos, caller, callee, count(*) AS number FROM edges GROUP BY ALL")
+_COUNTED = "SELECT pos, caller, callee, arg_min(number, nth * 1000 + number) + count(*) - 1 AS number FROM edges GROUP BY ALL"
+
+
+@query(_WITH + _COUNTED)
 def calls_by_name(spark, d):
     return summaries.calls_by_name(edges(spark, d))
 
@@ -412,13 +427,24 @@ def best_groups(spark, d):
     return summaries.best_groups(e, e.select("caller", "pos").distinct())
 
 
-@query(_WITH + """, b AS (SELECT caller, arg_max(pos, n * 100000000 - pos) AS pos FROM (SELECT caller, pos, count(DISTINCT callee) AS n FROM edges GROUP BY ALL) GROUP BY caller)
-SELECT caller, callee, count(*) AS number FROM edges JOIN b USING (caller, pos) GROUP BY ALL""")
+_COMPACTED = f""", k AS ({_COUNTED}), b AS (SELECT caller, arg_max(pos, n * 100000000 - pos) AS pos FROM (SELECT caller, pos, count(*) AS n FROM k GROUP BY ALL) GROUP BY caller)
+SELECT caller, callee, number FROM k JOIN b USING (caller, pos)"""
+
+
+@query(_WITH + _COMPACTED)
 def compacted_call_graph(spark, d):
     e = edges(spark, d)
     return summaries.compacted(e, e.select("caller", "pos").distinct())
 
 
+@query(_WITH + _COMPACTED)
+def compacted_twice(spark, d):
+    """Compacting a compacted graph again changes nothing: the numbers stay."""
+    e = edges(spark, d)
+    once = summaries.compacted(e, e.select("caller", "pos").distinct()).withColumns({"pos": F.lit(0), "nth": F.lit(0)})
+    return summaries.compacted(once, once.select("caller", "pos").distinct())
+
+
 @query("""SELECT funcname, CAST(arg_max(i, c * 100 - i) AS INT) AS arg_index, CAST(max(c) AS BIGINT) AS n FROM
 (SELECT funcname, CASE WHEN i < 7 THEN i ELSE 0 END AS i, CASE WHEN i < 7 THEN c ELSE 0 END AS c FROM (SELECT user_id AS funcname, event_id % 9 AS i, count(*) AS c FROM events GROUP BY ALL)) GROUP BY 1""")
 def null_check_argmax(spark, d):
@@ -534,74 +560,46 @@ def distinct_by_name(spark, d):
     return sets.distinct_by_name(p.where("p_size < 10").groupBy("p_name").agg(F.min("p_size").alias("p_size")), p.select("p_name").distinct().withColumn("p_size", F.lit(0)), key="p_name")
 
 
-# fixpoints
-
-_DAG = "SELECT DISTINCT least(a, b) AS caller, greatest(a, b) AS callee FROM (SELECT o_custkey % 97 AS a, (o_orderkey * 31) % 97 AS b FROM orders) WHERE a <> b AND a % 4 = b % 4"
+# fixpoints: all orders are calls among as many functions as there are customers
 
+_NODES = "(SELECT count(*) FROM customer)"
+# calls go from lower to higher layers, of eight
+_DAG = f"""SELECT DISTINCT CASE WHEN a % 8 < b % 8 THEN a ELSE b END AS caller, CASE WHEN a % 8 < b % 8 THEN b ELSE a END AS callee
+FROM (SELECT o_custkey AS a, (o_orderkey * 31) % {_NODES} AS b FROM orders) WHERE a % 8 <> b % 8"""
+_CALLS = f"SELECT DISTINCT o_custkey AS caller, (o_orderkey * 7) % {_NODES} AS callee FROM orders"
 
-def _dag(spark, d) -> DataFrame:
-    o = t(spark, d, "orders").selectExpr("o_custkey % 97 AS a", "(o_orderkey * 31) % 97 AS b").where("a <> b AND a % 4 = b % 4")
-    return o.selectExpr("least(a, b) AS caller", "greatest(a, b) AS callee").distinct()
 
+def _from_orders(spark, d, sql: str) -> DataFrame:
+    """The rows of one of the texts above over the orders table."""
+    n = t(spark, d, "customer").count()
+    return spark.sql(sql.replace(_NODES, str(n)).replace("FROM orders", "FROM {orders}"), orders=t(spark, d, "orders"))
 
-@query(f"""WITH RECURSIVE e AS ({_DAG} AND b >= 85 AND a >= 60), r AS (SELECT DISTINCT callee AS funcname, 1 AS depth FROM e WHERE callee > 92 UNION
-SELECT e.caller, r.depth + 1 FROM r JOIN e ON e.callee = r.funcname WHERE e.caller NOT IN (SELECT DISTINCT callee FROM e WHERE callee > 92)) SELECT funcname, max(depth) AS depth FROM r GROUP BY 1""")
-def call_depths(spark, d):
-    o = t(spark, d, "orders").selectExpr("o_custkey % 97 AS a", "(o_orderkey * 31) % 97 AS b").where("a <> b AND a % 4 = b % 4 AND b >= 85 AND a >= 60")
-    e = o.selectExpr("least(a, b) AS caller", "greatest(a, b) AS callee").distinct()
-    names = e.select(F.col("caller").alias("funcname")).union(e.select(F.col("callee").alias("funcname"))).distinct()
-    return propagate.call_depths(e, e.where("callee > 92").select(F.col("callee").alias("funcname")), names)
 
+def _names(e: DataFrame) -> DataFrame:
+    return e.select(F.col("caller").alias("funcname")).union(e.select(F.col("callee").alias("funcname"))).distinct()
 
-@query(f"""WITH RECURSIVE e AS ({_DAG}), r AS (SELECT DISTINCT callee AS funcname, 1 AS depth FROM e WHERE callee > 92 UNION
-SELECT e.caller, r.depth + 1 FROM r JOIN e ON e.callee = r.funcname WHERE e.caller NOT IN (SELECT DISTINCT callee FROM e WHERE callee > 92)) SELECT funcname, max(depth) AS depth FROM r GROUP BY 1""")
-def call_depths_all(spark, d):
-    """As call_depths, over all calls."""
-    e = _dag(spark, d)
-    names = e.select(F.col("caller").alias("funcname")).union(e.select(F.col("callee").alias("funcname"))).distinct()
-    return propagate.call_depths(e, e.where("callee > 92").select(F.col("callee").alias("funcname")), names)
 
-
-_CYCLIC = "SELECT DISTINCT o_custkey % 500 AS caller, (o_orderkey * 7) % 500 AS callee FROM orders WHERE o_orderkey % 53 = 0"
+@query(f"""WITH RECURSIVE e AS ({_DAG}), seeds AS (SELECT DISTINCT callee FROM e WHERE callee % 16 = 7), r AS (SELECT callee AS funcname, 1 AS depth FROM seeds UNION
+SELECT e.caller, r.depth + 1 FROM r JOIN e ON e.callee = r.funcname WHERE e.caller NOT IN (SELECT callee FROM seeds)) SELECT funcname, max(depth) AS depth FROM r GROUP BY 1""")
+def call_depths(spark, d):
+    e = _from_orders(spark, d, _DAG)
+    return propagate.call_depths(e, e.where("callee % 16 = 7").select(F.col("callee").alias("funcname")), _names(e))
 
 
-@query(f"WITH RECURSIVE e AS ({_CYCLIC}), r AS (SELECT DISTINCT callee AS funcname FROM e WHERE callee % 10 = 7 UNION SELECT e.caller FROM r JOIN e ON e.callee = r.funcname) SELECT funcname FROM r")
+@query(f"WITH RECURSIVE e AS ({_CALLS}), r AS (SELECT DISTINCT callee AS funcname FROM e WHERE callee % 100 = 7 UNION SELECT e.caller FROM r JOIN e ON e.callee = r.funcname) SELECT funcname FROM r")
 def reaching_functions(spark, d):
-    e = t(spark, d, "orders").where("o_orderkey % 53 = 0").selectExpr("o_custkey % 500 AS caller", "(o_orderkey * 7) % 500 AS callee").distinct()
-    return propagate.reach(e, e.where("callee % 10 = 7").select(F.col("callee").alias("funcname")))
+    e = _from_orders(spark, d, _CALLS)
+    return propagate.reach(e, e.where("callee % 100 = 7").select(F.col("callee").alias("funcname")))
 
 
-@query(f"""WITH RECURSIVE e AS ({_CYCLIC}), able AS (SELECT caller FROM e GROUP BY 1 HAVING NOT bool_or(callee % 10 = 4) AND caller % 9 <> 0),
+@query(f"""WITH RECURSIVE e AS ({_CALLS}), able AS (SELECT caller FROM e GROUP BY 1 HAVING NOT bool_or(callee % 50 = 4) AND caller % 9 <> 0),
 r AS (SELECT DISTINCT callee AS funcname FROM e WHERE callee % 10 = 3 UNION SELECT e.caller FROM r JOIN e ON e.callee = r.funcname JOIN able a ON a.caller = e.caller)
 SELECT funcname, CASE WHEN funcname IN (SELECT funcname FROM r) THEN 1 ELSE -1 END AS belief FROM (SELECT caller AS funcname FROM e UNION SELECT callee FROM e WHERE callee % 10 = 3)""")
 def belief_fixpoint(spark, d):
-    e = t(spark, d, "orders").where("o_orderkey % 53 = 0").selectExpr("o_custkey % 500 AS caller", "(o_orderkey * 7) % 500 AS callee").distinct()
-    names = e.select(F.col("caller").alias("funcname")).union(e.select("callee")).distinct()
-    return propagate.beliefs(e, names.where("funcname % 10 = 3").join(e.select(F.col("callee").alias("funcname")).distinct(), "funcname", "left_semi"), names.where("funcname % 10 = 4"), names.where("funcname % 9 <> 0"), names)
-
-
-# the same fixpoints over all orders
-
-_ALL_CALLS = "SELECT DISTINCT o_custkey % 500 AS caller, (o_orderkey * 7) % 500 AS callee FROM orders"
-
-
-def _all_calls(spark, d) -> DataFrame:
-    return t(spark, d, "orders").selectExpr("o_custkey % 500 AS caller", "(o_orderkey * 7) % 500 AS callee").distinct()
-
-
-@query(f"WITH RECURSIVE e AS ({_ALL_CALLS}), r AS (SELECT DISTINCT callee AS funcname FROM e WHERE callee % 10 = 7 UNION SELECT e.caller FROM r JOIN e ON e.callee = r.funcname) SELECT funcname FROM r")
-def reaching_functions_all(spark, d):
-    e = _all_calls(spark, d)
-    return propagate.reach(e, e.where("callee % 10 = 7").select(F.col("callee").alias("funcname")))
-
-
-@query(f"""WITH RECURSIVE e AS ({_ALL_CALLS}), able AS (SELECT caller FROM e GROUP BY 1 HAVING NOT bool_or(callee % 10 = 4) AND caller % 9 <> 0),
-r AS (SELECT DISTINCT callee AS funcname FROM e WHERE callee % 10 = 3 UNION SELECT e.caller FROM r JOIN e ON e.callee = r.funcname JOIN able a ON a.caller = e.caller)
-SELECT funcname, CASE WHEN funcname IN (SELECT funcname FROM r) THEN 1 ELSE -1 END AS belief FROM (SELECT caller AS funcname FROM e UNION SELECT callee FROM e WHERE callee % 10 = 3)""")
-def belief_fixpoint_all(spark, d):
-    e = _all_calls(spark, d)
-    names = e.select(F.col("caller").alias("funcname")).union(e.select("callee")).distinct()
-    return propagate.beliefs(e, names.where("funcname % 10 = 3").join(e.select(F.col("callee").alias("funcname")).distinct(), "funcname", "left_semi"), names.where("funcname % 10 = 4"), names.where("funcname % 9 <> 0"), names)
+    e = _from_orders(spark, d, _CALLS)
+    names = _names(e)
+    seeds = e.where("callee % 10 = 3").select(F.col("callee").alias("funcname")).distinct()
+    return propagate.beliefs(e, seeds, names.where("funcname % 50 = 4"), names.where("funcname % 9 <> 0"), names)
 
 
 # data flow and sampling

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PROTOTYPE = "return_type string, funcname string, params string, file string, begin array<int>, end array<int>, number int"
@@ -16,8 +16,8 @@ def _numbered(spark: SparkSession, path: str, separator: str | None = None) -> D
 
 def until_blank(lines: DataFrame) -> DataFrame:
     """Lines before the first blank one of each file."""
-    w = Window.partitionBy("source").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("ended", F.max((F.trim("value") == "").cast("int")).over(w)).where("ended = 0").drop("ended")
+    ends = lines.where(F.trim("value") == "").groupBy("source").agg(F.min("pos").alias("_end"))  # a row for each file
+    return lines.join(ends, "source", "left").where("_end IS NULL OR pos < _end").drop("_end")
 
 
 def read_call_graph(spark: SparkSession, path: str, fix_quotes: bool = False) -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lapwing.operators.summaries import calls_by_name
+from lapwing.staging import dropped, remove, staged
+
 
 def log_stream(spark: SparkSession, path: str, schema: str, per_trigger: int = 100) -> DataFrame:
     """JSON lines that concurrent writers append as new files."""
@@ -20,21 +23,54 @@ def first_visits(stream: DataFrame, key: str = "funcname") -> DataFrame:
     return stream.dropDuplicates([key])
 
 
-def compacting_writer(stream: DataFrame, target: str, checkpoint: str):
-    """Merge each batch of (caller, pos, callee, number) rows into a table of the best groups.
+_EDGES = "caller string, pos long, nth long, callee string, number long, bucket int"
+
+
+def _manifest(spark: SparkSession, target: str, epoch: int) -> dict[int, str]:
+    """The folder of each bucket's rows after a batch; a row for each of the buckets."""
+    rows = spark.read.schema("bucket int, path string").parquet(f"{target}/manifest/{epoch}").collect() if epoch >= 0 else []
+    return {r["bucket"]: r["path"] for r in rows}
+
+
+def _rows_of(spark: SparkSession, paths) -> DataFrame:
+    paths = sorted(paths)
+    return spark.read.schema(_EDGES).parquet(*paths) if paths else spark.createDataFrame([], _EDGES)
+
+
+def compacted_table(spark: SparkSession, target: str, epoch: int) -> DataFrame:
+    """(caller, callee, number) of the best groups after batch ``epoch``."""
+    return _rows_of(spark, _manifest(spark, target, epoch).values()).select("caller", "callee", "number")
+
+
+def compacting_writer(stream: DataFrame, target: str, checkpoint: str, buckets: int = 64):
+    """Merge each batch of (caller, pos, nth, callee, number) rows into a table of the best groups.
 
-    A batch is written as a version of its own and the pointer moves last, so a batch
-    that is tried again gives the same table.
+    Callers are dealt into buckets by hash. A batch reads and rewrites the buckets of its
+    own callers only, to folders of its own; the manifest, written last, says where each
+    bucket's rows are, so a batch that is tried again gives the same table. Folders that
+    the manifests of this batch and the one before don't name are deleted.
     """
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        before = f"{target}/v{epoch - 1}"
-        rows = batch.select("caller", "pos", "callee", "number")
-        if epoch > 0:
-            rows = rows.unionByName(spark.read.parquet(before))
-        sizes = rows.groupBy("caller", "pos").agg(F.countDistinct("callee").alias("n"))
+        before = _manifest(spark, target, epoch - 1)
+        number = F.coalesce(F.col("number").cast("long"), F.lit(1))
+        fresh = batch.select("caller", F.col("pos").cast("long").alias("pos"), F.col("nth").cast("long").alias("nth"), "callee", number.alias("number"), F.pmod(F.hash("caller"), F.lit(buckets)).alias("bucket"))
+        fresh = staged(fresh, "batch")
+        touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets``
+        rows = fresh.unionByName(_rows_of(spark, {before[b] for b in touched if b in before}))
+        counted = calls_by_name(rows).withColumn("nth", F.lit(0).cast("long"))
+        sizes = counted.groupBy("caller", "pos").agg(F.count("*").alias("n"))
         best = sizes.groupBy("caller").agg(F.max_by("pos", F.struct("n", -F.col("pos"))).alias("pos"))
-        rows.join(best, ["caller", "pos"], "left_semi").write.mode("overwrite").parquet(f"{target}/v{epoch}")
+        out = counted.join(best, ["caller", "pos"], "left_semi").withColumn("bucket", F.pmod(F.hash("caller"), F.lit(buckets)))
+        out = out.select("caller", "pos", "nth", "callee", "number", "bucket", F.col("bucket").alias("part"))
+        out.write.mode("overwrite").partitionBy("part").parquet(f"{target}/rows/{epoch}")
+        now = before | {b: f"{target}/rows/{epoch}/part={b}" for b in touched}
+        spark.createDataFrame(list(now.items()), "bucket int, path string").coalesce(1).write.mode("overwrite").parquet(f"{target}/manifest/{epoch}")
+        dropped(fresh)
+        for path in set(_manifest(spark, target, epoch - 2).values() if epoch > 1 else ()) - set(now.values()) - set(before.values()):
+            remove(spark, path)
+        if epoch > 1:
+            remove(spark, f"{target}/manifest/{epoch - 2}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 

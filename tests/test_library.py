@@ -178,6 +178,9 @@ def test_free_summaries(spark):
     assert got["drop"] == ([(0, "p")], [])
     assert got["drop_all"] == ([(0, "box")], [(0, "box->item")])
     assert got["outer"] == ([], [(0, "b->inner"), (0, "b->inner->item")])
+    again = spark.createDataFrame([("walk", 1, "call", None, None, "walk", arg("n->next")), ("walk", 2, "call", None, None, "free", arg("n"))], _FACTS)
+    one = propagate.free_summaries(again, spark.createDataFrame([("walk", "struct n *@n,")], "funcname string, params string"), seeds, spark.createDataFrame([("walk",)], "funcname string"), 3).first()
+    assert [tuple(m) for m in one["members"]] == [(0, "n->next"), (0, "n->next->next")]  # bounded, else it grows for ever
 
 
 def test_null_resets(spark):
@@ -208,16 +211,62 @@ def test_streamed_bugs(spark, tmp_path):
 
 def test_stream_visits_and_compaction(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.json").write_text('{"caller":"a","pos":1,"callee":"x","number":1}\n{"caller":"a","pos":2,"callee":"x","number":1}\n{"caller":"a","pos":2,"callee":"y","number":1}')
-    s = streams.log_stream(spark, str(tmp_path / "in"), "caller string, pos long, callee string, number int")
-    q = streams.compacting_writer(s, str(tmp_path / "out"), str(tmp_path / "cp")).start()
+    (tmp_path / "in/a.json").write_text('{"caller":"a","pos":1,"callee":"x","number":1}\n{"caller":"a","pos":2,"callee":"x","number":5}\n{"caller":"a","pos":2,"callee":"y","number":1}')
+    s = streams.log_stream(spark, str(tmp_path / "in"), "caller string, pos long, nth int, callee string, number int", per_trigger=1)
+    for batch in ([("b", 3, 0, "z", None)], [("a", 2, 2, "y", 1)], [("a", 4, 0, "p", 1)], [("b", 3, 1, "z", 1)]):
+        (tmp_path / f"in/b{batch[0][1]}{batch[0][2]}.json").write_text("\n".join(json.dumps(dict(zip(("caller", "pos", "nth", "callee", "number"), x, strict=True))) for x in batch))
+    q = streams.compacting_writer(s, str(tmp_path / "out"), str(tmp_path / "cp"), buckets=4).start()
     q.processAllAvailable()
     q.stop()
-    assert names(spark.read.parquet(str(tmp_path / "out/v0")), "pos", "callee") == [(2, "x"), (2, "y")]
+    assert names(streams.compacted_table(spark, str(tmp_path / "out"), 4), "caller", "callee", "number") == [("a", "x", 5), ("a", "y", 2), ("b", "z", 2)]
+    assert sorted(p.name for p in (tmp_path / "out/manifest").iterdir() if not p.name.startswith(".")) == ["3", "4"]
     v = streams.first_visits(s.withColumnRenamed("caller", "funcname")).writeStream.format("memory").queryName("visits").start()
     v.processAllAvailable()
     v.stop()
-    assert spark.table("visits").count() == 1
+    assert names(spark.table("visits"), "funcname") == ["a", "b"]
+
+
+@pytest.mark.parametrize("partitions", [4, 40, 200])
+def test_renumbered_keeps_all_rows(spark, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        rows = spark.range(1_000_000).select(F.pmod(F.xxhash64("id"), F.lit(700_000)).alias("k"), F.lit("x" * 20).alias("wide"))
+        got = ordering.renumbered(rows, "k")
+        n = F.col("number")
+        out = got.agg(F.count("*"), F.countDistinct(n), F.min(n), F.max(n), F.corr("k", n)).first()
+        assert tuple(out)[:4] == (1_000_000, 1_000_000, 1, 1_000_000)
+        swaps = got.alias("a").join(got.select((n - 1).alias("number"), F.col("k").alias("next")), "number").where("next < k").count()
+        assert swaps == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_numbers_of_calls(spark):
+    e = spark.createDataFrame([("a", 1, 0, "x", 5), ("a", 1, 1, "x", 2), ("a", 1, 2, "y", None), ("b", 2, 0, "x", None), ("b", 2, 1, "x", None)], "caller string, pos long, nth int, callee string, number int")
+    assert names(summaries.calls_by_name(e), "caller", "callee", "number") == [("a", "x", 6), ("a", "y", 1), ("b", "x", 2)]
+
+
+def test_tokens_of_prototypes_of_one_name(spark):
+    p = spark.createDataFrame([("f", "int", "int@aa,"), ("f", "int", "char *@bb,int@aa,"), ("f", "int", "int@aa,")], "funcname string, return_type string, params string")
+    got = names(analysis.tokens_of(p, {"f": 1.0, "aa": 1.0, "bb": 1.0}), F.array_join("tokens", " "))
+    assert got == ["<cls> <noptr> f ( <noptr> aa )", "<cls> <noptr> f ( <ptr> bb <dot> <noptr> aa )"]
+
+
+def test_shared_folder_is_asked_for(spark):
+    from lapwing import staging
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        staging.shared_dir(Session)
+    Session.conf["spark.checkpoint.dir"] = "/shared"
+    assert staging.shared_dir(Session) == "/shared"
 
 
 def test_report(spark):
