@@ -3,28 +3,37 @@
 The kernel of two words counts the subsequences of three characters they share, with
 up to two characters in between, and runs of four; each skipped character halves a
 subsequence's weight, so an insult with inserted characters still lies close to the
-insult. Runs of single characters are read as one word ("i d i o t").
-
-Training words come from labelled texts: words that stand in toxic texts far more
-often than in others, against words of the others. A linear SVM is fitted on the
-words' Nyström features (kernel to the landmarks, whitened). As the kernel is an
-inner product of explicit counts, the decision function becomes one table of weights
-of the landmarks' subsequences, and a word's score is a sum over its own. A text's
-score is that of its most toxic word, turned into a probability by a logistic curve
-fitted on the labelled training texts.
+insult. Runs of single characters are read as one word ("i d i o t"), and words over
+``PIECE`` characters as overlapping pieces. The kernel of two sentences is the sum over
+their pairs of words.
+
+A linear SVM is trained on labelled sentences: those of texts labelled toxic against
+those of the others, by their Nyström features (kernel to the landmarks, whitened).
+Landmarks are words of the labelled texts, ranked by how far their frequencies in the
+two classes lie apart, which serves rare languages too. A toxic text has harmless
+sentences as well, so after the first fit only the worst part of each toxic text stays
+positive, and the SVM is fitted again. As the kernel is an inner product of explicit
+counts, the decision function becomes one table of weights of the landmarks'
+subsequences, and the score of a run of words the sum of its words' scores.
+
+A text is judged by its worst word, its worst short and longer stretch of words, and its
+mean, which a logistic curve fitted on the labelled training texts turns into a
+probability. A word counts where it first stands in the text, whatever the text's length.
 
 Labels are read only for rows with crc32(doc_id) mod 5 other than 0, and of these a
 sample of at most ``SAMPLE`` texts of either class (the smallest hashes of doc_id).
-Where a class has no labelled text, every score is 0.
+All words and sentences of the sampled texts are used. Where a class has no labelled
+text, every score is 0.
 
-Defined results: a null or empty text has no words and gets the score of a text with
-the least toxic word; an empty table gives an empty result; repeated rows get the
-same result each.
+Defined results: a null or empty text has no words and gets the score of a text whose
+stretches all count nothing; an empty table gives an empty result; repeated rows get
+the same result each, and rows that share a doc_id are scored by their own texts. In
+training, a doc_id with several labels counts once for each.
 """
 
 from __future__ import annotations
 
-import math
+import re
 import zlib
 
 import numpy as np
@@ -35,71 +44,114 @@ from pyspark.sql import functions as F
 from lapwing.llm.bpe import _Missing
 from lapwing.llm.common import small_arrow_batches, staged, table, text_or_empty
 
-#: Labelled texts of each class, training words of each class, landmarks.
-SAMPLE, WORDS, LANDMARKS = 3000, 1500, 160
-CACHE_WORDS = 200_000
+#: Labelled texts of each class, landmarks of each class.
+SAMPLE, LANDMARKS = 1500, 160
+#: Words of a training sentence at most, and of the stretches a text is judged by.
+SPANS = (24, 96)
+CACHE_WORDS, CACHE_VECTORS = 200_000, 40_000
+PIECE = 40
 #: Characters of a subsequence, counted from its first; each further character of its span halves the weight.
 PATTERNS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4), (0, 1, 2, 3))
 _WEIGHTS = [0.5 ** (p[-1] + 1 - len(p)) for p in PATTERNS]
 _WEIGHTED = list(zip(PATTERNS, _WEIGHTS, strict=True))
 _STRIP = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
-LOWEST = -3.0
-
-
-def units(text: str) -> set[str]:
-    """Distinct words of a text: lower case, outer punctuation off, single characters joined."""
-    runs = text.lower().split()
-    found = set(runs)
-    if sum(map(len, found)) < 40 * len(found) and any(len(r) == 1 for r in found):
-        joined, at = [], 0
-        for r in runs:
-            if len(r) == 1:
-                joined.append(r)
-                at += 1
-            else:
-                if at > 2:
-                    found.add("".join(joined))
-                if at:
-                    joined, at = [], 0
-        if at > 2:
-            found.add("".join(joined))
-    return found
+_SINGLES = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
+#: Fits after the first one, and the part of a toxic text that stays positive.
+ROUNDS, WORST = 3, 0.25
+PENALTY = 0.0003
+#: What a word must score to count at all: a long text's many harmless words must not add up.
+MARGIN = 0.3
+
+
+def units(text: str) -> list[str]:
+    """Distinct words of a text in order: lower case, three and more single characters in
+    a row joined. A word counts where it first stands: saying it again makes no text worse."""
+    low = text.lower()
+    if _SINGLES.search(low):
+        low = _SINGLES.sub(lambda m: "".join(m[0].split()), low)
+    return list(dict.fromkeys(low.split()))
 
 
 def plain(word: str) -> str:
     return word.strip(_STRIP)
 
 
+def pieces(word: str) -> list[str]:
+    """The word itself, or overlapping pieces of a long one."""
+    n = len(word)
+    return [word] if n <= PIECE else [word[k : k + PIECE] for k in range(0, n - PIECE // 2, PIECE // 2)]
+
+
+def sentences(words: list[str]) -> list[list[str]]:
+    """Runs of words up to one that ends a sentence, at most ``SPANS[0]`` long."""
+    out, at = [], 0
+    for k, w in enumerate(words, 1):
+        if k - at == SPANS[0] or w[-1] in ".!?":
+            out.append(words[at:k])
+            at = k
+    return [*out, words[at:]] if at < len(words) else out
+
+
 def subsequences(word: str) -> list[tuple[str, float]]:
     out = []
     w = f"^{word}$"
-    for p, weight in zip(PATTERNS, _WEIGHTS, strict=True):
+    for p, weight in _WEIGHTED:
         out += [(s, weight) for s in map("".join, zip(*[w[k:] for k in p]))]  # noqa: B905
     return out
 
 
 def _norm(length: int) -> float:
-    return math.sqrt(sum(max(0, length + 2 - p[-1]) * x * x for p, x in zip(PATTERNS, _WEIGHTS, strict=True))) or 1.0
-
-
-def _counts(words: list[str], index: dict[str, int]) -> np.ndarray:
-    x = np.zeros((len(words), len(index)))
-    for row, w in zip(x, words, strict=True):
-        for s, weight in subsequences(w):
-            k = index.get(s)
+    return sum(max(0, length + 2 - p[-1]) * x * x for p, x in _WEIGHTED) ** 0.5 or 1.0
+
+
+class Kernel:
+    """Explicit counts of the landmarks' subsequences, and their whitened projection."""
+
+    def __init__(self, landmarks: list[str]):
+        self.index: dict[str, int] = {}
+        for w in landmarks:
+            for s, _ in subsequences(w):
+                self.index.setdefault(s, len(self.index))
+        base = np.array([self.counts(w) for w in landmarks])
+        values, vectors = np.linalg.eigh(base @ base.T)
+        good = values > 1e-6 * values[-1]
+        #: Maps counts to Nyström features.
+        self.project = (base.T @ (vectors[:, good] / np.sqrt(values[good]))).astype(np.float32)
+
+    def counts(self, word: str) -> np.ndarray:
+        """A word's counts over its norm: the inner product of two words' is their kernel."""
+        x = np.zeros(len(self.index))
+        for s, weight in subsequences(word):
+            k = self.index.get(s)
             if k is not None:
-                row[k] += weight
-        row /= _norm(len(w))
-    return x
+                x[k] += weight
+        return x / _norm(len(word))
+
+    def features(self, word: str) -> np.ndarray:
+        """Nyström features of a word; those of a long one's pieces, added."""
+        out = np.zeros(self.project.shape[1], np.float32)
+        for p in pieces(plain(word)):
+            known = [(k, weight) for s, weight in subsequences(p) if (k := self.index.get(s)) is not None]
+            if known and len(p) > 2:
+                out += np.array([v for _, v in known], np.float32) @ self.project[[k for k, _ in known]] / _norm(len(p))
+        return out
+
+    def sentences(self, found: list[list[str]], known: dict[str, np.ndarray]) -> np.ndarray:
+        """Nyström features of sentences: their words' features, added. ``known`` is a cache."""
+        out = np.zeros((len(found), self.project.shape[1]), np.float32)
+        for row, words in zip(out, found, strict=True):
+            for w in words:
+                row += known[w]
+        return out
 
 
 class WordModel:
-    """Scores words by a table of subsequence weights."""
+    """Scores words by a table of subsequence weights, and texts by their stretches."""
 
-    def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias = weights, bias
+    def __init__(self, weights: dict[str, float]):
+        self.weights = weights
         self.tables = {n: {s: v for s, v in weights.items() if len(s) == n} for n in {len(p) for p in PATTERNS}}
-        self.norms = [_norm(n) for n in range(64)]
+        self.norms = [_norm(n) for n in range(PIECE + 1)]
         self.known = _Missing(self._score, CACHE_WORDS)
         self.cache = _Missing(self.word, CACHE_WORDS)
 
@@ -109,73 +161,85 @@ class WordModel:
     def _score(self, w: str) -> float:
         n = len(w)
         if n < 3:
-            return LOWEST
-        if n > 40:  # long runs are read in overlapping pieces
-            return max(self._score(w[k : k + 40]) for k in range(0, n - 20, 20))
+            return 0.0
+        if n > PIECE:
+            return sum(map(self._score, pieces(w)))
         w = f"^{w}$"
         tails = [w, w[1:], w[2:], w[3:], w[4:]]
         total = 0.0
         for p, weight in _WEIGHTED:
             found = map(self.tables[len(p)].get, map("".join, zip(*[tails[k] for k in p])))  # noqa: B905
             total += weight * sum(filter(None, found))
-        return total / self.norms[n] + self.bias
-
-    def text(self, text: str) -> float:
-        return max(map(self.cache.__getitem__, units(text)), default=LOWEST)
-
-
-def fit_words(positive: dict[str, float], negative: dict[str, float], penalty: float = 0.003) -> WordModel:
-    """Nyström features to landmarks of both classes, then a linear SVM with squared
-    hinge loss by Newton steps. The words' values are their weights; either class
-    counts one half."""
-    half = LANDMARKS // 2
-    landmarks = list(positive)[:half]
-    landmarks += list(negative)[: LANDMARKS - len(landmarks)]
-    index: dict[str, int] = {}
-    for w in landmarks:
-        for s, _ in subsequences(w):
-            index.setdefault(s, len(index))
-    base = _counts(landmarks, index)
-    values, vectors = np.linalg.eigh(base @ base.T)
-    good = values > 1e-6 * values[-1]
-    whiten = vectors[:, good] / np.sqrt(values[good])
-    x = _counts([*positive, *negative], index) @ base.T @ whiten
-    x = np.hstack([x, np.ones((len(x), 1))])
-    y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-    c = np.array([*positive.values(), *negative.values()])
-    c = np.where(y > 0, c / c[y > 0].sum(), c / c[y < 0].sum()) / 2
-    keep = np.full(x.shape[1], penalty)
+        return total / self.norms[n]
+
+    def text(self, text: str) -> tuple[float, ...]:
+        """What a text's words score over ``MARGIN``: the worst word, the worst short and
+        long stretch, and the mean of a long one."""
+        over = np.maximum(np.fromiter(map(self.cache.__getitem__, units(text)), np.float64) - MARGIN, 0.0)
+        if not len(over):
+            return 0.0, 0.0, 0.0, 0.0
+        sums = np.concatenate([[0.0], np.cumsum(over)])
+        worst = [float((sums[n:] - sums[:-n]).max()) if len(over) >= n else float(sums[-1]) for n in SPANS]
+        return float(over.max()), *worst, float(sums[-1]) * SPANS[1] / max(SPANS[1], len(over))
+
+
+def fit_svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, penalty: float, start: np.ndarray | None = None) -> np.ndarray:
+    """A linear SVM with squared hinge loss by Newton steps; the last weight is the offset."""
+    keep = np.full(x.shape[1] + 1, penalty)
     keep[-1] = 1e-6
-    w = np.zeros(x.shape[1])
-    for _ in range(30):
-        inside = y * (x @ w) < 1
-        xi, ci, yi = x[inside], c[inside], y[inside]
-        new = np.linalg.solve(np.diag(keep) + (xi * ci[:, None]).T @ xi, (xi * (ci * yi)[:, None]).sum(0))
-        if np.abs(new - w).max() < 1e-9:
-            break
+    w = np.zeros(x.shape[1] + 1) if start is None else start
+    for _ in range(12):
+        inside = y * (x @ w[:-1] + w[-1]) < 1
+        xi, ci, yi = np.hstack([x[inside], np.ones((inside.sum(), 1), x.dtype)]), c[inside], y[inside]
+        new = np.linalg.solve(np.diag(keep) + (xi * ci[:, None].astype(x.dtype)).T @ xi, xi.T @ (ci * yi))
+        if np.abs(new - w).max() < 1e-4 * np.abs(new).max():
+            return new
         w = new
-    flat = base.T @ (whiten @ w[:-1])
-    return WordModel({s: float(flat[k]) for s, k in index.items()}, float(w[-1]))
+    return w
+
+
+def fit_sentences(x: np.ndarray, toxic: np.ndarray, text: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
+    """Weights of sentences' features. ``toxic`` and ``text`` tell each sentence's label and text.
+
+    Each class counts one half, each toxic text as much as the others; after the first
+    fit, a toxic text's worst sentences stay positive and the others are left out.
+    """
+    y = np.where(toxic, 1.0, -1.0)
+    used, w = np.ones(len(y), bool), None
+    for _ in range(1 + ROUNDS):
+        share = 1.0 / np.maximum(1, np.bincount(text[used], minlength=text.max() + 1))
+        c = np.where(toxic, share[text], 1.0)
+        c = np.where(toxic, c / c[toxic & used].sum(), c / c[~toxic].sum()) / 2
+        w = fit_svm(x[used], y[used], c[used], penalty, w)
+        scores = x @ w[:-1]
+        order = np.lexsort((-scores, text))
+        rank = np.empty(len(y), np.int64)
+        begin = np.searchsorted(text[order], text[order])
+        rank[order] = np.arange(len(y)) - begin
+        size = np.bincount(text, minlength=text.max() + 1)[text]
+        used = ~toxic | (rank < np.maximum(1, np.ceil(WORST * size)))
+    return w
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(toxic, text) of a bounded sample of labelled rows that are not held out."""
+    """(id, toxic, text) of a bounded sample of labelled rows that are not held out."""
     ids = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL AND crc32(CAST(doc_id AS STRING)) % 5 <> 0")
-    ids = ids.select(F.col("doc_id").cast("long").alias("id"), (F.col("toxic") > 0).cast("int").alias("toxic")).withColumn("h", F.xxhash64("id"))
+    ids = ids.select(F.col("doc_id").cast("long").alias("id"), (F.col("toxic") > 0).cast("int").alias("toxic")).distinct().withColumn("h", F.xxhash64("id"))
     picked = ids.where("toxic = 1").orderBy("h", "id").limit(sample).union(ids.where("toxic = 0").orderBy("h", "id").limit(sample)).select("id", "toxic")
     # at most 2 * sample rows
-    return docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).join(F.broadcast(picked), "id").select("toxic", "text")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).join(F.broadcast(picked), "id").select("id", "toxic", "text")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[WordModel | None, float, float]:
-    """The word model and the slope and offset of the logistic curve over text scores."""
-    small_arrow_batches(docs.sparkSession)
-    rows = training_rows(docs, labels, sample)
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[WordModel | None, np.ndarray]:
+    """The word model and the weights of the logistic curve over texts' scores."""
+    spark = docs.sparkSession
+    small_arrow_batches(spark)
+    rows = staged(training_rows(docs, labels, sample), "toxic-rows")
 
     def words(batches):
         for b in batches:
-            for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = sorted({p for p in map(plain, units(text)) if 3 <= len(p) <= 40})
+            for toxic, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                found = sorted({q for w in units(text) for q in pieces(plain(w)) if len(q) > 2})
                 found.append("")  # counts the texts
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([toxic] * len(found), pa.int32())], names=["word", "toxic"])
 
@@ -183,52 +247,76 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Wor
     totals = tally.where("word = ''").collect()
     bad, fine = (totals[0]["bad"], totals[0]["fine"]) if totals else (0, 0)
     if not bad or not fine:
-        return None, 0.0, 0.0
-    tally = tally.where("word <> ''").withColumn("ratio", ((F.col("bad") + 0.2) / bad) / ((F.col("fine") + 0.2) / fine))
-    least = 2 if bad < 200 else 3
-    positive = tally.where(f"bad >= {least} AND ratio >= 6 AND fine <= 0.02 * bad").orderBy(F.desc("bad"), "word").limit(WORDS).collect()
-    common = tally.where("fine >= 2 AND ratio < 2").orderBy(F.desc("fine"), "word").limit(WORDS).collect()
-    rare = tally.where("fine >= 1 AND ratio < 4").orderBy(F.xxhash64("word"), "word").limit(2 * WORDS).collect()
-    good = {r["word"] for r in positive}
-    negative = list(dict.fromkeys(r["word"] for r in [*common, *rare] if r["word"] not in good))
-    if not good or not negative:
-        return None, 0.0, 0.0
-    # the most frequent words of either class come first and are the landmarks
-    model = fit_words({r["word"]: float(r["bad"]) for r in positive}, {w: 1.0 for w in negative})
+        return None, np.zeros(5)
+    # how many texts a word sets apart, by the logarithm of its frequencies' ratio
+    ratio = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("fine") + 0.5) / (fine + 1))
+    ranked = tally.where("word <> ''").withColumn("gain", ratio * F.when(ratio > 0, F.col("bad")).otherwise(F.col("fine")))
+    top = ranked.where("gain > 0").orderBy(F.desc("gain"), "word").limit(LANDMARKS).collect()
+    common = ranked.where("gain <= 0").orderBy(F.desc("fine"), "word").limit(LANDMARKS).collect()
+    landmarks = list(dict.fromkeys(r["word"] for r in [*top, *common]))
+    if not landmarks:
+        return None, np.zeros(5)
+    kernel = Kernel(landmarks)
+
+    def features(batches):
+        known = _Missing(kernel.features, CACHE_VECTORS)
+        for b in batches:
+            for doc, toxic, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                x = kernel.sentences(sentences(units(text)), known)
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(x), pa.int64()), pa.array([toxic] * len(x), pa.int32()), pa.array(list(x), pa.list_(pa.float32()))], names=["id", "toxic", "x"])
+
+    made = staged(rows.mapInArrow(features, "id long, toxic int, x array<float>"), "toxic-sentences").toArrow()
+    if not made.num_rows:
+        return None, np.zeros(5)
+    x = made["x"].combine_chunks().flatten().to_numpy().reshape(made.num_rows, -1)
+    toxic = made["toxic"].to_numpy() > 0
+    keys = np.stack([made["id"].to_numpy(), toxic.astype(np.int64)], 1)
+    w = fit_sentences(x, toxic, np.unique(keys, axis=0, return_inverse=True)[1].ravel())
+    flat = kernel.project @ w[:-1]
+    weights = {s: float(flat[k]) for s, k in kernel.index.items()}
 
     def scored(batches):
+        model = WordModel(weights)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.text(t) for t in b.column(1).to_pylist()], pa.float64())], names=["toxic", "raw"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([model.text(t) for t in b.column(2).to_pylist()], pa.list_(pa.float64()))], names=["toxic", "raw"])
 
-    seen = rows.mapInArrow(scored, "toxic int, raw double").collect()
-    raw, y = np.array([r["raw"] for r in seen]), np.array([float(r["toxic"]) for r in seen])
-    return model, *_logistic(raw, y)
+    seen = rows.mapInArrow(scored, "toxic int, raw array<double>").collect()
+    return WordModel(weights), fit_logistic(np.array([r["raw"] for r in seen]), np.array([float(r["toxic"]) for r in seen]))
+
+
+def fit_logistic(raw: np.ndarray, y: np.ndarray, decay: float = 0.01) -> np.ndarray:
+    """Weights of a logistic curve by Newton steps; the last one is the offset. The rarer
+    class is weighed by the root of the classes' ratio."""
+    x = np.hstack([raw, np.ones((len(raw), 1))])
+    c = np.where(y > 0, max(1.0, y.sum()) ** -0.5, max(1.0, (1 - y).sum()) ** -0.5)
+    c *= len(y) / c.sum()
+    keep = np.array([decay * len(y)] * raw.shape[1] + [1e-6 * len(y)])
+    w = np.zeros(x.shape[1])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (c * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(keep)
+        step = np.linalg.solve(h, x.T @ (c * (y - p)) - keep * w)
+        w = w + np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
 
 
-def _logistic(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    a, b = 1.0, 0.0
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a * raw + b, -30, 30)))
-        v = np.maximum(p * (1 - p), 1e-6)
-        h = np.array([[(v * raw * raw).sum() + 1e-2 * len(y), (v * raw).sum()], [(v * raw).sum(), v.sum() + 1e-3]])
-        g = np.array([((y - p) * raw).sum() - 1e-2 * a * len(y) * 0.1, (y - p).sum()])
-        d = np.linalg.solve(h, g)
-        a, b = max(0.05, a + d[0]), b + d[1]
-    return float(a), float(b)
+def probabilities(raw: np.ndarray, curve: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(raw @ curve[:-1] + curve[-1], -30, 30)))
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted for each document."""
-    model, slope, offset = train(docs, labels, sample)
-    weights = (model.weights, model.bias) if model else None
+    model, curve = train(docs, labels, sample)
+    weights = model.weights if model else None
 
     def run(batches):
-        mine = WordModel(*weights) if weights else None
+        mine = WordModel(weights) if weights else None
         for b in batches:
             ids = b.column(0).to_pylist()
             held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i in ids]
-            raw = np.array([mine.text(t) for t in b.column(1).to_pylist()]) if mine else np.full(len(ids), -np.inf)
-            p = 1 / (1 + np.exp(-np.clip(slope * raw + offset, -30, 30))) if mine else np.zeros(len(ids))
+            p = probabilities(np.array([mine.text(t) for t in b.column(1).to_pylist()]), curve) if mine else np.zeros(len(ids))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long"), text_or_empty()).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lapwing.llm import bpe, exact, graph, html_text, licenses, lines, packing, pii, quality, simhash, toxicity
+from lapwing.llm import bpe, exact, graph, html_text, licenses, lines, packing, pii, quality, simhash
 from lapwing.llm.html_pages import labelled_pages
 
 TEXTS = [
@@ -353,22 +353,3 @@ def test_html_texts(spark):
     rows = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "<article><p>cut off text <a hre")], "page_id long, url string, html string")
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.extract(rows).collect()}
     assert got[1][0] == "Head & more\nFirst one. Two\nNext <b>" and got[2] == ("", 0) and got[3] == ("", 0) and got[4][0] == "cut off text"
-
-
-def test_toxicity(spark, empty):
-    r = random.Random(9)
-    plain = ["".join(r.choice("etaoinshr") for _ in range(r.randint(3, 9))) for _ in range(400)]
-    rows, labels = [], []
-    for i in range(600):
-        toxic = int(i % 4 == 0)
-        w = r.choices(plain, k=40) + ["blargh", "zonkwit"][: toxic * 2]
-        r.shuffle(w)
-        rows.append((i, " ".join(w)))
-        labels.append((i, 1, toxic))
-    rows += [(1000, "nothing to see here"), (1001, "you bl.ar-gh person"), (1002, None), (1003, "z o n k w i t")]
-    d, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    got = {x["doc_id"]: x for x in toxicity.score(d, lab).collect()}
-    assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, _ in rows)
-    assert sum(got[i]["predicted"] != t for i, _, t in labels) <= 3
-    assert got[1000]["predicted"] == 0 and got[1002]["predicted"] == 0 and got[1003]["predicted"] == 1 and got[1001]["score"] > got[1000]["score"]
-    assert toxicity.score(empty, lab).count() == 0 and toxicity.score(d, lab.limit(0)).where("score <> 0").count() == 0
