@@ -1,13 +1,15 @@
 """Quality rules by weak supervision, in DataFrame and SQL functions only.
 
 Each rule votes good, bad or abstains; expectation-maximisation over the vote
-patterns estimates how reliable each rule is on good and on bad documents, and a
-document is kept if its posterior probability of being good is at least one half.
+patterns, from the majority of the votes on, estimates how often each rule is right on
+good and on bad documents, and a document is kept if its posterior probability of being
+good is at least one half. So a rule that objects to good documents as well weighs
+little, and its objection alone rejects nothing; no rule is a filter of its own.
 Two base rules stand above the vote: under ten words, or over a fifth of the words
 inside repeated five-word windows, and the document is out.
 
 Everything about a text is worked out in its own row; only the counts of vote
-patterns (at most 3^8) are shuffled. Five-word windows are compared by 64-bit hashes.
+patterns (at most 3^10, some hundreds in practice) are shuffled. Five-word windows are compared by 64-bit hashes.
 
 Defined results: a null text has no words and fails the base rules, as does an empty
 one; an empty table gives an empty result; repeated rows get the same result each.
@@ -27,6 +29,10 @@ WINDOW = 5
 #: Kinds of words are counted anew in each block of so many words: over a whole text
 #: their share falls with its length.
 BLOCK = 100
+#: Runs of letters with single other characters between them, and one mark before and after at most.
+_PLAIN = r"^\\p{P}?[\\p{L}\\p{M}]++(?:[^\\p{L}\\p{M}][\\p{L}\\p{M}]++)*+\\p{P}?$"
+#: Fixed frequent words of English, German, French and Spanish.
+FUNCTION_WORDS = "the of and to in is that for with der die das und ist nicht mit ein le la les des et est que une dans el los las y en por con del"
 _SPACE = r"\\x20\\x09-\\x0D"
 
 
@@ -67,20 +73,24 @@ def text_features(docs: DataFrame, text: str = "text", carry: bool = False) -> D
         "CAST(length(t) - length(replace(t, '.', '')) AS LONG) AS n_stops",
         "CAST(regexp_count(t, '[A-ZÀ-ÖØ-Þ]') AS LONG) AS n_upper",
         f"CAST(size(array_distinct(transform(words, (w, i) -> xxhash64(w, i div {BLOCK})))) AS LONG) AS n_kinds",
+        f"CAST(size(filter(words, w -> w RLIKE '{_PLAIN}')) AS LONG) AS n_plain",
+        f"CAST(size(array_intersect(words, split('{FUNCTION_WORDS}', ' '))) AS LONG) AS n_function",
     )
 
 
 #: Of each rule, the condition for voting bad and the one for voting good where it is
-#: not bad. The absence of one defect is no sign of quality, so most only object.
+#: not bad; else it abstains.
 RULES = {
-    "symbols": ("10 * n_symbols > n_words", "false"),
-    "bangs": ("4 * n_bangs > n_words", "false"),
-    "upper": ("2 * n_upper > word_chars", "false"),
-    "repeats": ("5 * n_repeat_words > n_words", "false"),
-    "dup_lines": ("n_dup_lines >= 3 AND 10 * n_dup_lines > n_words", "false"),
-    "word_length": ("word_chars > 15 * n_words OR word_chars < 2 * n_words", "false"),
+    "symbols": ("10 * n_symbols > n_words", "100 * n_symbols <= n_words"),
+    "bangs": ("4 * n_bangs > n_words", "20 * n_bangs <= n_words"),
+    "upper": ("2 * n_upper > word_chars", "5 * n_upper <= word_chars"),
+    "repeats": ("5 * n_repeat_words > n_words", "10 * n_repeat_words <= n_words"),
+    "dup_lines": ("n_dup_lines >= 3 AND 10 * n_dup_lines > n_words", "n_dup_lines = 0"),
+    "word_length": ("word_chars > 15 * n_words OR word_chars < 2 * n_words", "word_chars BETWEEN 3 * n_words AND 12 * n_words"),
     "variety": ("n_words >= 30 AND 20 * n_kinds < 3 * n_words", "3 * n_kinds >= n_words"),
     "sentences": ("n_words >= 60 AND 60 * n_stops < n_words", "n_words >= 20 AND 30 * n_stops >= n_words"),
+    "plain_words": ("5 * n_plain < 3 * n_words", "5 * n_plain >= 4 * n_words"),
+    "function_words": ("n_words >= 40 AND n_function = 0", "n_function >= 3"),
 }
 
 

@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EM_ROUNDS = 25
-#: Strength of the rates that EM starts from, in times the number of rows.
-DRAW = 3
+EM_ROUNDS = 60
+#: Rows that are added to each count, so that no rate is 0 or 1.
+PSEUDO = 1.0
 FIT_ROUNDS = 150
 
 
@@ -22,46 +22,34 @@ def vote_patterns(votes: DataFrame, column: str = "votes") -> DataFrame:
     return votes.groupBy(column).agg(F.count("*").alias("n")).withColumnRenamed(column, "votes")
 
 
-def em_posteriors(patterns: DataFrame, voters: int, prior: float = 0.85) -> DataFrame:
+def em_posteriors(patterns: DataFrame, voters: int, prior: float = 0.5) -> DataFrame:
     """(votes, n, posterior): probability that a row with these votes is positive.
 
-    A voter's reliability is how often it says what on positive and on negative rows:
-    a and b hold those rates, three for each voter (abstains, negative, positive),
-    drawn towards the rates it starts from as by ``DRAW`` times the rows (voters are
-    written to be right when they object, and EM should weigh them, not find another
-    way to halve the rows), and so is the share of positive rows. The rates it starts from
-    are fixed, but a voter that objects to more rows than ``1 - prior`` can hold must be
-    wrong on the rest: those objections are dealt to the positive rows, which takes its
-    weight. A negative vote never counts
-    for a row, nor a positive one against it, and abstaining says nothing. A row on
-    which all abstain gets the prior that was estimated. An empty table gives an
-    empty result.
+    A voter's accuracy is how often it says positive where it votes, on positive rows (a)
+    and on negative rows (b). Both, and the share of positive rows (p), are estimated from
+    all rows, with ``PSEUDO`` rows of either vote added; nothing else holds them. Rows start
+    with their share of positive votes (``prior`` counting as one vote), and rates and
+    posteriors are worked out in turn. A vote then weighs what the rates make it weigh,
+    against its own words too; abstaining says nothing, and a row on which all abstain gets
+    p. An empty table gives an empty result.
     """
     j = f"sequence(0, {voters - 1})"
-    k = "3 * j + get(r.votes, j) + 1"
-    weight = f"ln(get(m.a, {k}) / get(m.b, {k}))"
-    log_odds = f"""aggregate({j}, ln(m.p / (1 - m.p)), (z, j) -> z + CASE get(r.votes, j)
-        WHEN 1 THEN greatest(0D, {weight}) WHEN 0 THEN least(0D, {weight}) ELSE 0D END)"""
-    posterior = f"1D / (1D + exp(-({log_odds})))"
+    begin = f"""transform(ps, r -> struct(r.votes AS votes, r.n AS n,
+        ({prior}D + size(filter(r.votes, v -> v = 1))) / (1D + size(filter(r.votes, v -> v >= 0))) AS q))"""
 
-    total = "greatest(1e-9D, aggregate(w, 0D, (z, r) -> z + r.n))"  # no rows: nothing is divided by zero
+    def rate(weight: str) -> str:
+        says = f"aggregate(w, {PSEUDO}D, (z, r) -> z + CASE WHEN get(r.votes, j) = 1 THEN {weight} ELSE 0D END)"
+        votes = f"aggregate(w, {2 * PSEUDO}D, (z, r) -> z + CASE WHEN get(r.votes, j) >= 0 THEN {weight} ELSE 0D END)"
+        return f"{says} / {votes}"
 
-    def rates(weight: str, start: str) -> str:
-        said = f"aggregate(w, 0D, (z, r) -> z + CASE WHEN get(r.votes, k div 3) + 1 = k % 3 THEN {weight} ELSE 0D END)"
-        return f"transform(sequence(0, {3 * voters - 1}), k -> ({said} + {DRAW} * {total} * get({start}, k)) / (aggregate(w, 0D, (z, r) -> z + {weight}) + {DRAW} * {total}))"
-
-    objects = f"aggregate(ps, 0D, (z, r) -> z + CASE WHEN get(r.votes, j) = 0 THEN r.n ELSE 0D END) / {total.replace('aggregate(w,', 'aggregate(ps,')}"
-    starts = f"""transform(array(transform({j}, j -> {objects})), os -> struct(
-        flatten(transform(os, o -> transform(array(greatest(0.003D, (o - {1 - prior:.6f}D) / {prior}D)), x -> array((1 - x) * 0.197D / 0.997D, x, (1 - x) * 0.8D / 0.997D))[0])) AS a,
-        flatten(transform(os, o -> transform(array(greatest(0.35D, o)), x -> array(0D, x, 1 - x))[0])) AS b))[0]"""
-    positive = "aggregate(w, 0D, (z, r) -> z + r.n * r.q)"
-    step = f"""transform(array(transform(ps, r -> struct(r.votes AS votes, r.n AS n, {posterior} AS q))), w -> struct(
-        least(0.99D, greatest(0.01D, ({positive} / {total} + {prior}D) / 2)) AS p, {rates("r.n * r.q", "s.a")} AS a, {rates("r.n * (1 - r.q)", "s.b")} AS b))[0]"""
-    begin = f"struct({prior}D AS p, s.a AS a, s.b AS b)"
-    model = f"transform(array({starts}), s -> aggregate(sequence(1, {EM_ROUNDS}), {begin}, (m, i) -> {step}))[0]"
+    good, all_ = f"aggregate(w, {PSEUDO}D, (z, r) -> z + r.n * r.q)", f"aggregate(w, {2 * PSEUDO}D, (z, r) -> z + r.n)"
+    odds = f"""transform({j}, j -> transform(array(struct({rate("r.n * r.q")} AS a, {rate("r.n * (1 - r.q)")} AS b)), x -> struct(ln(x.a / x.b) AS yes, ln((1 - x.a) / (1 - x.b)) AS no))[0])"""
+    fit = f"struct({odds} AS o, ln({good} / ({all_} - {good})) AS p)"
+    logit = f"aggregate({j}, m.p, (z, j) -> z + CASE get(r.votes, j) WHEN 1 THEN get(m.o, j).yes WHEN 0 THEN get(m.o, j).no ELSE 0D END)"
+    step = f"transform(array({fit}), m -> transform(w, r -> struct(r.votes AS votes, r.n AS n, 1D / (1D + exp(-({logit}))) AS q)))[0]"
     one = patterns.select(F.struct("votes", F.col("n").cast("double").alias("n")).alias("r")).agg(F.sort_array(F.collect_list("r")).alias("ps")).where("size(ps) > 0")
-    done = one.selectExpr(f"transform(array({model}), m -> transform(ps, r -> struct(r.votes AS votes, r.n AS n, {posterior} AS posterior)))[0] AS ps")
-    return done.selectExpr("inline(ps)").select("votes", F.col("n").cast("long").alias("n"), "posterior")
+    done = one.selectExpr(f"inline(aggregate(sequence(1, {EM_ROUNDS}), {begin}, (w, i) -> {step}))")
+    return done.select("votes", F.col("n").cast("long").alias("n"), F.col("q").alias("posterior"))
 
 
 def logistic_scores(rows: DataFrame, features: int, rate: float = 2.0, decay: float = 1e-3) -> DataFrame:
