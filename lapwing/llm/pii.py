@@ -10,7 +10,8 @@ the classifier takes are added to the base spans. Base spans (email, ip, card,
 phone) are decided by their form alone and always stay.
 
 Spans are found as the gaps between the pieces of a split by the same pattern, so
-start and end are code points of the whole text. All patterns move on in one pass:
+start and end are code points of the whole text; running sums are made by doubling, so
+work grows with the text's length and n log n of its matches. All patterns move on in one pass:
 their repetitions are possessive, and one that must begin at the head of a run looks
 back one character (or stands where the last match ended). Work on a text starts
 only if it holds the characters its pattern needs.
@@ -43,6 +44,8 @@ WIDER = {
     "secret": (r"contains(t, '=') OR contains(t, ':')", r"(?i)(?<![a-z])(?:password|passwd|pwd|token|secret|api[_-]?key)[\"'']? ?[=:] ?[\"'']?[a-z0-9+/_.-]{8,}+"),
 }
 KINDS = [*BASE, *WIDER]
+#: Characters before a candidate that are read, and code points of a block of text.
+BEFORE, BLOCK = 24, 4096
 LABELERS = ("form", "gazetteer", "context", "shape", "surroundings")
 
 _DIGITS = "length(regexp_replace(m, '[^0-9]', ''))"
@@ -53,30 +56,51 @@ _DOMAINS = "com|org|net|edu|gov|io|de|fr|es|uk|eu|info"
 _CUES = "mail|e-mail|contact|phone|tel|call|mobile|fax|ssn|social|card|visa|ip|host|address|login|user|password|token|secret|key"
 
 
+def scan_sql(values: str, join: str) -> str:
+    """Running results over an array: ``join`` of x and y, for y before x. Each of the
+    log2(n) steps joins what lies twice as far back, so no prefix is walked or copied
+    anew for each element."""
+    step = f"transform(z, (x, i) -> CASE WHEN i >= shiftleft(1, k) THEN transform(array(get(z, i - shiftleft(1, k))), y -> {join})[0] ELSE x END)"
+    return f"transform(array({values}), v -> CASE WHEN size(v) < 2 THEN v ELSE aggregate(sequence(0, CAST(ceil(log2(size(v))) AS INT) - 1), v, (z, k) -> {step}) END)[0]"
+
+
 def spans_sql(kind: str, need: str, pattern: str, keep: str = "true") -> str:
-    """Array of (kind, s, e, m) for the matches of a pattern in the column t."""
+    """Array of (kind, s, e, votes) for the matches of a pattern in the column t.
+
+    The text lies in the pieces between matches and the matches; running lengths give the
+    places, and what stands around a match is read from its neighbours, never by a place in
+    the whole text.
+    """
     keep = keep.replace("{digits}", _DIGITS).replace("{luhn}", f"({_LUHN})")
-    at = "CAST(z.at + length(get(ps, i)) AS INT)"
-    step = f"struct({at} + length(get(ms, i)) AS at, concat(z.spans, array(struct({KINDS.index(kind)} AS kind, {at} AS s, {at} + length(get(ms, i)) AS e, get(ms, i) AS m))) AS spans)"
-    empty = "CAST(array() AS array<struct<kind:int,s:int,e:int,m:string>>)"
-    found = f"""transform(array(regexp_extract_all(t, '{pattern}', 0)), ms -> CASE WHEN size(ms) = 0 THEN {empty} ELSE
-        transform(array(split(t, '{pattern}', -1)), ps -> aggregate(sequence(0, size(ms) - 1), struct(0 AS at, {empty} AS spans), (z, i) -> {step}, z -> z.spans))[0] END)[0]"""
-    kept = found if keep == "true" else f"filter({found}, x -> transform(array(x.m), m -> {keep})[0])"
-    return f"CASE WHEN {need} THEN {kept} ELSE {empty} END"
-
-
-def _votes_sql(x: str = "x") -> str:
-    """Votes of the labelers on a candidate x of the text t, as one string of digits (2: abstains)."""
-    before = f"lower(substr(t, greatest(1, {x}.s - 23), least(24, {x}.s)))"
-    prior, after = f"substr(t, {x}.s, least(1, {x}.s))", f"substr(t, {x}.e + 1, 1)"
-    m = f"{x}.m"
-    k = {name: i for i, name in enumerate(KINDS)}
-    form = f"CASE WHEN {x}.kind < {len(BASE)} THEN 1 WHEN {x}.kind = {k['secret']} THEN CASE WHEN {m} RLIKE '[0-9]' AND {m} RLIKE '[A-Za-z0-9+/_.-]{{12,}}$' THEN 1 ELSE 0 END WHEN {x}.kind = {k['national_id']} THEN CASE WHEN {m} RLIKE '^(?:000|666|9)|-00-|-0000$' THEN 0 ELSE 1 END ELSE 2 END"
-    gaz = f"CASE WHEN {m} RLIKE '(?i)[.](?:{_DOMAINS})$' OR {m} RLIKE '(?i)^(?:password|passwd|token|secret|api)' THEN 1 WHEN {x}.kind = {k['email']} THEN 2 ELSE 2 END"
-    context = f"CASE WHEN {before} RLIKE '(?<![a-z])(?:{_CUES})[^a-z]*$' THEN 1 ELSE 2 END"
-    shape = f"CASE WHEN {m} RLIKE '^(.)\\\\1*$' OR regexp_replace({m}, '[^0-9A-Za-z]', '') RLIKE '^(.)\\\\1*$' THEN 0 WHEN length({m}) BETWEEN 7 AND 80 THEN 1 ELSE 2 END"
-    around = f"CASE WHEN {prior} RLIKE '[A-Za-z0-9]' OR {after} RLIKE '[A-Za-z0-9]' THEN 0 ELSE 1 END"
-    return f"concat({', '.join(f'({v})' for v in (form, gaz, context, shape, around))})"
+    empty = "CAST(array() AS array<struct<kind:int,s:int,e:int,votes:string>>)"
+    ends = scan_sql("transform(ms, (m, i) -> length(m) + length(get(ps, i)))", "x + y")
+    # the shortest match has five characters: five of them hold what lies BEFORE characters back
+    back = ", ".join(f"coalesce(right(get(ps, i - {k}), {BEFORE}), ''), coalesce(get(ms, i - {k}), '')" for k in range(5, 0, -1))
+    around = f"struct(lower(right(concat({back}, right(get(ps, i), {BEFORE})), {BEFORE})) AS b, left(concat(left(get(ps, i + 1), 1), coalesce(left(get(ms, i + 1), 1), '')), 1) AS a)"
+    span = f"struct({KINDS.index(kind)} AS kind, get(es, i) - length(m) AS s, get(es, i) AS e, transform(array({around}), c -> {_votes_sql(kind)})[0] AS votes)"
+    if keep != "true":
+        span = f"CASE WHEN {keep} THEN {span} END"
+    found = f"transform(array({ends}), es -> filter(transform(ms, (m, i) -> {span}), x -> x IS NOT NULL))[0]"
+    split_ = f"transform(array(split(t, '{pattern}', -1)), ps -> {found})[0]"
+    return f"CASE WHEN {need} THEN transform(array(regexp_extract_all(t, '{pattern}', 0)), ms -> CASE WHEN size(ms) = 0 THEN {empty} ELSE {split_} END)[0] ELSE {empty} END"
+
+
+def _votes_sql(kind: str) -> str:
+    """Votes of the labelers on a match m with c.b before and c.a after it, as one string
+    of digits (2: abstains)."""
+    form = "2"
+    if kind in BASE:
+        form = "1"
+    elif kind == "secret":
+        form = "CASE WHEN m RLIKE '[0-9]' AND m RLIKE '[A-Za-z0-9+/_.-]{12,}$' THEN 1 ELSE 0 END"
+    elif kind == "national_id":
+        form = "CASE WHEN m RLIKE '^(?:000|666|9)|-00-|-0000$' THEN 0 ELSE 1 END"
+    gazetteer = f"CASE WHEN m RLIKE '(?i)[.](?:{_DOMAINS})$' OR m RLIKE '(?i)^(?:password|passwd|token|secret|api)' THEN 1 ELSE 2 END"
+    context = f"CASE WHEN c.b RLIKE '(?<![a-z])(?:{_CUES})[^a-z]*$' THEN 1 ELSE 2 END"
+    value = r"regexp_replace(m, '^.*[=: ]', '')" if kind == "secret" else "m"  # what the word before it announces
+    shape = rf"CASE WHEN regexp_replace({value}, '[^0-9A-Za-z]', '') RLIKE '^(.)\\1*+$' THEN 0 WHEN length(m) BETWEEN 7 AND 80 THEN 1 ELSE 2 END"
+    around = "CASE WHEN right(c.b, 1) RLIKE '[A-Za-z0-9]' OR c.a RLIKE '[A-Za-z0-9]' THEN 0 ELSE 1 END"
+    return f"concat({', '.join(f'({v})' for v in (form, gazetteer, context, shape, around))})"
 
 
 def candidates(docs: DataFrame, text: str = "text", carry: bool = False) -> DataFrame:
@@ -87,10 +111,9 @@ def candidates(docs: DataFrame, text: str = "text", carry: bool = False) -> Data
     carried = ["row"] * carry
     base = [f"{spans_sql(kind, *BASE[kind])} AS {kind}" for kind in BASE]
     wider = [spans_sql(kind, *WIDER[kind]) for kind in WIDER]
-    t = t.selectExpr("doc_id", "t", *carried, *base, f"concat({', '.join(wider)}) AS wider")
+    t = t.selectExpr("doc_id", *carried, *base, f"concat({', '.join(wider)}) AS wider")
     bare = [f"transform({kind}, x -> struct(x.s AS s, x.e AS e)) AS {kind}" for kind in BASE]
-    cands = f"transform(concat({', '.join(BASE)}, wider), x -> struct(x.kind AS kind, x.s AS s, x.e AS e, {_votes_sql()} AS votes)) AS cands"
-    return t.selectExpr("doc_id", *carried, *bare, cands)
+    return t.selectExpr("doc_id", *carried, *bare, f"concat({', '.join(BASE)}, wider) AS cands")
 
 
 def span_model(found: DataFrame) -> DataFrame:
@@ -98,7 +121,7 @@ def span_model(found: DataFrame) -> DataFrame:
     each = found.select(F.explode("cands").alias("c")).select("c.kind", "c.votes")
     numbers = [F.when(F.substring("votes", k + 1, 1) == "2", -1).otherwise(F.substring("votes", k + 1, 1).cast("int")) for k in range(len(LABELERS))]
     counts = staged(each.groupBy("kind", "votes").agg(F.count("*").alias("n")).withColumn("v", F.array(*numbers)), "span-votes")
-    reliable = em_posteriors(counts.groupBy("v").agg(F.sum("n").alias("n")).withColumnRenamed("v", "votes"), len(LABELERS), prior=0.7)
+    reliable = em_posteriors(counts.groupBy("v").agg(F.sum("n").alias("n")).withColumnRenamed("v", "votes"), len(LABELERS))
     joined = counts.join(F.broadcast(reliable.select(F.col("votes").alias("v"), "posterior")), "v")
     kinds = [(F.col("kind") == k).cast("double") for k in range(len(KINDS))]
     says = [(F.get("v", F.lit(k)) == value).cast("double") for k in range(len(LABELERS)) for value in (0, 1)]
@@ -115,9 +138,21 @@ def personal_data(docs: DataFrame, carry: bool = False) -> DataFrame:
     wanted = F.array(*[F.lit(x) for x in sorted(taken)]) if taken else F.array().cast("array<string>")
     base = F.concat(*[F.expr(f"transform({k}, x -> struct({i} AS kind, x.s AS s, x.e AS e))") for i, k in enumerate(BASE)])
     found = found.withColumn("base", base)
-    extra = F.expr(f"filter(cands, c -> c.kind >= {len(BASE)} AND NOT exists(base, b -> b.s < c.e AND c.s < b.e))")
-    extra = F.transform(F.filter(extra, lambda c: F.array_contains(wanted, F.concat_ws(":", c["kind"].cast("string"), c["votes"]))), lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e")))
-    return found.withColumn("all", F.sort_array(F.concat("base", extra)))
+    extra = F.filter("cands", lambda c: (c["kind"] >= len(BASE)) & F.array_contains(wanted, F.concat_ws(":", c["kind"].cast("string"), c["votes"])))
+    extra = F.transform(extra, lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e")))
+    found = found.withColumn("extra", extra).withColumn("extra", F.expr(free_sql("extra", "base")))
+    return found.withColumn("all", F.sort_array(F.concat("base", "extra")))
+
+
+def free_sql(spans: str, others: str) -> str:
+    """The spans that touch none of the others. Both are put in order of their starts;
+    then the furthest end before a span and the next start after it tell."""
+    n = len(BASE)
+    order = f"sort_array(transform(concat({spans}, {others}), x -> struct(x.s AS s, x.e AS e, x.kind AS kind)))"
+    before = scan_sql(f"transform(o, x -> CASE WHEN x.kind < {n} THEN x.e ELSE 0 END)", "greatest(x, y)")
+    after = f"reverse({scan_sql(f'transform(reverse(o), x -> CASE WHEN x.kind < {n} THEN x.s ELSE 2147483647 END)', 'least(x, y)')})"
+    free = f"filter(transform(o, (x, i) -> CASE WHEN x.kind >= {n} AND get(b, i) <= x.s AND get(a, i) >= x.e THEN struct(x.kind AS kind, x.s AS s, x.e AS e) END), x -> x IS NOT NULL)"
+    return f"CASE WHEN size({spans}) = 0 OR size({others}) = 0 THEN {spans} ELSE transform(array({order}), o -> transform(array({before}), b -> transform(array({after}), a -> {free})[0])[0])[0] END"
 
 
 def spans_text(column: str):
@@ -125,18 +160,37 @@ def spans_text(column: str):
     return F.array_join(F.transform(F.col(column), lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def masked_sql(text: str, spans: str) -> str:
+    """The text with each run of overlapping spans replaced by the kind of its first span.
+
+    The text is read in blocks of ``BLOCK`` code points, so that a place costs a block's
+    length at most to find.
+    """
+    names = ", ".join(f"'{k}'" for k in KINDS)
+    order = f"sort_array(transform({spans}, x -> struct(x.s AS s, -x.e AS e, x.kind AS kind)))"
+    ends = scan_sql("transform(o, x -> -x.e)", "greatest(x, y)")
+    heads = "filter(transform(o, (x, i) -> CASE WHEN i = 0 OR get(es, i - 1) <= x.s THEN i END), i -> i IS NOT NULL)"
+    # text from f to s, out of whole blocks and parts of the first and last one
+    cut = f"""CASE WHEN f div {BLOCK} = s div {BLOCK} THEN substr(get(bs, f div {BLOCK}), f % {BLOCK} + 1, s - f)
+        ELSE concat(substr(get(bs, f div {BLOCK}), f % {BLOCK} + 1), array_join(slice(bs, f div {BLOCK} + 2, s div {BLOCK} - f div {BLOCK} - 1), ''), coalesce(left(get(bs, s div {BLOCK}), s % {BLOCK}), '')) END"""
+    cut = cut.replace(f"f div {BLOCK}", f"int(f div {BLOCK})").replace(f"s div {BLOCK}", f"int(s div {BLOCK})")
+    piece = lambda f, s: f"coalesce(transform(array(struct({f} AS f, {s} AS s)), p -> {cut.replace('f div', 'p.f div').replace('f %', 'p.f %').replace('s div', 'p.s div').replace('s %', 'p.s %').replace('s - f', 'p.s - p.f')})[0], '')"
+    before = piece("CASE WHEN i = 0 THEN 0 ELSE get(es, h - 1) END", "get(o, h).s")
+    parts = f"transform(hs, (h, i) -> concat({before}, '<', get(array({names}), get(o, h).kind), '>'))"
+    rest = piece("get(es, size(es) - 1)", f"length({text})")
+    body = f"concat(array_join({parts}, ''), {rest})"
+    blocks = f"regexp_extract_all({text}, '(?s).{{1,{BLOCK}}}', 0)"
+    return f"transform(array({order}), o -> transform(array({ends}), es -> transform(array({heads}), hs -> transform(array({blocks}), bs -> {body})[0])[0])[0])[0]"
+
+
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents with each span of personal data replaced by its kind in angle
-    brackets; of overlapping spans, the first (then the longest) is replaced. n_chars,
-    where there is such a column, is counted anew. Documents without spans stay as they
-    are, and no document is shuffled."""
+    """The documents with their personal data replaced by its kind in angle brackets; a
+    run of overlapping spans by that of the first (of equal starts, the longest) one.
+    n_chars, where there is such a column, is counted anew. Documents without spans stay
+    as they are, and no document is shuffled. A null text stays null, an empty table gives
+    an empty one, repeated rows stay repeated."""
     found = personal_data(docs, carry=True)
-    names = ", ".join(f"'{k}'" for k in KINDS)
-    order = "array_sort(`all`, (a, b) -> CASE WHEN a.s < b.s THEN -1 WHEN a.s > b.s THEN 1 WHEN a.e > b.e THEN -1 WHEN a.e < b.e THEN 1 ELSE 0 END)"
-    merged = f"""aggregate({order}, struct(0 AS at, CAST(array() AS array<string>) AS parts),
-        (z, x) -> CASE WHEN x.s < z.at THEN z ELSE struct(x.e AS at, concat(z.parts, array(substr(row.text, z.at + 1, x.s - z.at), concat('<', get(array({names}), x.kind), '>'))) AS parts) END,
-        z -> concat(array_join(z.parts, ''), substr(row.text, z.at + 1)))"""
-    out = found.select("row", F.size("all").alias("spans"), F.expr(f"CASE WHEN size(`all`) = 0 THEN row.text ELSE {merged} END").alias("clean"))
+    out = found.select("row", F.size("all").alias("spans"), F.expr(f"CASE WHEN size(`all`) = 0 THEN row.text ELSE {masked_sql('row.text', '`all`')} END").alias("clean"))
     own = {c: F.col(f"row.`{c}`") for c in docs.columns}
     own["text"] = F.col("clean")
     if "n_chars" in own:

@@ -7,6 +7,7 @@ import itertools
 import random
 import re
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -226,6 +227,64 @@ def test_pii_redaction(docs, empty):
     assert pii.redact(docs).columns == docs.columns and pii.redact(empty).count() == 0
 
 
+def test_pii_surroundings_and_masks(spark):
+    """What the labelers see around each match, and masking across blocks, against the text itself."""
+    r = random.Random(13)
+    texts = ["tel 555-123-4567 or a@b.c,d@e.f", "password=abcdef123456 mail x@y.org" * 3, "é🎉" * 3000 + " ip 10.0.0.1 " + "z" * 9000 + " +1 (499) 555-6503", "1.2.3.4 5.6.7.8" * 700]
+    texts += ["".join(r.choice(["a@b.c ", "x", "1.2.3.4", " 555-123-4567 ", "+1 (499) 555-6503", "é", ";", "token: abc123def456ghi ", "123-45-6789"]) for _ in range(r.randint(1, 60))) for _ in range(60)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in pii.candidates(d).collect():
+        text = texts[row["doc_id"]]
+        for c in row["cands"]:
+            before, after = text[max(0, c["s"] - pii.BEFORE) : c["s"]].lower(), text[c["e"] : c["e"] + 1]
+            glued = bool(re.search("[A-Za-z0-9]", before[-1:] + after))
+            cue = bool(re.search(rf"(?<![a-z])(?:{pii._CUES})[^a-z]*$", before))
+            assert c["votes"][4] == "10"[glued] and c["votes"][2] == "21"[cue]
+    names = dict(enumerate(pii.KINDS))
+    masked = {x["doc_id"]: x["text"] for x in pii.redact(d).collect()}
+    for row in pii.personal_data(d).collect():
+        text, out, end = texts[row["doc_id"]], [], 0
+        for c in sorted(row["all"], key=lambda c: (c["s"], -c["e"])):
+            if c["s"] >= end:
+                out += [text[end : c["s"]], f"<{names[c['kind']]}>"]
+            end = max(end, c["e"])
+        assert masked[row["doc_id"]] == "".join(out) + text[end:]
+        base = [c for c in row["all"] if c["kind"] < len(pii.BASE)]
+        assert all(b["e"] <= c["s"] or c["e"] <= b["s"] for c in row["all"] if c["kind"] >= len(pii.BASE) for b in base)
+
+
+def test_pii_many_matches_in_one_text(spark):
+    """20,000 addresses in one text: work grows with the matches, not with their square."""
+    d = spark.createDataFrame([(1, "mail name@host.org, " * 20_000), (2, None), (None, "1.2.3.4")], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.personal_data(d).select("doc_id", F.size("all").alias("n"), F.get("all", F.lit(19_999))["s"].alias("last")).collect()}
+    assert got[1]["n"] == 20_000 and got[1]["last"] == 20 * 19_999 + 5 and got[None]["n"] == 1
+    assert time.time() - began < 40
+    assert pii.redact(d).where("doc_id = 1").first()["text"] == "mail <email>, " * 20_000
+
+
+def test_pii_added_spans(spark):
+    """Planted personal data of the wider kinds, with look-alikes that aren't any."""
+    r, rows, want = random.Random(14), [], {}
+    digits = lambda n: "".join(r.choice("123456789") for _ in range(n))
+    for i in range(400):
+        filler = " ".join("".join(r.choice("etaoinshr") for _ in range(r.randint(2, 8))) for _ in range(12))
+        planted = [f"reach ann{i} [at] host{i}.org ", f"call {r.choice('234567')}{digits(2)}-{digits(3)}-{digits(4)} ", f"ssn {r.choice('12345')}{digits(2)}-{digits(2)}-{digits(4)} ", f"api_key = {digits(6)}abcDEF{digits(6)} "]
+        decoys = ["000-00-0000 ", "token: aaaaaaaaaaaa ", "555-555-5555x ", ""]
+        text, mine = filler + " ", []
+        for x in r.sample(planted, 2):
+            head = re.match(r"(?:reach|call|ssn) |", x)[0]
+            mine.append((len(text) + len(head), len(text) + len(x.rstrip())))
+            text += x
+        text += r.choice(decoys) + filler
+        rows.append((i, text))
+        want[i] = set(mine)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: {(c["s"], c["e"]) for c in x["all"]} for x in pii.personal_data(d).collect()}
+    hit = sum(len(got[i] & want[i]) for i in want)
+    assert hit >= 0.95 * sum(map(len, want.values())) and hit >= 0.9 * sum(map(len, got.values()))
+
+
 def test_packing(docs, empty, tokenizer):
     rows = packing.pack(docs, capacity=256).collect()
     pieces, places = collections.defaultdict(dict), collections.defaultdict(list)
