@@ -6,7 +6,6 @@ import hashlib
 import itertools
 import random
 import re
-import textwrap
 import time
 import zlib
 
@@ -15,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lapwing.llm import bpe, exact, graph, html_text, licenses, lines, packing, pii, quality, simhash
+from lapwing.llm import bpe, exact, graph, html_text, lines, packing, pii, quality, simhash
 from lapwing.llm.html_pages import labelled_pages
 
 TEXTS = [
@@ -363,22 +362,6 @@ def test_line_dedup(docs, empty):
     assert lines.line_dedup(empty).count() == 0
 
 
-def test_licenses(spark, empty):
-    texts = {"Some text.\nReleased under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "All rights reserved.": "proprietary", "The driver showed a license.": "", "plain": "", None: "", "This work is licensed under the GNU General Public License, version 3.\nLicensed under CC BY-NC 4.0.": "CC-BY-NC,GPL"}
-    d = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
-    assert [r["families"] for r in licenses.licenses(d).orderBy("doc_id").collect()] == list(texts.values())
-    assert licenses.licenses(empty).count() == 0
-
-
-@pytest.mark.parametrize("width", [40, 72])
-def test_licenses_wrapped(spark, width):
-    cases = [(f, x) for f, phrases in licenses.FAMILIES.items() for x in phrases if len(x) > 72]
-    notice = lambda x: "/*\n * Some words before.\n *\n" + "\n".join(" * " + y for y in textwrap.wrap(x, width)) + "\n */\nint main;"
-    d = spark.createDataFrame([(i, notice(x)) for i, (_, x) in enumerate(cases)] + [(99, "The driver showed\na license at the border\nand went on.")], "doc_id long, text string")
-    got = {r["doc_id"]: r["families"] for r in licenses.licenses(d).collect()}
-    assert got == dict(enumerate(f for f, _ in cases)) | {99: ""}
-
-
 def test_html_held_out():
     weights, right, total = html_text.trained(), 0, 0
     for page in labelled_pages(100, seed=99):
