@@ -218,10 +218,13 @@ class WordBpe:
         return pack(f"<{len(ids)}I", *ids)
 
     def _encode_chunk(self, chunk: str) -> bytes:
-        """Ids of a run without white space."""
+        """Ids of a run without white space, which no normalisation reaches across."""
         low = chunk.lower()
         if low.isalpha() and (low.isascii() or max(low) < "\u0250"):
             return self.words[low]
+        # only the tokenizer knows how its own Unicode version orders recent marks
+        if not chunk.isascii() and max(chunk) < chr(PLAIN_LIMIT) and not unicodedata.is_normalized("NFC", chunk):
+            chunk = unicodedata.normalize("NFC", chunk)
         if chunk.isascii() or max(chunk) < chr(PLAIN_LIMIT):
             words = self.words
             return b"".join([words[w] for w in self.word_pattern.findall("".join([c.lower() for c in chunk]) if "Σ" in chunk else chunk.lower())])
@@ -229,8 +232,6 @@ class WordBpe:
         return b"".join([self._encode_shown(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)])
 
     def _encode_plain(self, text: str) -> bytes:
-        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
         runs = text.split()
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split, not to the tokenizer
             runs = regex.split(r"[^\S\x1c-\x1f]+", text)

@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch: with texts of some MB each, a batch stays well below a worker's memory.
-ARROW_ROWS = 256
+#: Bytes in an Arrow batch: a batch of whole texts stays well below a worker's memory, however long they are.
+ARROW_BYTES = 4 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder of ``spark.checkpoint.dir``; a local one in local mode only, where it is unset."""
     given = spark.conf.get("spark.checkpoint.dir", None)
-    return given or f"file://{tempfile.gettempdir()}/checkpoints"
+    if given:
+        return given
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/checkpoints"
 
 
 def staged(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
@@ -35,13 +40,35 @@ def staged(df: DataFrame, label: str, partition_by: str | None = None) -> DataFr
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
-def small_arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound what one Arrow batch of whole texts can hold."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def dropped(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more, such as a loop's earlier rounds."""
+    for t in tables:
+        path = getattr(t, "staged_at", None)
+        if path:
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def small_arrow_batches(spark: SparkSession, size: int = ARROW_BYTES) -> None:
+    """Bound the bytes that one Arrow batch can hold, unless the session has a lower bound.
+
+    The plan reads the setting when it runs, so it can't be put back before. Rows in a
+    batch are left as the session has them.
+    """
+    if spark.conf.get(_BATCH_KEY, None) is None or _bytes(spark.conf.get(_BATCH_KEY)) > size:
+        spark.conf.set(_BATCH_KEY, str(size))
+
+
+def _bytes(setting: str) -> int:
+    digits = "".join(c for c in setting if c.isdigit() or c == "-")
+    unit = setting.strip().lower().rstrip("b")[-1:]
+    n = int(digits) << {"k": 10, "m": 20, "g": 30, "t": 40}.get(unit, 0)
+    return n if n > 0 else 1 << 62
 
 
 def text_or_empty(name: str = "text"):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapwing.llm.common import staged
+from lapwing.llm.common import dropped, staged
 
 #: Far more rounds than any graph takes: the number grows with the logarithm of a path's length.
 ROUNDS = 60
@@ -42,7 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = _linked(down, least).select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
-        edges = staged(small, "small-star")
+        older, edges = edges, staged(small, "small-star")
+        dropped(older, large)
         after = _signature(edges)
         if after == before:
             break

@@ -64,6 +64,25 @@ def test_bpe_random_words(tokenizer):
         assert model.encode(w).tolist() == tokenizer.encode(w, add_special_tokens=False).ids, w
 
 
+def test_bpe_recent_marks(tokenizer):
+    """Marks that the tokenizer's Unicode version may not know, before and after older ones."""
+    model, r = bpe.word_bpe(bpe.default_vocabulary()), random.Random(15)
+    marks = "\u0301\u0323\u0308\u1dfa\u1aca\u1df7\u1df6\u0f71\u0591\u3099"
+    fixed = ["a\u1dfa\u0301", "a\u1aca\u0301", "a\u1df7\u0301", "a\u1df6\u0301", "\u212b \u212a \u2000x\u2001", "e\u0323\u0302", "\u0344", "İ\u0301", "ǰ\u0323"]
+    for w in fixed + ["".join(r.choice("aeİΣéкが中 ,'1" + marks * 2) for _ in range(r.randint(1, 8))) for _ in range(20_000)]:
+        assert model.encode(w).tolist() == tokenizer.encode(w, add_special_tokens=False).ids, ascii(w)
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    from lapwing.llm.common import ARROW_BYTES, _bytes, small_arrow_batches
+
+    small_arrow_batches(spark)
+    d = spark.range(200).select(F.repeat(F.lit("x"), 1 << 17).alias("text"))
+    sizes = d.coalesce(1).mapInArrow(lambda batches: (b.slice(0, 1).select([]).from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert len(sizes) > 3 and max(r["n"] for r in sizes) < 2 * ARROW_BYTES
+    assert [_bytes(x) for x in ("64m", "4194304b", "100", "-1", "2GB")] == [64 << 20, 4 << 20, 100, 1 << 62, 2 << 30]
+
+
 def brute_counts(text):
     w = word_list(text)
     seen = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
