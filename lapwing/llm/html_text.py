@@ -7,17 +7,18 @@ downward give every block's marginal, and the text of blocks with a marginal of
 least one half is kept, in page order. The weights are fitted on labelled pages by
 the gradient of the likelihood, which needs the same marginals.
 
-Defined results: a null, empty or markup-free html gives what text it has as one
-block of the page, which the model judges like any other; a page cut off inside a tag
-loses the piece of the tag, one cut off inside an element keeps its text; br is white
-space. Unknown end tags are passed over. Repeated rows get the same result each, an
-empty table an empty result.
+Defined results: a null or empty html has no text. A page without block elements is one
+block, with nothing around it to tell it from, and its text is kept. A page cut off
+inside a tag loses the piece of the tag, one cut off inside an element keeps its text,
+unless it is a script, style, text field or title; br is white space. Unknown end tags
+are passed over. Repeated rows get the same result each, an empty table an empty result.
 """
 
 from __future__ import annotations
 
 import html as entities
 import math
+from bisect import bisect
 from functools import lru_cache
 
 import pyarrow as pa
@@ -30,7 +31,9 @@ from lapwing.llm.html_pages import labelled_pages
 
 _TAG = regex.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", regex.S)
 #: Fixed groups of HTML elements.
-_RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "object", "select", "math", "video", "audio", "canvas"}
+_RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "object", "select", "video", "audio", "canvas"}
+#: Of these, the ones that reach to the page's end where they aren't closed.
+_TO_THE_END = {"script", "style", "textarea", "title"}
 _BLOCKS = {"address", "article", "aside", "blockquote", "body", "button", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 _CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 _BOUNDS = {"ul", "ol", "dl", "table", "menu"}
@@ -83,8 +86,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block nodes (parents first) and the blocks of text, each with its node."""
     nodes = [Node("body", -1, "", 0)]
     stack, texts, run = [0], [], []
-    anchors, at = 0, 0
-    own = 0
+    places: dict[str, list[int]] = {}  # where in the stack each tag is open, outermost first
+    unclosed: set[str] = set()
+    anchors = own = 0
+
+    def cut(at: int):
+        """Close what is open from a place of the stack on; each entry is closed once."""
+        for k in stack[at:]:
+            places[nodes[k].tag].pop()
+        del stack[at:]
 
     def flush():
         nonlocal run
@@ -127,17 +137,19 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 anchors = max(0, anchors - 1)
             elif tag in _BLOCKS and tag not in ("body", "html"):
                 flush()
-                at = next((k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag == tag), 0)
-                if at:
-                    del stack[at:]
+                if places.get(tag):
+                    cut(places[tag][-1])
                     own = stack[-1]
                     anchors = 0
             continue
         if tag in _RAW:
             if not attrs.rstrip().endswith("/"):
-                end = regex.compile(rf"</{regex.escape(tag)}(?=[\s/>])[^>]*+(?:>|\Z)", regex.I).search(page, pos)
-                pos = end.end() if end else len(page)
-            run.append(" " if tag not in ("svg", "math") else "")
+                end = None if tag in unclosed else regex.compile(rf"</{regex.escape(tag)}(?=[\s/>])[^>]*+(?:>|\Z)", regex.I).search(page, pos)
+                if end or tag in _TO_THE_END:
+                    pos = end.end() if end else len(page)
+                else:
+                    unclosed.add(tag)
+            run.append(" ")
         elif tag == "head":
             hidden = 1
         elif tag == "body":
@@ -155,18 +167,18 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             flush()
             anchors = 0
             if nodes[stack[-1]].tag == "p" or (tag in _HEADINGS and nodes[stack[-1]].tag in _HEADINGS):
-                stack.pop()
+                cut(len(stack) - 1)
             shut = _CLOSES.get(tag)
             if shut:
-                for k in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[k]].tag in shut:
-                        del stack[k:]
-                    elif nodes[stack[k]].tag in _BOUNDS:
-                        break
+                bound = max((places[b][-1] for b in _BOUNDS if places.get(b)), default=0)
+                inside = [places[x][k] for x in shut if places.get(x) and (k := bisect(places[x], bound)) < len(places[x])]
+                if inside:
+                    cut(min(inside))
             name, mark = _named(attrs) if attrs else ("", None)
             parent = stack[-1]
             nodes.append(Node(tag, parent, name, nodes[parent].label if mark is None else int(mark)))
             own = len(nodes) - 1
+            places.setdefault(tag, []).append(len(stack))
             stack.append(own)
     flush()
     return nodes, texts
@@ -278,6 +290,8 @@ def main_text(page: str | None, weights: tuple) -> str:
     nodes, texts = parse(page or "")
     if not texts:
         return ""
+    if len(nodes) == 1:
+        return "\n".join(text for _, text in texts)
     keep = judge(nodes, weights)
     return "\n".join(text for k, text in texts if keep[k] >= 0.5)
 

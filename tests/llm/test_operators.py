@@ -409,8 +409,56 @@ def test_html_marginals_equal_enumeration():
     assert np.allclose(html_text.marginals(nodes, scores, edges)[0], [m / total for m in mass])
 
 
+def test_html_deep_and_odd_pages():
+    """Deep nesting with stray tags in linear time; pages without blocks; what is dropped and what isn't."""
+    weights = html_text.trained()
+    for page in ("<div>" * 20_000 + "x</p>" * 20_000, "<div>" * 20_000 + "<li>x" * 20_000, "<select>" * 20_000 + "<p>x", "<ul><li>" * 10_000 + "x" + "</li></ul>" * 10_000, "word " * 200_000):
+        began = time.time()
+        html_text.main_text(page, weights)
+        assert time.time() - began < 10
+    assert html_text.main_text("just plain text\n of  one page &amp; more", weights) == "just plain text of one page & more"
+    assert html_text.main_text("<b>bold</b> text<br>next", weights) == "bold text next"
+    body = "<article><p>Some sentence of the article, long enough to be one. {} It goes on and ends here.</p></article>"
+    text = "Some sentence of the article, long enough to be one. {} It goes on and ends here."
+    for inner, shown in (("<math><mi>x</mi></math>", "x"), ("<svg><text>label</text></svg>", "label"), ("<select><option>a</select>", ""), ("<video>", ""), ("<script>a</script>", "")):
+        assert html_text.main_text(body.format(inner), weights) == " ".join(text.format(shown).split())
+
+
+def brute_stack(page):
+    """(tag, parent's tag) of nodes, by walking the whole stack at each tag."""
+    stack, out = ["body"], []
+    for closing, tag in re.findall(r"<(/?)([a-z0-9]+)>", page):
+        if closing:
+            at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k] == tag), 0)
+            if at:
+                del stack[at:]
+            continue
+        if stack[-1] == "p" or (tag in html_text._HEADINGS and stack[-1] in html_text._HEADINGS):
+            stack.pop()
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k] in html_text._CLOSES.get(tag, ()):
+                del stack[k:]
+            elif stack[k] in html_text._BOUNDS:
+                break
+        out.append((tag, stack[-1]))
+        stack.append(tag)
+    return out
+
+
+def test_html_tree_equals_walking_the_stack():
+    r = random.Random(16)
+    for _ in range(500):
+        page = "".join(f"<{r.choice(['', '', '/'])}{r.choice(['div', 'ul', 'ol', 'li', 'p', 'table', 'tr', 'td', 'th', 'tbody', 'h2', 'dl', 'dt', 'dd'])}>" for _ in range(60))
+        nodes, _ = html_text.parse(page)
+        assert [(n.tag, nodes[n.parent].tag) for n in nodes[1:]] == brute_stack(page)
+
+
 def test_html_texts(spark):
     page = "<html><head><title>t</title><script>var a='</p>'</script></head><body><nav><a href=/>menu</a></nav><article><h1>Head &amp; more</h1><p><b>First\n one.<br>Two<p>Next &lt;b&gt;</p><div class=ad>buy</div></article><footer>foot</footer>"
-    rows = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "<article><p>cut off text <a hre")], "page_id long, url string, html string")
-    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.extract(rows).collect()}
+    rows = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "u", ""), (None, "u", "plain"), (1, "u", page), (1, "u", page), (4, "u", "<article><p>cut off text <a hre")], "page_id long, url string, html string")
+    rows = rows.withColumn("text", F.lit("clash"))
+    out = html_text.extract(rows).collect()
+    assert len(out) == 7 and len({r["text"] for r in out if r["page_id"] == 1}) == 1 and html_text.extract(rows.limit(0)).count() == 0
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in out}
+    assert got[None] == ("plain", 5)
     assert got[1][0] == "Head & more\nFirst one. Two\nNext <b>" and got[2] == ("", 0) and got[3] == ("", 0) and got[4][0] == "cut off text"
