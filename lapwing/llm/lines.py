@@ -1,25 +1,28 @@
 """Line dedup by a segment-partition edit join, in DataFrame and SQL functions only.
 
-Lines of at least ``LEAST`` code points are near-copies if at most ``threshold`` edits
-apart. Cut one of the two into threshold + 1 segments: an edit spoils one segment at
-most, so one of them occurs in the other line, shifted by no more than the edits left
-and right of it allow. Each line files its segments under (length, number, segment)
-and asks for its own substrings that could be a segment of a line as long or shorter,
-at the few shifts that can matter. Pairs that meet must also agree in letter counts
-(an edit changes them by two in all), a condition of the join itself; what is left is
-verified by a banded bit-parallel edit distance. Shorter lines match exactly only.
-
-Equal lines are one node, a 64-bit hash, before anything is joined, so copies cost
-nothing. A segment that many different lines share is compared pair by pair inside
-the join, whose letter condition keeps the pairs from being listed; such a bucket
-costs time with the square of its different lines, but no memory.
-
-Classes are connected components of the links; of each class the line of the smallest
-(doc_id, line_no) is kept.
-
-Defined results: a null text has no lines; lines are cut at line feeds, numbered from
-0, and empty ones are left out; an empty table gives an empty result. Rows with one
-doc_id are told apart by nothing, so equal lines of repeated rows are all kept or not.
+Two lines are near-copies if their edit distance is at most the threshold of the longer
+one: a tenth of its length, ``BANDS`` at most. Cut the shorter one into threshold + 1
+segments: an edit spoils one segment at most, so one of them occurs in the longer line,
+shifted by no more than the edits left and right of it allow. Each line files its
+segments under (threshold, length, number, segment) and asks for its own substrings that
+could be a segment of a line as long or shorter, at the few shifts that can matter. Lines
+that meet are verified by a banded bit-parallel edit distance.
+
+A bucket in which more than ``HOT`` lines meet as many is not compared pair by pair. What
+its lines share is taken out: the segment, then what all of them begin and end with. What
+is left, with the places where something was taken out, is cut and joined again within
+the bucket, until buckets are small, or no more characters than the threshold are left;
+lines that these are left of at the same places are linked by a star. So lines that differ
+in a number cost a few rows each, and no pairs.
+
+Equal lines are joined as one. Lines are told apart by 128-bit hashes; the 64-bit ones that
+the join carries only name candidates, whose texts are compared. Classes are connected
+components of the links; of each class the line of the smallest (doc_id, line_no) is kept.
+
+Defined results: a null text has no lines; lines are cut at line feeds, numbered from 0,
+and empty ones are left out; an empty table gives an empty result. Lines under ten code
+points have threshold 0: they match exactly only. Repeated rows, and rows without a
+doc_id, have their lines each; exactly one line of a class is kept.
 """
 
 from __future__ import annotations
@@ -27,17 +30,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapwing.llm.common import staged, table
+from lapwing.llm.common import dropped, staged, table
 from lapwing.llm.graph import components
 
-THRESHOLD, LEAST = 1, 30
-#: Letters whose counts (up to 255 each, in one integer) are compared before a pair is verified.
-LETTERS = "etaonihs"
+#: (least length, threshold), in order: a tenth of the length, two at most.
+BANDS = ((10, 1), (40, 2))
+#: Lines on either side of a bucket that are compared pair by pair.
+HOT = 64
+#: Lines with more than this part of all places are labelled by a broadcast.
+PARTS = 1024
+#: Characters whose counts (up to 255 each, eight in an integer) are compared before a pair is verified.
+LETTERS = ("etaonihs", "01234567")
 
 
 def segments(length: str, threshold: int) -> list[tuple[str, str]]:
     """(start, size) of each segment of a line of that length, as SQL; the last ones are longer."""
-    base, more = f"({length} div {threshold + 1})", f"({length} % {threshold + 1})"
+    base, more = f"int({length} div {threshold + 1})", f"({length} % {threshold + 1})"
     out = []
     for i in range(threshold + 1):
         longer_before = f"greatest(0, {i} - ({threshold + 1} - {more}))"
@@ -45,22 +53,45 @@ def segments(length: str, threshold: int) -> list[tuple[str, str]]:
     return out
 
 
-def index_sql(threshold: int) -> str:
-    keys = [f"xxhash64(n, {i}, substr(line, {start} + 1, {size}))" for i, (start, size) in enumerate(segments("n", threshold))]
-    return f"array({', '.join(keys)})"
+def _ranges(bands: tuple) -> list[tuple[int, int, int]]:
+    """(threshold, least length, first length beyond) of each band."""
+    return [(k, lo, bands[i + 1][0] if i + 1 < len(bands) else 2**31 - 1) for i, (lo, k) in enumerate(bands)]
+
+
+def threshold_sql(length: str, bands: tuple = BANDS) -> str:
+    cases = " ".join(f"WHEN {length} >= {lo} THEN {k}" for lo, k in reversed(bands))
+    return f"CASE {cases} ELSE 0 END"
+
+
+def _probes(threshold: int, d: int) -> list[tuple[int, str, str, str]]:
+    """(number, start, size, condition) of the substrings of a string of n characters that
+    may be a segment of one of n - d."""
+    out = []
+    for i, (start, size) in enumerate(segments(f"(n - {d})", threshold)):
+        for shift in range(-threshold, threshold + 1):
+            # i segments lie to the left, threshold - i to the right; edits there bound the shift
+            if abs(shift) <= i and abs(d - shift) <= threshold - i:
+                at = f"({start} + {shift})"
+                out.append((i, at, size, f"n > {d} AND {size} > 0 AND {at} >= 0 AND {at} + {size} <= n"))
+    return out
+
+
+def _keys(bands: tuple) -> list[tuple]:
+    """(condition, key, own, threshold, least length, d, start, size) of each segment that a
+    line of n code points files (own 1), and of each that it asks for in lines of n - d."""
+    rows = []
+    for threshold, lo, beyond in _ranges(bands):
+        for i, (start, size) in enumerate(segments("n", threshold)):
+            rows.append((f"n >= {lo - threshold} AND n < {beyond}", i, 1, threshold, lo, 0, start, size))
+        for d in range(threshold + 1):
+            for i, at, size, fits in _probes(threshold, d):
+                rows.append((f"n >= {lo} AND n < {beyond} AND {fits}", i, 0, threshold, lo, d, at, size))
+    return [(when, f"xxhash64({th}, n - {d}, {i}, substr(line, {at} + 1, {size}))", own, th, lo, d, at, size) for when, i, own, th, lo, d, at, size in rows]
 
 
-def probe_sql(threshold: int, least: int) -> str:
-    """Keys of the substrings that may be a segment of a line of n - d code points; null where there is none."""
-    keys = []
-    for d in range(threshold + 1):
-        for i, (start, size) in enumerate(segments(f"(n - {d})", threshold)):
-            for shift in range(-threshold, threshold + 1):
-                # i segments lie to the left, threshold - i to the right; edits there bound the shift
-                if abs(shift) <= i and abs(d - shift) <= threshold - i:
-                    at = f"({start} + {shift})"
-                    keys.append(f"CASE WHEN n - {d} >= {least} AND {at} >= 0 AND {at} + {size} <= n THEN xxhash64(n - {d}, {i}, substr(line, {at} + 1, {size})) END")
-    return f"array({', '.join(keys)})"
+def keys_sql(bands: tuple = BANDS) -> str:
+    """Array of (k, own): the segments that a line files, and what it asks for."""
+    return "array(" + ", ".join(f"struct(CASE WHEN {when} THEN {key} END AS k, {own} AS own)" for when, key, own, *_ in _keys(bands)) + ")"
 
 
 def within_sql(a: str, b: str, threshold: int) -> str:
@@ -87,41 +118,169 @@ def within_sql(a: str, b: str, threshold: int) -> str:
 
 
 def text_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line and its hash, for each line that is not empty."""
+    """doc_id, line_no and line, for each line that is not empty."""
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    return t.where("line <> ''").withColumn("line_id", F.xxhash64("line"))
-
-
-def edit_links(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
-    """(a, b): hashes of different lines at most ``threshold`` edits apart."""
-    lines = text_lines(docs).select("line_id", "line", F.length("line").alias("n")).where(f"n >= {least}")
-    counts = " | ".join(f"shiftleft(CAST(least(255, length(line) - length(replace(line, '{c}', ''))) AS LONG), {8 * k})" for k, c in enumerate(LETTERS))
-    keyed = staged(lines.selectExpr("line_id", f"({counts}) AS letters", f"{index_sql(threshold)} AS own", f"{probe_sql(threshold, least)} AS asked"), "line-keys")
-    own = keyed.select("line_id", "letters", F.explode("own").alias("k")).distinct()
-    asked = keyed.select("line_id", "letters", F.explode("asked").alias("k")).where("k IS NOT NULL").distinct()
-    a, b = own.alias("a"), asked.alias("b")
-    byte = lambda t, k: f"(shiftrightunsigned({t}.letters, {8 * k}) & 255)"
-    near = " + ".join(f"abs({byte('a', k)} - {byte('b', k)})" for k in range(len(LETTERS)))
-    pairs = a.join(b, F.expr(f"a.k = b.k AND a.line_id <> b.line_id AND {near} <= {2 * threshold}")).select(F.least("a.line_id", "b.line_id").alias("a"), F.greatest("a.line_id", "b.line_id").alias("b")).distinct()
+    return t.where("line <> ''")
+
+
+def _met(keyed: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Of rows (k, id, own, ...), each line once in each bucket where lines meet, with the
+    numbers of lines that file (n_own) and ask (n_ask). One exchange by k serves it all."""
+    dealt = keyed.repartition("k")
+    each = dealt.groupBy("k", "id", *more).agg(F.max("own").alias("own"), F.max(1 - F.col("own")).alias("ask"))
+    sizes = each.groupBy("k").agg(F.sum("own").alias("n_own"), F.sum("ask").alias("n_ask"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    sizes = sizes.where("n_own > 0 AND n_ask > 0 AND lo <> hi").select("k", "n_own", "n_ask")
+    return each.join(sizes.hint("shuffle_hash"), "k")
+
+
+def _pairs(met: DataFrame, hot: int) -> DataFrame:
+    """(a, b): lines that meet in a small bucket."""
+    cold = met.where(f"least(n_own, n_ask) <= {hot}")
+    a, b = cold.where("own = 1").select("k", F.col("id").alias("a")), cold.where("ask = 1").select("k", F.col("id").alias("b"))
+    return a.join(b, "k").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _shared_sql(low: str, high: str) -> str:
+    """Length of what two strings begin with alike."""
+    differs = f"array_position(transform(c.x, (v, i) -> NOT v <=> get(c.y, i)), true)"
+    return f"transform(array(struct(split({low}, '') AS x, split({high}, '') AS y)), c -> CASE WHEN {differs} = 0 THEN size(c.x) ELSE int({differs}) - 1 END)[0]"
+
+
+def _trimmed(rows: DataFrame) -> DataFrame:
+    """Rows (k, own, rest, cuts, ...) without what all rests of a bucket begin with, then end
+    with, and own_length made anew.
+
+    ``cuts`` are the places in the rest where something was taken out. What goes must hold
+    none of them, unless they lie alike in all of the bucket's rows.
+    """
+    for left in (True, False):
+        key, places = ("rest", "cuts") if left else ("reverse(rest)", "reverse(transform(cuts, c -> length(rest) - c))")
+        ends = rows.selectExpr("k", f"{key} AS text", f"{places} AS at").groupBy("k").agg(F.min("text").alias("low"), F.max("text").alias("high"), F.min("at").alias("a"), F.max("at").alias("z"), F.min(F.get("at", F.lit(0))).alias("free"))
+        ends = ends.select("k", F.expr(f"CASE WHEN a = z THEN {_shared_sql('low', 'high')} ELSE least(free, {_shared_sql('low', 'high')}) END").alias("same"))
+        rest = "substr(rest, same + 1)" if left else "left(rest, length(rest) - same)"
+        cuts = "transform(cuts, c -> greatest(0, c - same))" if left else "transform(cuts, c -> least(c, length(rest) - same))"
+        rows = rows.join(ends, "k").withColumn("cuts", F.expr(cuts)).withColumn("rest", F.expr(rest)).drop("same")
+    lengths = rows.where("own = 1").groupBy("k").agg(F.max(F.length("rest")).alias("own_length"))
+    return rows.drop("own_length").join(lengths, "k")
+
+
+def _cut_again(hot: DataFrame, bands: tuple) -> DataFrame:
+    """The next keys of rows (k, id, own, ask, long, threshold, own_length, rest, cuts):
+    own_length is the length of the rests that are filed."""
+    out = []
+    moved = "transform(cuts, c -> CASE WHEN c <= p.at THEN c WHEN c >= p.at + p.size THEN c - p.size ELSE p.at END)"
+    inner = "transform(filter(cuts, c -> c > p.at AND c < p.at + p.size), c -> c - p.at)"
+    def part(when: str, i: int, own: int, at: str, size: str) -> str:
+        body = f"""struct(xxhash64(k, {i}, substr(rest, p.at + 1, p.size), {inner}) AS k, {own} AS own, own_length - p.size AS own_length,
+            concat(left(rest, p.at), substr(rest, p.at + p.size + 1)) AS rest, array_sort(concat({moved}, array(p.at))) AS cuts)"""
+        return f"CASE WHEN {when} THEN transform(array(struct({at} AS at, {size} AS size)), p -> {body})[0] END"
+
+    for threshold in sorted({k for _, k in bands}):
+        parts = []
+        for i, (start, size) in enumerate(segments("n", threshold)):
+            parts.append(part(f"own = 1 AND n > {threshold}", i, 1, start, size))
+        for d in range(threshold + 1):
+            for i, at, size, fits in _probes(threshold, d):
+                parts.append(part(f"ask = 1 AND n - {d} = own_length AND own_length > {threshold} AND {fits}", i, 0, at, size))
+        # too short for segments of a character each: what differs at another place shares a character
+        for x in range(threshold):
+            parts.append(part(f"own = 1 AND n <= {threshold} AND n > {x}", 100 + x, 1, str(x), "1"))
+            for y in range(2 * threshold):
+                parts.append(part(f"ask = 1 AND own_length <= {threshold} AND n > {y} AND own_length > {x}", 100 + x, 0, str(y), "1"))
+        mine = hot.where(F.col("threshold") == threshold).withColumn("n", F.length("rest"))
+        out.append(mine.selectExpr("id", "long", "threshold", f"explode(filter(array({', '.join(parts)}), x -> x IS NOT NULL)) AS x").selectExpr("id", "long", "threshold", "x.*"))
+    rows = out[0]
+    for t in out[1:]:
+        rows = rows.unionByName(t)
+    return rows
+
+
+def _hot_links(lines: DataFrame, met: DataFrame, bands: tuple, hot: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """(candidate pairs, links) of the buckets that are too large for pairs."""
+    large = staged(met.where(f"least(n_own, n_ask) > {hot}").select("k", "id"), "line-hot")
+    if large.isEmpty():
+        return None, None
+    texts = staged(lines.join(large.select("id").distinct(), "id", "left_semi").groupBy("id", "line").agg(F.first("n").alias("n")), "line-hot-texts")
+    # the first keys again, now with what the segment leaves of the line; keys that met no crowd are left out
+    cut = lambda at, size: f"concat(left(line, {at}), substr(line, {at} + {size} + 1)) AS rest, array({at}) AS cuts"
+    parts = [f"CASE WHEN {when} THEN struct({key} AS k, {own} AS own, n >= {lo} AS long, {threshold} AS threshold, n - {d} - {size} AS own_length, {cut(at, size)}) END" for when, key, own, threshold, lo, d, at, size in _keys(bands)]
+    rows = texts.selectExpr("id", f"explode(filter(array({', '.join(parts)}), x -> x IS NOT NULL)) AS x").selectExpr("id", "x.*")
+    rows = rows.join(large.select("k").distinct(), "k", "left_semi")
+    pairs, stars = None, None
+    state = ("long", "threshold", "own_length", "rest", "cuts")
+    while True:
+        found = staged(_met(rows, state), "line-level")
+        if found.isEmpty():
+            break
+        some = _pairs(found, hot)
+        crowd = staged(_trimmed(found.where(f"least(n_own, n_ask) > {hot}").select("k", "id", "own", "ask", *state)), "line-crowd")
+        # rests of threshold characters or fewer, left at the same places: nothing else differs.
+        # Lines are linked to one that is long enough to ask; the heads of different places are compared
+        alike = crowd.where("length(rest) <= threshold AND own_length <= threshold").withColumn("size", F.length("rest"))
+        heads = alike.where("long").groupBy("k", "size", "cuts").agg(F.min("id").alias("b"))
+        star = alike.join(heads, ["k", "size", "cuts"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+        other = heads.select("k", F.col("b").alias("a")).join(heads.select("k", "b"), "k").where("a < b").select("a", "b").distinct()
+        pairs = some.unionByName(other) if pairs is None else pairs.unionByName(some).unionByName(other)
+        stars = star if stars is None else stars.unionByName(star)
+        rows = _cut_again(crowd, bands)
+    return pairs, stars
+
+
+def edit_links(docs: DataFrame, bands: tuple = BANDS, hot: int = HOT) -> DataFrame:
+    """(a, b): 128-bit hashes of different lines within the longer one's threshold, enough of
+    them to connect all that are (within small buckets, all)."""
+    lines = text_lines(docs).select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("n")).where(f"n >= {bands[0][0] - bands[0][1]}")
+    keyed = lines.selectExpr("id", f"inline({keys_sql(bands)})").where("k IS NOT NULL")
+    met = staged(_met(keyed), "line-keys")
+    pairs, stars = _hot_links(lines, met, bands, hot)
+    pairs = _pairs(met, hot) if pairs is None else _pairs(met, hot).unionByName(pairs).distinct()
     pairs = staged(pairs, "line-pairs")
-    wanted = pairs.select(F.col("a").alias("line_id")).union(pairs.select(F.col("b").alias("line_id"))).distinct()
-    texts = staged(text_lines(docs).join(wanted, "line_id", "left_semi").groupBy("line_id").agg(F.min("line").alias("line")), "line-texts")
-    both = pairs.join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("p")), "a").join(texts.select(F.col("line_id").alias("b"), F.col("line").alias("q")), "b")
+    if stars is not None:
+        stars = staged(stars.distinct(), "line-stars")
+    ends = pairs if stars is None else pairs.unionByName(stars)
+    wanted = ends.select(F.col("a").alias("id")).union(ends.select(F.col("b").alias("id"))).distinct()
+    counts = [" | ".join(f"shiftleft(CAST(least(255, length(line) - length(replace(line, '{c}', ''))) AS LONG), {8 * k})" for k, c in enumerate(letters)) for letters in LETTERS]
+    texts = lines.join(wanted, "id", "left_semi").groupBy("id", "line").agg(F.first("n").alias("n"))
+    texts = staged(texts.selectExpr("id", "line", "n", "md5(line) AS h", *(f"({c}) AS c{i}" for i, c in enumerate(counts))), "line-texts")
+    a, b = ([F.col("id").alias(x), F.struct("line", "n", "h", *(f"c{i}" for i in range(len(LETTERS)))).alias(y)] for x, y in (("a", "p"), ("b", "q")))
+    both = lambda t: t.join(texts.select(*a), "a").join(texts.select(*b), "b")
+    byte = lambda t, c, k: f"(shiftrightunsigned({t}.c{c}, {8 * k}) & 255)"
+    apart = " + ".join(f"abs({byte('p', c, k)} - {byte('q', c, k)})" for c, letters in enumerate(LETTERS) for k in range(len(letters)))
+    threshold = threshold_sql("greatest(p.n, q.n)", bands)
+    cases = " ".join(f"WHEN {k} THEN {within_sql('c.x', 'c.y', k)}" for k in sorted({k for _, k in bands}))
     # characters are bound once: inside the fold they would be split anew at each step
-    near = f"transform(array(struct(split(p, '') AS x, split(q, '') AS y)), c -> {within_sql('c.x', 'c.y', threshold)})[0]"
-    return both.select("a", "b", F.expr(near).alias("near")).where("near").select("a", "b")
-
-
-def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
-    """doc_id, line_no, line_id, class_id and kept of each line."""
-    places = staged(text_lines(docs).select("doc_id", "line_no", "line_id"), "line-places")
-    classes = components(edit_links(docs, threshold, least)).select(F.col("node").alias("line_id"), F.col("root").alias("class_id"))
-    first = places.groupBy("line_id").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
-    named = first.join(classes, "line_id", "left").withColumn("class_id", F.coalesce("class_id", "line_id"))
-    heads = named.groupBy("class_id").agg(F.min("at").alias("head"))
-    labels = named.join(heads, "class_id").select("line_id", "class_id", "head")
-    out = places.join(labels, "line_id")
-    return out.select("doc_id", "line_no", "line_id", "class_id", (F.struct("doc_id", "line_no") == F.col("head")).alias("kept"))
+    near = f"transform(array(struct(split(p.line, '') AS x, split(q.line, '') AS y)), c -> CASE {threshold} {cases} ELSE false END)[0]"
+    checked = both(pairs).where(f"abs(p.n - q.n) <= {threshold} AND {apart} <= 2 * {threshold}").where(near)
+    links = checked.selectExpr("p.h AS a", "q.h AS b")
+    return links if stars is None else links.unionByName(both(stars).selectExpr("p.h AS a", "q.h AS b"))
+
+
+def line_dedup(docs: DataFrame, bands: tuple = BANDS, hot: int = HOT) -> DataFrame:
+    """doc_id, line_no, line_id (32 hex digits), class_id (that of the line kept) and kept of each line."""
+    places = staged(text_lines(docs).select(F.monotonically_increasing_id().alias("place"), "doc_id", "line_no", F.md5("line").alias("line_id")), "line-places")
+    # lines are numbered by one of their places; places and their number fit fixed-width sums
+    nodes = staged(places.groupBy("line_id").agg(F.min("place").alias("node"), F.count("*").alias("n")), "line-nodes")
+    links = staged(edit_links(docs, bands, hot), "line-links")
+    number = lambda x: nodes.select(F.col("line_id").alias(x), F.col("node").alias(f"{x}_node"))
+    edges = links.join(number("a"), "a").join(number("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    classes = components(edges).select("node", "root")
+    # lines that stand alone are their class' head; the others look for it
+    shared = nodes.join(classes, "node", "left").where("n > 1 OR root IS NOT NULL").select("line_id", F.coalesce("root", "node").alias("root"), "n")
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot_lines = shared.where(F.col("n") * PARTS > total).drop("n")  # fewer than PARTS rows
+    rest = shared.where(F.col("n") * PARTS <= total).drop("n")
+    common = places.join(F.broadcast(hot_lines), "line_id")
+    others = places.join(F.broadcast(hot_lines.select("line_id")), "line_id", "left_anti").join(rest, "line_id", "left")
+    named = staged(common.unionByName(others), "line-named")
+    order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "line_no", "place", "line_id")
+    heads = named.where("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("head")).select("root", "head.place", F.col("head.line_id").alias("class_id"))
+    heads = staged(heads.withColumnRenamed("place", "kept_place"), "line-heads")
+    big = named.where("root IS NOT NULL").groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") * PARTS > total).select("root")
+    few = heads.join(F.broadcast(big), "root", "left_semi")  # fewer than PARTS rows
+    first = named.join(F.broadcast(few), "root")
+    second = named.join(F.broadcast(big), "root", "left_anti").join(heads, "root", "left")
+    out = first.unionByName(second)
+    return out.select("doc_id", "line_no", "line_id", F.coalesce("class_id", "line_id").alias("class_id"), (F.col("root").isNull() | (F.col("place") == F.col("kept_place"))).alias("kept"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

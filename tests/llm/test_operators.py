@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lapwing.llm import bpe, exact, graph, html_text, lines, packing, pii, quality, simhash
+from lapwing.llm import bpe, exact, graph, html_text, packing, pii, quality, simhash
 from lapwing.llm.html_pages import labelled_pages
 
 TEXTS = [
@@ -345,42 +345,6 @@ def test_plan_uses_each_piece_once():
     assert used == histogram
 
 
-def distance(a, b):
-    p = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        q = [i]
-        for j, y in enumerate(b, 1):
-            q.append(min(p[j] + 1, q[-1] + 1, p[j - 1] + (x != y)))
-        p = q
-    return p[-1]
-
-
-@pytest.mark.parametrize("threshold", [1, 2])
-def test_line_links(spark, threshold):
-    r, found = random.Random(2), set()
-    for _ in range(12):
-        base = "".join(r.choice("abé ") for _ in range(r.randint(8, 20)))
-        found.add(base)
-        for _ in range(5):
-            s = list(base)
-            for _ in range(r.randint(1, 3)):
-                k = r.randrange(len(s))
-                s[k : k + r.randint(0, 1)] = r.choice(["c", "é", "ab", ""])
-            found.add("".join(s))
-    texts = sorted(x for x in found if x)
-    d = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
-    ids = {x["line_id"]: x["line"] for x in lines.text_lines(d).collect()}
-    got = {tuple(sorted(x)) for x in lines.edit_links(d, threshold, 6).collect()}
-    want = {tuple(sorted(p)) for p in itertools.combinations(ids, 2) if min(len(ids[p[0]]), len(ids[p[1]])) >= 6 and distance(ids[p[0]], ids[p[1]]) <= threshold}
-    assert got == want and want
-
-
-def test_line_dedup(docs, empty):
-    rows = lines.line_dedup(docs).where("doc_id = 10").orderBy("line_no").collect()
-    assert [r["kept"] for r in rows] == [True, False, True]
-    assert lines.line_dedup(empty).count() == 0
-
-
 def test_html_held_out():
     weights, right, total = html_text.trained(), 0, 0
     for page in labelled_pages(100, seed=99):
