@@ -71,5 +71,11 @@ def _bytes(setting: str) -> int:
     return n if n > 0 else 1 << 62
 
 
+def repeated_ids(ids: DataFrame) -> DataFrame | None:
+    """The doc_ids (column _again) that stand in more than one row of ``ids``, null too; None if there are none."""
+    again = staged(ids.groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("n")).where("n > 1 OR _again IS NULL").select("_again"), "repeated-ids")
+    return None if again.isEmpty() else again
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))

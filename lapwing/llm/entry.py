@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from lapwing.llm import bpe, exact, html_text, licenses, lines, packing, pii, quality, simhash, toxicity
 
 
@@ -18,7 +17,6 @@ def queries() -> dict:
         "op8_packing": packing.op8_packing,
         "op9_html": html_text.op9_html,
         "op10_pii": pii.op10_pii,
-        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -23,12 +23,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lapwing.llm.common import small_arrow_batches, staged, table, text_or_empty
+from lapwing.llm.common import repeated_ids, small_arrow_batches, staged, table, text_or_empty
 
 #: Misra-Gries counters of a task, and the bound of the merged candidates.
 COUNTERS = 1024
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 class MisraGries:
     def __init__(self, counters: int):
         self.counters, self.n, self.counts = counters, 0, {}
@@ -93,16 +96,34 @@ def exact_dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """The documents that stay, with their own columns."""
-    stay = exact_dedup(docs, counters).where("kept").select(F.col("doc_id").alias("_stays"))
-    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["_stays"]), "left_semi")
+    """One document of each group of equal texts, with its own columns.
+
+    Documents are found again by their doc_id. Rows that share one, or have none, are told
+    apart by the digest of their text, and of equal ones the one with the first row stays.
+    """
+    rows = staged(digests(docs, counters), "digests")
+    done = resolve(rows, counters).where("kept").select(F.col("doc_id").alias("_stays"), F.lower(F.hex("digest")).alias("_digest"))
+    id_ = F.col("doc_id").cast("long")
+    again = repeated_ids(rows.where("n IS NULL").select("doc_id"))
+    if again is None:
+        return docs.join(done.select("_stays"), id_ == F.col("_stays"), "left_semi")
+    done = staged(done.distinct(), "kept-texts")
+    single = docs.join(again, id_.eqNullSafe(F.col("_again")), "left_anti").join(done.select("_stays"), id_ == F.col("_stays"), "left_semi")
+    own = docs.join(again, id_.eqNullSafe(F.col("_again")), "left_semi").withColumn("_own", F.sha2(F.translate(text_or_empty(), _UPPER, _UPPER.lower()).cast("binary"), 256))
+    kept = own.join(done, F.col("_own").eqNullSafe(F.col("_digest")) & id_.eqNullSafe(F.col("_stays")), "left_semi")
+    return single.unionByName(_one_of_each(kept, "_own", docs.columns))
+
+
+def _one_of_each(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """One row for each key, with the columns; each task picks its own first."""
+    picked = rows.groupBy(key).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("row"))
+    return picked.select("row.*")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ORACLE = f"""
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapwing.llm.common import small_arrow_batches, staged, table, text_or_empty
+from lapwing.llm.common import repeated_ids, small_arrow_batches, staged, table, text_or_empty
 from lapwing.llm.graph import components
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 4, 4, 42
@@ -165,25 +165,56 @@ def near_dedup(docs: DataFrame, distance: int = DISTANCE, words: int = SHINGLE,
     if distance % 2:
         raise ValueError("distance must be even: halfway points are exact for even distances only")
     rows = staged(fingerprints(docs, words), "fingerprints")
+    return _labelled(rows, distance, blocks, dense).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _labelled(rows: DataFrame, distance: int, blocks: int, dense: int) -> DataFrame:
+    """(doc_id, fp, component_id, group) of rows (doc_id, fp); group is a fingerprint of the component."""
     nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
     comp = components(links(nodes.select("fp"), distance, blocks, dense)).select(F.col("node").alias("fp"), "root")
     known = comp.join(nodes, "fp")
     roots = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    merged = known.join(roots, "root").select("fp", "component_id")
-    labels = nodes.join(merged, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    merged = known.join(roots, "root").select("fp", "component_id", "root")
+    labels = nodes.join(merged, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("root", "fp").alias("group"))
     # fewer than HOT fingerprints have more than 1 / HOT of the rows: their rows stay where they are
     total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = nodes.where(F.col("n") * HOT > total).select("fp")
     settled = rows.join(F.broadcast(labels.join(F.broadcast(hot), "fp", "left_semi")), "fp")
     rest = rows.join(F.broadcast(hot), "fp", "left_anti").join(labels, "fp", "left")
-    out = settled.unionByName(rest)
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return settled.unionByName(rest)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each group, that of the smallest doc_id, with its own columns."""
-    stay = near_dedup(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_stays"))
-    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["_stays"]), "left_semi")
+    """One document of each group, that of the smallest doc_id, with its own columns.
+
+    Documents are found again by their doc_id. Rows that share one, or have none, are told
+    apart by their fingerprints; of those of one group and doc_id, one stays.
+    """
+    rows = staged(fingerprints(docs), "fingerprints")
+    labels = _labelled(rows, DISTANCE, BLOCKS, DENSE)
+    id_ = F.col("doc_id").cast("long")
+    again = repeated_ids(rows.select("doc_id"))
+    if again is None:
+        stay = labels.where("doc_id = component_id").select(F.col("doc_id").alias("_stays"))
+        return docs.join(stay, id_ == F.col("_stays"), "left_semi")
+    stay = staged(labels.where("doc_id <=> component_id").select(F.col("doc_id").alias("_stays"), F.col("fp").alias("_print"), F.col("group").alias("_group")).distinct(), "kept-prints")
+    single = docs.join(again, id_.eqNullSafe(F.col("_again")), "left_anti").join(stay.select("_stays"), id_ == F.col("_stays"), "left_semi")
+    own = _with_prints(docs.join(again, id_.eqNullSafe(F.col("_again")), "left_semi"))
+    kept = own.join(stay, (F.col("_own") == F.col("_print")) & id_.eqNullSafe(F.col("_stays")))
+    picked = kept.groupBy("_group").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")).select("row.*")
+    return single.unionByName(picked)
+
+
+def _with_prints(docs: DataFrame) -> DataFrame:
+    """The rows with their fingerprint as _own."""
+    schema = docs.withColumn("_own", F.lit(0).cast("long")).schema
+
+    def run(batches):
+        for b in batches:
+            fp = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], names=[*b.schema.names, "_own"])
+
+    return docs.mapInArrow(run, schema)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
