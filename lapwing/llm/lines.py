@@ -35,12 +35,12 @@ from lapwing.llm.graph import components
 
 #: (least length, threshold), in order: a tenth of the length, two at most.
 BANDS = ((10, 1), (40, 2))
-#: Lines on either side of a bucket that are compared pair by pair.
-HOT = 64
+#: Lines on the smaller side of a bucket that is compared pair by pair.
+HOT = 8
 #: Lines with more than this part of all places are labelled by a broadcast.
 PARTS = 1024
-#: Characters whose counts (up to 255 each, eight in an integer) are compared before a pair is verified.
-LETTERS = ("etaonihs", "01234567")
+#: Characters whose counts are compared before a pair is verified.
+LETTERS = "etaonihs"
 
 
 def segments(length: str, threshold: int) -> list[tuple[str, str]]:
@@ -76,22 +76,36 @@ def _probes(threshold: int, d: int) -> list[tuple[int, str, str, str]]:
     return out
 
 
-def _keys(bands: tuple) -> list[tuple]:
-    """(condition, key, own, threshold, least length, d, start, size) of each segment that a
-    line of n code points files (own 1), and of each that it asks for in lines of n - d."""
-    rows = []
-    for threshold, lo, beyond in _ranges(bands):
-        for i, (start, size) in enumerate(segments("n", threshold)):
-            rows.append((f"n >= {lo - threshold} AND n < {beyond}", i, 1, threshold, lo, 0, start, size))
-        for d in range(threshold + 1):
-            for i, at, size, fits in _probes(threshold, d):
-                rows.append((f"n >= {lo} AND n < {beyond} AND {fits}", i, 0, threshold, lo, d, at, size))
-    return [(when, f"xxhash64({th}, n - {d}, {i}, substr(line, {at} + 1, {size}))", own, th, lo, d, at, size) for when, i, own, th, lo, d, at, size in rows]
+def specs_sql(bands: tuple) -> str:
+    """Array of (own, threshold, d, number, shift) that a line of n code points makes keys
+    of: its own segments (own 1), and the substrings it asks for in lines of n - d.
 
-
-def keys_sql(bands: tuple = BANDS) -> str:
-    """Array of (k, own): the segments that a line files, and what it asks for."""
-    return "array(" + ", ".join(f"struct(CASE WHEN {when} THEN {key} END AS k, {own} AS own)" for when, key, own, *_ in _keys(bands)) + ")"
+    The cases are data, not code: one short expression makes every key of them.
+    """
+    ranges = _ranges(bands)
+    cuts = sorted({x for k, lo, beyond in ranges for x in (lo - k, lo, beyond)})
+    cases = []
+    for low, high in zip(cuts, cuts[1:]):  # noqa: B905
+        rows = []
+        for threshold, lo, beyond in ranges:
+            if lo - threshold <= low < beyond:
+                rows += [(1, threshold, 0, i, 0) for i in range(threshold + 1)]
+            if lo <= low < beyond:
+                # i segments lie to the left, threshold - i to the right; edits there bound the shift
+                rows += [(0, threshold, d, i, x) for d in range(threshold + 1) for i in range(threshold + 1) for x in range(-threshold, threshold + 1) if abs(x) <= i and abs(d - x) <= threshold - i]
+        listed = ", ".join("named_struct('own', {}, 'threshold', {}, 'd', {}, 'number', {}, 'shift', {})".format(*r) for r in rows)
+        cases.append(f"WHEN n >= {low} AND n < {high} THEN array({listed})")
+    return f"CASE {' '.join(cases)} END"
+
+
+def keyed_lines(lines: DataFrame, bands: tuple) -> DataFrame:
+    """The lines' rows (id, line, n, ...) with own, threshold, d, at, size and the key k of
+    each substring that one files or asks for."""
+    t = lines.selectExpr("*", f"inline({specs_sql(bands)})").withColumn("base", F.expr("int((n - d) div (threshold + 1))"))
+    longer = "(threshold + 1 - (n - d) % (threshold + 1))"  # segments from this number on are longer by one
+    t = t.selectExpr("*", f"number * base + greatest(0, number - {longer}) + shift AS at", f"base + CASE WHEN number >= {longer} THEN 1 ELSE 0 END AS size")
+    t = t.where("n > d AND size > 0 AND at >= 0 AND at + size <= n")
+    return t.withColumn("k", F.expr("xxhash64(threshold, n - d, number, substr(line, at + 1, size))")).drop("base", "number", "shift")
 
 
 def within_sql(a: str, b: str, threshold: int) -> str:
@@ -127,17 +141,29 @@ def _met(keyed: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """Of rows (k, id, own, ...), each line once in each bucket where lines meet, with the
     numbers of lines that file (n_own) and ask (n_ask). One exchange by k serves it all."""
     dealt = keyed.repartition("k")
-    each = dealt.groupBy("k", "id", *more).agg(F.max("own").alias("own"), F.max(1 - F.col("own")).alias("ask"))
+    each = dealt.groupBy("k", "id", "sign", *more).agg(F.max("own").alias("own"), F.max(1 - F.col("own")).alias("ask"))
     sizes = each.groupBy("k").agg(F.sum("own").alias("n_own"), F.sum("ask").alias("n_ask"), F.min("id").alias("lo"), F.max("id").alias("hi"))
     sizes = sizes.where("n_own > 0 AND n_ask > 0 AND lo <> hi").select("k", "n_own", "n_ask")
     return each.join(sizes.hint("shuffle_hash"), "k")
 
 
-def _pairs(met: DataFrame, hot: int) -> DataFrame:
-    """(a, b): lines that meet in a small bucket."""
+def sign_sql() -> str:
+    """Counts of ``LETTERS``, four bits each: how far two counts lie apart around a circle
+    of 16 is no more than they differ."""
+    return "int(" + " | ".join(f"shiftleft((length(line) - length(replace(line, '{c}', ''))) & 15, {4 * k})" for k, c in enumerate(LETTERS)) + ")"
+
+
+def _apart_sql(a: str, b: str) -> str:
+    nibble = lambda x, k: f"(shiftrightunsigned({x}, {4 * k}) & 15)"
+    return " + ".join(f"least(({nibble(a, k)} - {nibble(b, k)}) & 15, ({nibble(b, k)} - {nibble(a, k)}) & 15)" for k in range(len(LETTERS)))
+
+
+def _pairs(met: DataFrame, hot: int, threshold: int) -> DataFrame:
+    """(a, b): lines that meet in a small bucket and whose letters differ by no more than edits can change."""
     cold = met.where(f"least(n_own, n_ask) <= {hot}")
-    a, b = cold.where("own = 1").select("k", F.col("id").alias("a")), cold.where("ask = 1").select("k", F.col("id").alias("b"))
-    return a.join(b, "k").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    a, b = (cold.where(f"{side} = 1").select("k", F.col("id").alias(x), F.col("sign").alias(f"{x}_sign")) for side, x in (("own", "a"), ("ask", "b")))
+    near = F.expr(f"a <> b AND {_apart_sql('a_sign', 'b_sign')} <= {2 * threshold}")
+    return a.join(b, "k").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _shared_sql(low: str, high: str) -> str:
@@ -188,71 +214,67 @@ def _cut_again(hot: DataFrame, bands: tuple) -> DataFrame:
             for y in range(2 * threshold):
                 parts.append(part(f"ask = 1 AND own_length <= {threshold} AND n > {y} AND own_length > {x}", 100 + x, 0, str(y), "1"))
         mine = hot.where(F.col("threshold") == threshold).withColumn("n", F.length("rest"))
-        out.append(mine.selectExpr("id", "long", "threshold", f"explode(filter(array({', '.join(parts)}), x -> x IS NOT NULL)) AS x").selectExpr("id", "long", "threshold", "x.*"))
+        out.append(mine.selectExpr("id", "sign", "long", "threshold", f"explode(filter(array({', '.join(parts)}), x -> x IS NOT NULL)) AS x").selectExpr("id", "sign", "long", "threshold", "x.*"))
     rows = out[0]
     for t in out[1:]:
         rows = rows.unionByName(t)
     return rows
 
 
-def _hot_links(lines: DataFrame, met: DataFrame, bands: tuple, hot: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """(candidate pairs, links) of the buckets that are too large for pairs."""
+def _hot_links(lines: DataFrame, met: DataFrame, bands: tuple, hot: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(candidate pairs, links) of the buckets that are too large for pairs, a table for each level."""
     large = staged(met.where(f"least(n_own, n_ask) > {hot}").select("k", "id"), "line-hot")
     if large.isEmpty():
-        return None, None
-    texts = staged(lines.join(large.select("id").distinct(), "id", "left_semi").groupBy("id", "line").agg(F.first("n").alias("n")), "line-hot-texts")
+        return [], []
+    texts = staged(lines.join(large.select("id").distinct(), "id", "left_semi").groupBy("id", "line").agg(F.first("n").alias("n"), F.first("sign").alias("sign")), "line-hot-texts")
     # the first keys again, now with what the segment leaves of the line; keys that met no crowd are left out
-    cut = lambda at, size: f"concat(left(line, {at}), substr(line, {at} + {size} + 1)) AS rest, array({at}) AS cuts"
-    parts = [f"CASE WHEN {when} THEN struct({key} AS k, {own} AS own, n >= {lo} AS long, {threshold} AS threshold, n - {d} - {size} AS own_length, {cut(at, size)}) END" for when, key, own, threshold, lo, d, at, size in _keys(bands)]
-    rows = texts.selectExpr("id", f"explode(filter(array({', '.join(parts)}), x -> x IS NOT NULL)) AS x").selectExpr("id", "x.*")
-    rows = rows.join(large.select("k").distinct(), "k", "left_semi")
-    pairs, stars = None, None
+    long = "CASE threshold " + " ".join(f"WHEN {k} THEN n >= {lo}" for k, lo, _ in _ranges(bands)) + " END AS long"
+    rows = keyed_lines(texts, bands).join(large.select("k").distinct(), "k", "left_semi")
+    rows = rows.selectExpr("k", "id", "sign", "own", long, "threshold", "n - d - size AS own_length", "concat(left(line, at), substr(line, at + size + 1)) AS rest", "array(at) AS cuts")
+    most = max(k for _, k in bands)
+    pairs, stars = [], []
     state = ("long", "threshold", "own_length", "rest", "cuts")
     while True:
         found = staged(_met(rows, state), "line-level")
         if found.isEmpty():
-            break
-        some = _pairs(found, hot)
-        crowd = staged(_trimmed(found.where(f"least(n_own, n_ask) > {hot}").select("k", "id", "own", "ask", *state)), "line-crowd")
+            return pairs, stars
+        crowd = staged(_trimmed(found.where(f"least(n_own, n_ask) > {hot}").select("k", "id", "sign", "own", "ask", *state)), "line-crowd")
         # rests of threshold characters or fewer, left at the same places: nothing else differs.
         # Lines are linked to one that is long enough to ask; the heads of different places are compared
         alike = crowd.where("length(rest) <= threshold AND own_length <= threshold").withColumn("size", F.length("rest"))
         heads = alike.where("long").groupBy("k", "size", "cuts").agg(F.min("id").alias("b"))
-        star = alike.join(heads, ["k", "size", "cuts"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-        other = heads.select("k", F.col("b").alias("a")).join(heads.select("k", "b"), "k").where("a < b").select("a", "b").distinct()
-        pairs = some.unionByName(other) if pairs is None else pairs.unionByName(some).unionByName(other)
-        stars = star if stars is None else stars.unionByName(star)
+        stars.append(staged(alike.join(heads, ["k", "size", "cuts"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "line-stars"))
+        other = heads.select("k", F.col("b").alias("a")).join(heads.select("k", "b"), "k").where("a < b").select("a", "b")
+        pairs.append(staged(_pairs(found, hot, most).unionByName(other).distinct(), "line-pairs"))
+        dropped(found)
         rows = _cut_again(crowd, bands)
-    return pairs, stars
+
+
+def _together(tables: list[DataFrame]) -> DataFrame:
+    """Staged tables of one schema as a single scan."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[t.staged_at for t in tables])
 
 
 def edit_links(docs: DataFrame, bands: tuple = BANDS, hot: int = HOT) -> DataFrame:
     """(a, b): 128-bit hashes of different lines within the longer one's threshold, enough of
     them to connect all that are (within small buckets, all)."""
     lines = text_lines(docs).select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("n")).where(f"n >= {bands[0][0] - bands[0][1]}")
-    keyed = lines.selectExpr("id", f"inline({keys_sql(bands)})").where("k IS NOT NULL")
-    met = staged(_met(keyed), "line-keys")
+    lines = lines.withColumn("sign", F.expr(sign_sql()))
+    met = staged(_met(keyed_lines(lines, bands).select("k", "id", "sign", "own")), "line-keys")
+    most = max(k for _, k in bands)
     pairs, stars = _hot_links(lines, met, bands, hot)
-    pairs = _pairs(met, hot) if pairs is None else _pairs(met, hot).unionByName(pairs).distinct()
-    pairs = staged(pairs, "line-pairs")
-    if stars is not None:
-        stars = staged(stars.distinct(), "line-stars")
-    ends = pairs if stars is None else pairs.unionByName(stars)
-    wanted = ends.select(F.col("a").alias("id")).union(ends.select(F.col("b").alias("id"))).distinct()
-    counts = [" | ".join(f"shiftleft(CAST(least(255, length(line) - length(replace(line, '{c}', ''))) AS LONG), {8 * k})" for k, c in enumerate(letters)) for letters in LETTERS]
+    pairs.append(staged(_pairs(met, hot, most), "line-pairs"))
+    ends = _together([*pairs, *stars]).distinct()
+    wanted = staged(ends.select(F.col("a").alias("id")).union(ends.select(F.col("b").alias("id"))).distinct(), "line-wanted")
     texts = lines.join(wanted, "id", "left_semi").groupBy("id", "line").agg(F.first("n").alias("n"))
-    texts = staged(texts.selectExpr("id", "line", "n", "md5(line) AS h", *(f"({c}) AS c{i}" for i, c in enumerate(counts))), "line-texts")
-    a, b = ([F.col("id").alias(x), F.struct("line", "n", "h", *(f"c{i}" for i in range(len(LETTERS)))).alias(y)] for x, y in (("a", "p"), ("b", "q")))
-    both = lambda t: t.join(texts.select(*a), "a").join(texts.select(*b), "b")
-    byte = lambda t, c, k: f"(shiftrightunsigned({t}.c{c}, {8 * k}) & 255)"
-    apart = " + ".join(f"abs({byte('p', c, k)} - {byte('q', c, k)})" for c, letters in enumerate(LETTERS) for k in range(len(letters)))
+    texts = staged(texts.selectExpr("id", "line", "n", "md5(line) AS h"), "line-texts")
+    a, b = ([F.col("id").alias(x), F.struct("line", "n", "h").alias(y)] for x, y in (("a", "p"), ("b", "q")))
+    both = ends.join(texts.select(*a), "a").join(texts.select(*b), "b")
     threshold = threshold_sql("greatest(p.n, q.n)", bands)
     cases = " ".join(f"WHEN {k} THEN {within_sql('c.x', 'c.y', k)}" for k in sorted({k for _, k in bands}))
     # characters are bound once: inside the fold they would be split anew at each step
     near = f"transform(array(struct(split(p.line, '') AS x, split(q.line, '') AS y)), c -> CASE {threshold} {cases} ELSE false END)[0]"
-    checked = both(pairs).where(f"abs(p.n - q.n) <= {threshold} AND {apart} <= 2 * {threshold}").where(near)
-    links = checked.selectExpr("p.h AS a", "q.h AS b")
-    return links if stars is None else links.unionByName(both(stars).selectExpr("p.h AS a", "q.h AS b"))
+    return both.where(f"abs(p.n - q.n) <= {threshold}").where(near).selectExpr("p.h AS a", "q.h AS b")
 
 
 def line_dedup(docs: DataFrame, bands: tuple = BANDS, hot: int = HOT) -> DataFrame:

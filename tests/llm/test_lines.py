@@ -91,7 +91,7 @@ def test_links_are_links(spark):
     texts = variants(8, 12, 8, 60)
     name = {hashlib.md5(x.encode()).hexdigest(): x for x in texts}
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {tuple(sorted((name[r["a"]], name[r["b"]]))) for r in lines.edit_links(d).collect()}
+    found = {tuple(sorted((name[r["a"]], name[r["b"]]))) for r in lines.edit_links(d, hot=64).collect()}
     want = {p for p in itertools.combinations(sorted(texts), 2) if distance(*p) <= threshold(max(map(len, p)), lines.BANDS)}
     assert found == want and want  # small buckets: every link
 
