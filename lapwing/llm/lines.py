@@ -101,11 +101,12 @@ def specs_sql(bands: tuple) -> str:
 def keyed_lines(lines: DataFrame, bands: tuple) -> DataFrame:
     """The lines' rows (id, line, n, ...) with own, threshold, d, at, size and the key k of
     each substring that one files or asks for."""
-    t = lines.selectExpr("*", f"inline({specs_sql(bands)})").withColumn("base", F.expr("int((n - d) div (threshold + 1))"))
+    # four bytes for each code point: a substring is cut without counting through the line
+    t = lines.withColumn("_points", F.encode("line", "UTF-32")).selectExpr("*", f"inline({specs_sql(bands)})").withColumn("base", F.expr("int((n - d) div (threshold + 1))"))
     longer = "(threshold + 1 - (n - d) % (threshold + 1))"  # segments from this number on are longer by one
     t = t.selectExpr("*", f"number * base + greatest(0, number - {longer}) + shift AS at", f"base + CASE WHEN number >= {longer} THEN 1 ELSE 0 END AS size")
     t = t.where("n > d AND size > 0 AND at >= 0 AND at + size <= n")
-    return t.withColumn("k", F.expr("xxhash64(threshold, n - d, number, substr(line, at + 1, size))")).drop("base", "number", "shift")
+    return t.withColumn("k", F.expr("xxhash64(threshold, n - d, number, substr(_points, 4 * at + 1, 4 * size))")).drop("base", "number", "shift", "_points")
 
 
 def within_sql(a: str, b: str, threshold: int) -> str:
@@ -141,10 +142,11 @@ def _met(keyed: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """Of rows (k, id, own, ...), each line once in each bucket where lines meet, with the
     numbers of lines that file (n_own) and ask (n_ask). One exchange by k serves it all."""
     dealt = keyed.repartition("k")
-    each = dealt.groupBy("k", "id", "sign", *more).agg(F.max("own").alias("own"), F.max(1 - F.col("own")).alias("ask"))
-    sizes = each.groupBy("k").agg(F.sum("own").alias("n_own"), F.sum("ask").alias("n_ask"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-    sizes = sizes.where("n_own > 0 AND n_ask > 0 AND lo <> hi").select("k", "n_own", "n_ask")
-    return each.join(sizes.hint("shuffle_hash"), "k")
+    ends = dealt.groupBy("k").agg(F.max("own").alias("own"), F.min("own").alias("ask"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    met = dealt.join(ends.where("own = 1 AND ask = 0 AND lo <> hi").select("k").hint("shuffle_hash"), "k", "left_semi")
+    each = staged(met.groupBy("k", "id", "sign", *more).agg(F.max("own").alias("own"), F.max(1 - F.col("own")).alias("ask")), "line-met")
+    sizes = each.groupBy("k").agg(F.sum("own").alias("n_own"), F.sum("ask").alias("n_ask"))
+    return each.join(sizes, "k")
 
 
 def sign_sql() -> str:
@@ -221,6 +223,24 @@ def _cut_again(hot: DataFrame, bands: tuple) -> DataFrame:
     return rows
 
 
+def _stars(crowd: DataFrame) -> DataFrame:
+    """(a, b): links of crowded lines of which no more characters than the threshold are left.
+
+    The gaps that a line's characters are left in are all that differs, whatever they are:
+    two lines are linked if their gaps together, as sets with repetition, are no more than
+    the threshold. That holds if they have enough gaps in common, so lines meet under each
+    part of their gaps, and are linked to the one with the fewest characters, if that one
+    is long enough to ask. What shares a character besides is found when it is taken out.
+    """
+    left = crowd.where("length(rest) <= threshold AND own_length <= threshold").withColumn("size", F.length("rest"))
+    gaps = "CASE WHEN size = 0 THEN CAST(array() AS array<int>) ELSE transform(sequence(0, size - 1), j -> size(filter(cuts, c -> c <= j))) END"
+    part = "explode(array_distinct(transform(sequence(0, shiftleft(1, size) - 1), x -> filter(gaps, (g, i) -> (shiftright(x, i) & 1) = 1)))) AS part"
+    rows = left.selectExpr("k", "id", "long", "threshold", "size", f"{gaps} AS gaps").selectExpr("k", "id", "long", "threshold", "size", part)
+    heads = rows.where("long").groupBy("k", "part").agg(F.min("size").alias("least"), F.min_by("id", F.struct("size", "id")).alias("b"))
+    near = rows.join(heads, ["k", "part"]).where("id <> b AND size + least <= threshold + size(part)")
+    return near.select(F.col("id").alias("a"), "b").distinct()
+
+
 def _hot_links(lines: DataFrame, met: DataFrame, bands: tuple, hot: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """(candidate pairs, links) of the buckets that are too large for pairs, a table for each level."""
     large = staged(met.where(f"least(n_own, n_ask) > {hot}").select("k", "id"), "line-hot")
@@ -239,13 +259,8 @@ def _hot_links(lines: DataFrame, met: DataFrame, bands: tuple, hot: int) -> tupl
         if found.isEmpty():
             return pairs, stars
         crowd = staged(_trimmed(found.where(f"least(n_own, n_ask) > {hot}").select("k", "id", "sign", "own", "ask", *state)), "line-crowd")
-        # rests of threshold characters or fewer, left at the same places: nothing else differs.
-        # Lines are linked to one that is long enough to ask; the heads of different places are compared
-        alike = crowd.where("length(rest) <= threshold AND own_length <= threshold").withColumn("size", F.length("rest"))
-        heads = alike.where("long").groupBy("k", "size", "cuts").agg(F.min("id").alias("b"))
-        stars.append(staged(alike.join(heads, ["k", "size", "cuts"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "line-stars"))
-        other = heads.select("k", F.col("b").alias("a")).join(heads.select("k", "b"), "k").where("a < b").select("a", "b")
-        pairs.append(staged(_pairs(found, hot, most).unionByName(other).distinct(), "line-pairs"))
+        stars.append(staged(_stars(crowd), "line-stars"))
+        pairs.append(staged(_pairs(found, hot, most), "line-pairs"))
         dropped(found)
         rows = _cut_again(crowd, bands)
 
