@@ -99,4 +99,5 @@ def merged_classes(alloc: DataFrame, free: DataFrame, neg: DataFrame) -> DataFra
     def one(t: str, pos: DataFrame, other: DataFrame) -> DataFrame:
         return pos.select(F.lit(t).alias("target"), "name", F.lit(True).alias("positive")).union(other.union(neg).select(F.lit(t), "name", F.lit(False)))
 
-    return one("alloc", alloc.select("name"), free.select("name")).union(one("free", free.select("name"), alloc.select("name")))
+    alloc, free, neg = alloc.select("name"), free.select("name"), neg.select("name")
+    return one("alloc", alloc, free).union(one("free", free, alloc))

@@ -81,6 +81,26 @@ def belief_cut(top: DataFrame, counts: DataFrame, least: int) -> int:
     return int(least / row["r"]) if row and row["r"] else 0
 
 
+def primitive_deallocators(counts: DataFrame, edges: DataFrame, sim: DataFrame, min_call: int = 50, threshold: float = 0.5) -> DataFrame:
+    """Of (funcname, n_calls), the functions that call no similar function called more than ``min_call`` times."""
+    often = counts.where(F.col("n_calls") > min_call).join(sim.where(F.col("cos") >= threshold), "funcname", "left_semi").select(F.col("funcname").alias("callee"))
+    wrapping = edges.join(often, "callee", "left_semi").select(F.col("caller").alias("funcname")).distinct()
+    return counts.join(wrapping, "funcname", "left_anti")
+
+
+def primitive_seeds(counts: DataFrame, checks: DataFrame, edges: DataFrame, sim: DataFrame, min_call: int = 50, least: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(functions left with their calls, seeds with their argument): functions that only wrap
+    a frequent one are left out, then those called often but seldom set to null.
+
+    ``checks`` (funcname, arg_index, n). How often is often follows from the ten functions
+    set to null most.
+    """
+    cut = belief_cut(checks, counts, least)
+    primitive = primitive_deallocators(counts, edges, sim, min_call)
+    yes, no = split_truth(primitive, checks, cut, least)
+    return primitive.join(no, "funcname", "left_anti"), yes
+
+
 def split_truth(counts: DataFrame, checks: DataFrame, cut: int, least: int) -> tuple[DataFrame, DataFrame]:
     """Of functions called more than ``cut`` times: (those with ``least`` null assignments and their argument, the others)."""
     rows = counts.where(F.col("n_calls") > cut).join(checks, "funcname", "left").withColumn("_ok", F.coalesce(F.col("n") >= least, F.lit(False)))

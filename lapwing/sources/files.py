@@ -88,6 +88,21 @@ def read_token_lines(spark: SparkSession, path: str) -> DataFrame:
     return until_blank(_numbered(spark, path)).select("pos", F.split(F.trim("value"), " ").alias("tokens"))
 
 
+def last_embeddings(embeddings: DataFrame) -> DataFrame:
+    """(name, vector): the last vector of each name, in order of the file's lines."""
+    return embeddings.groupBy("name").agg(F.max_by("vector", "pos").alias("vector"))
+
+
+def flows_by_caller(flows: DataFrame) -> DataFrame:
+    """(caller, flows): a caller's flows, which are as many as it has target callees."""
+    rest = F.struct(*[c for c in flows.columns if c != "caller"])
+    return flows.groupBy("caller").agg(F.sort_array(F.collect_list(rest)).alias("flows"))
+
+
+def caller_count(spark: SparkSession, path: str) -> DataFrame:
+    return read_callers(spark, path).agg(F.count("*").alias("n"))
+
+
 def read_alloc_flows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("caller string, callee string, passed_params array<string>, return_values array<string>, direct_return int").json(path)
 
@@ -101,9 +116,15 @@ def read_free_flows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_reassignments(spark: SparkSession, path: str) -> DataFrame:
-    """(funcname, arg_index, n) of whitespace-separated lines; n is 1 where it is missing."""
+    """(funcname, arg_index, n) of whitespace-separated lines; n is 1 where it is missing.
+    A name's last line counts, and a file that isn't there has none."""
     p = F.split(F.trim("value"), r"\s+")
-    return spark.read.text(path).where(F.trim("value") != "").select(F.get(p, F.lit(0)).alias("funcname"), F.get(p, F.lit(1)).cast("int").alias("arg_index"), F.coalesce(F.get(p, F.lit(2)).cast("long"), F.lit(1)).alias("n"))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "funcname string, arg_index int, n long")
+    lines = _numbered(spark, path).where(F.trim("value") != "")
+    rows = lines.select(F.struct("source", "pos").alias("at"), F.get(p, F.lit(0)).alias("funcname"), F.get(p, F.lit(1)).cast("int").alias("arg_index"), F.coalesce(F.get(p, F.lit(2)).cast("long"), F.lit(1)).alias("n"))
+    return rows.groupBy("funcname").agg(F.max_by(F.struct("arg_index", "n"), "at").alias("r")).select("funcname", "r.arg_index", "r.n")
 
 
 def read_compile_db(spark: SparkSession, path: str, drop_flags: tuple[str, ...] = ("-D__GENKSYMS__",), add: str = "") -> DataFrame:

@@ -18,10 +18,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/checkpoints"
 
 
+def written_at(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/lapwing-{label}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """``df``, written as Parquet to the shared folder and read again. It survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lapwing-{label}-{uuid.uuid4().hex}"
+    path = written_at(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from lapwing import queries_flows  # noqa: F401  (adds its queries)
 from lapwing.queries import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
