@@ -45,10 +45,12 @@ from lapwing.llm.bpe import _Missing
 from lapwing.llm.common import small_arrow_batches, staged, table, text_or_empty
 
 #: Labelled texts of each class, landmarks of each class.
-SAMPLE, LANDMARKS = 1500, 160
+SAMPLE, LANDMARKS = 1000, 160
 #: Words of a training sentence at most, and of the stretches a text is judged by.
 SPANS = (24, 96)
 CACHE_WORDS, CACHE_VECTORS = 200_000, 40_000
+#: Sentences that the SVM reads at a time.
+BLOCK = 8192
 PIECE = 40
 #: Characters of a subsequence, counted from its first; each further character of its span halves the weight.
 PATTERNS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4), (0, 1, 2, 3))
@@ -185,13 +187,20 @@ class WordModel:
 
 def fit_svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, penalty: float, start: np.ndarray | None = None) -> np.ndarray:
     """A linear SVM with squared hinge loss by Newton steps; the last weight is the offset."""
-    keep = np.full(x.shape[1] + 1, penalty)
+    size = x.shape[1] + 1
+    keep = np.full(size, penalty)
     keep[-1] = 1e-6
-    w = np.zeros(x.shape[1] + 1) if start is None else start
+    w = np.zeros(size) if start is None else start
     for _ in range(12):
-        inside = y * (x @ w[:-1] + w[-1]) < 1
-        xi, ci, yi = np.hstack([x[inside], np.ones((inside.sum(), 1), x.dtype)]), c[inside], y[inside]
-        new = np.linalg.solve(np.diag(keep) + (xi * ci[:, None].astype(x.dtype)).T @ xi, xi.T @ (ci * yi))
+        left, right = np.diag(keep), np.zeros(size)
+        for at in range(0, len(x), BLOCK):  # rows that count nothing are left out block by block
+            part = slice(at, at + BLOCK)
+            inside = (c[part] > 0) & (y[part] * (x[part] @ w[:-1] + w[-1]) < 1)
+            xi = np.hstack([x[part][inside], np.ones((inside.sum(), 1))])
+            ci = c[part][inside]
+            left = left + (xi * ci[:, None]).T @ xi
+            right += xi.T @ (ci * y[part][inside])
+        new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-4 * np.abs(new).max():
             return new
         w = new
@@ -209,8 +218,8 @@ def fit_sentences(x: np.ndarray, toxic: np.ndarray, text: np.ndarray, penalty: f
     for _ in range(1 + ROUNDS):
         share = 1.0 / np.maximum(1, np.bincount(text[used], minlength=text.max() + 1))
         c = np.where(toxic, share[text], 1.0)
-        c = np.where(toxic, c / c[toxic & used].sum(), c / c[~toxic].sum()) / 2
-        w = fit_svm(x[used], y[used], c[used], penalty, w)
+        c = np.where(used, np.where(toxic, c / c[toxic & used].sum(), c / c[~toxic].sum()) / 2, 0.0)
+        w = fit_svm(x, y, c, penalty, w)
         scores = x @ w[:-1]
         order = np.lexsort((-scores, text))
         rank = np.empty(len(y), np.int64)
@@ -263,15 +272,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Wor
         for b in batches:
             for doc, toxic, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 x = kernel.sentences(sentences(units(text)), known)
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(x), pa.int64()), pa.array([toxic] * len(x), pa.int32()), pa.array(list(x), pa.list_(pa.float32()))], names=["id", "toxic", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([toxic], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["id", "toxic", "x"])
 
-    made = staged(rows.mapInArrow(features, "id long, toxic int, x array<float>"), "toxic-sentences").toArrow()
-    if not made.num_rows:
+    made = staged(rows.mapInArrow(features, "id long, toxic int, x binary"), "toxic-sentences")
+    size = kernel.project.shape[1]
+    n = made.agg(F.sum(F.octet_length("x"))).first()[0] // (4 * size)
+    if not n:
         return None, np.zeros(5)
-    x = made["x"].combine_chunks().flatten().to_numpy().reshape(made.num_rows, -1)
-    toxic = made["toxic"].to_numpy() > 0
-    keys = np.stack([made["id"].to_numpy(), toxic.astype(np.int64)], 1)
-    w = fit_sentences(x, toxic, np.unique(keys, axis=0, return_inverse=True)[1].ravel())
+    x, toxic, of, at = np.empty((n, size), np.float32), np.zeros(n, bool), np.zeros(n, np.int64), 0
+    texts: dict[tuple, int] = {}
+    for r in made.toLocalIterator():  # a partition at a time: the driver holds the features once
+        more = np.frombuffer(r["x"], np.float32).reshape(-1, size)
+        x[at : at + len(more)], toxic[at : at + len(more)] = more, r["toxic"] > 0
+        of[at : at + len(more)] = texts.setdefault((r["id"], r["toxic"]), len(texts))
+        at += len(more)
+    w = fit_sentences(x, toxic, of)
+    del x
     flat = kernel.project @ w[:-1]
     weights = {s: float(flat[k]) for s, k in kernel.index.items()}
 
