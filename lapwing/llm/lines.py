@@ -40,17 +40,7 @@ HOT = 8
 #: Lines with more than this part of all places are labelled by a broadcast.
 PARTS = 1024
 #: Characters whose counts are compared before a pair is verified.
-LETTERS = "etaonihs"
-
-
-def segments(length: str, threshold: int) -> list[tuple[str, str]]:
-    """(start, size) of each segment of a line of that length, as SQL; the last ones are longer."""
-    base, more = f"int({length} div {threshold + 1})", f"({length} % {threshold + 1})"
-    out = []
-    for i in range(threshold + 1):
-        longer_before = f"greatest(0, {i} - ({threshold + 1} - {more}))"
-        out.append((f"({i} * {base} + {longer_before})", f"({base} + CASE WHEN {i} >= {threshold + 1} - {more} THEN 1 ELSE 0 END)"))
-    return out
+LETTERS = "eanr"
 
 
 def _ranges(bands: tuple) -> list[tuple[int, int, int]]:
@@ -63,19 +53,6 @@ def threshold_sql(length: str, bands: tuple = BANDS) -> str:
     return f"CASE {cases} ELSE 0 END"
 
 
-def _probes(threshold: int, d: int) -> list[tuple[int, str, str, str]]:
-    """(number, start, size, condition) of the substrings of a string of n characters that
-    may be a segment of one of n - d."""
-    out = []
-    for i, (start, size) in enumerate(segments(f"(n - {d})", threshold)):
-        for shift in range(-threshold, threshold + 1):
-            # i segments lie to the left, threshold - i to the right; edits there bound the shift
-            if abs(shift) <= i and abs(d - shift) <= threshold - i:
-                at = f"({start} + {shift})"
-                out.append((i, at, size, f"n > {d} AND {size} > 0 AND {at} >= 0 AND {at} + {size} <= n"))
-    return out
-
-
 def specs_sql(bands: tuple) -> str:
     """Array of (own, threshold, d, number, shift) that a line of n code points makes keys
     of: its own segments (own 1), and the substrings it asks for in lines of n - d.
@@ -142,7 +119,9 @@ def _met(keyed: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """Of rows (k, id, own, ...), each line once in each bucket where lines meet, with the
     numbers of lines that file (n_own) and ask (n_ask). One exchange by k serves it all."""
     dealt = keyed.repartition("k")
-    ends = dealt.groupBy("k").agg(F.max("own").alias("own"), F.min("own").alias("ask"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    # all columns are read, so that both sides are one exchange
+    read = [F.max(F.hash(*[F.col(c) for c in dealt.columns])).alias("all")]
+    ends = dealt.groupBy("k").agg(F.max("own").alias("own"), F.min("own").alias("ask"), F.min("id").alias("lo"), F.max("id").alias("hi"), *read).where("all IS NOT NULL")
     met = dealt.join(ends.where("own = 1 AND ask = 0 AND lo <> hi").select("k").hint("shuffle_hash"), "k", "left_semi")
     each = staged(met.groupBy("k", "id", "sign", *more).agg(F.max("own").alias("own"), F.max(1 - F.col("own")).alias("ask")), "line-met")
     sizes = each.groupBy("k").agg(F.sum("own").alias("n_own"), F.sum("ask").alias("n_ask"))
@@ -193,34 +172,26 @@ def _trimmed(rows: DataFrame) -> DataFrame:
 
 
 def _cut_again(hot: DataFrame, bands: tuple) -> DataFrame:
-    """The next keys of rows (k, id, own, ask, long, threshold, own_length, rest, cuts):
+    """The next keys of rows (k, id, sign, own, ask, long, threshold, own_length, rest, cuts):
     own_length is the length of the rests that are filed."""
-    out = []
-    moved = "transform(cuts, c -> CASE WHEN c <= p.at THEN c WHEN c >= p.at + p.size THEN c - p.size ELSE p.at END)"
-    inner = "transform(filter(cuts, c -> c > p.at AND c < p.at + p.size), c -> c - p.at)"
-    def part(when: str, i: int, own: int, at: str, size: str) -> str:
-        body = f"""struct(xxhash64(k, {i}, substr(rest, p.at + 1, p.size), {inner}) AS k, {own} AS own, own_length - p.size AS own_length,
-            concat(left(rest, p.at), substr(rest, p.at + p.size + 1)) AS rest, array_sort(concat({moved}, array(p.at))) AS cuts)"""
-        return f"CASE WHEN {when} THEN transform(array(struct({at} AS at, {size} AS size)), p -> {body})[0] END"
-
+    cases = []
     for threshold in sorted({k for _, k in bands}):
-        parts = []
-        for i, (start, size) in enumerate(segments("n", threshold)):
-            parts.append(part(f"own = 1 AND n > {threshold}", i, 1, start, size))
-        for d in range(threshold + 1):
-            for i, at, size, fits in _probes(threshold, d):
-                parts.append(part(f"ask = 1 AND n - {d} = own_length AND own_length > {threshold} AND {fits}", i, 0, at, size))
+        rows = [(1, 0, i, 0, -1) for i in range(threshold + 1)]
+        rows += [(0, d, i, x, -1) for d in range(threshold + 1) for i in range(threshold + 1) for x in range(-threshold, threshold + 1) if abs(x) <= i and abs(d - x) <= threshold - i]
         # too short for segments of a character each: what differs at another place shares a character
-        for x in range(threshold):
-            parts.append(part(f"own = 1 AND n <= {threshold} AND n > {x}", 100 + x, 1, str(x), "1"))
-            for y in range(2 * threshold):
-                parts.append(part(f"ask = 1 AND own_length <= {threshold} AND n > {y} AND own_length > {x}", 100 + x, 0, str(y), "1"))
-        mine = hot.where(F.col("threshold") == threshold).withColumn("n", F.length("rest"))
-        out.append(mine.selectExpr("id", "sign", "long", "threshold", f"explode(filter(array({', '.join(parts)}), x -> x IS NOT NULL)) AS x").selectExpr("id", "sign", "long", "threshold", "x.*"))
-    rows = out[0]
-    for t in out[1:]:
-        rows = rows.unionByName(t)
-    return rows
+        rows += [(1, 0, 100 + x, 0, x) for x in range(threshold)] + [(0, 0, 100 + x, 0, y) for x in range(threshold) for y in range(2 * threshold)]
+        listed = ", ".join("named_struct('files', {}, 'd', {}, 'number', {}, 'shift', {}, 'place', {})".format(*r) for r in rows)
+        cases.append(f"WHEN {threshold} THEN array({listed})")
+    t = hot.withColumn("n", F.length("rest")).selectExpr("*", f"inline(CASE threshold {' '.join(cases)} END)")
+    by_segment = "place < 0 AND own_length > threshold AND IF(files = 1, own = 1, ask = 1 AND n - d = own_length)"
+    by_character = "place >= 0 AND own_length <= threshold AND n > place AND own_length > number - 100 AND IF(files = 1, own = 1, ask = 1)"
+    t = t.where(f"({by_segment}) OR ({by_character})").withColumn("base", F.expr("int((n - d) div (threshold + 1))"))
+    longer = "(threshold + 1 - (n - d) % (threshold + 1))"
+    t = t.selectExpr("*", f"IF(place >= 0, place, number * base + greatest(0, number - {longer}) + shift) AS at", f"IF(place >= 0, 1, base + IF(number >= {longer}, 1, 0)) AS size")
+    t = t.where("n > d AND size > 0 AND at >= 0 AND at + size <= n")
+    inner = "transform(filter(cuts, c -> c > at AND c < at + size), c -> c - at)"
+    moved = "transform(cuts, c -> CASE WHEN c <= at THEN c WHEN c >= at + size THEN c - size ELSE at END)"
+    return t.selectExpr(f"xxhash64(k, number, substr(rest, at + 1, size), {inner}) AS k", "id", "sign", "files AS own", "long", "threshold", "own_length - size AS own_length", "concat(left(rest, at), substr(rest, at + size + 1)) AS rest", f"array_sort(concat({moved}, array(at))) AS cuts")
 
 
 def _stars(crowd: DataFrame) -> DataFrame:
