@@ -20,10 +20,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import string
 import unicodedata
+from codecs import charmap_decode
 from collections.abc import Iterator
 from functools import lru_cache
-from struct import pack
 
 import ahocorasick
 import numpy as np
@@ -35,12 +36,14 @@ from pyspark.sql import functions as F
 from lapwing.llm.common import small_arrow_batches, table, text_or_empty
 
 #: Chunks and words in each generation of a dictionary.
-CACHE_CHUNKS = 250_000
-CACHE_WORDS = 250_000
+CACHE_CHUNKS = 400_000
+CACHE_WORDS = 100_000
 CACHE_PAIRS = 300_000
 LONGEST_CACHED = 48
 #: Ids that decoding copies out at a time.
 DECODE_BLOCK = 200_000
+#: Neither letters, numbers nor white space to the tokenizer: a run of them is one piece, if nothing follows.
+MARKS = string.punctuation
 #: Below this code point, the regex module and the tokenizer agree on every character's class.
 PLAIN_LIMIT = 0x530
 _END = 0x4000
@@ -89,6 +92,25 @@ class _Missing(dict):
         return value
 
 
+class _After(dict):
+    """For a token, whether each of those that stood after it is compatible; worked out when first asked."""
+
+    __slots__ = ("bpe", "left")
+
+    def __init__(self, bpe: WordBpe, left: int):
+        self.bpe, self.left = bpe, left
+
+    def __missing__(self, token: int) -> bool:
+        bpe = self.bpe
+        if bpe.known_pairs >= CACHE_PAIRS:
+            bpe.known_pairs = 0
+            for row in bpe.after:
+                row.clear()
+        bpe.known_pairs += 1
+        known = self[token] = self.left < 0 or bpe._compatible(self.left, token, 1 << 40)
+        return known
+
+
 class WordBpe:
     """A word-level BPE vocabulary with word ends, read from a tokenizers file."""
 
@@ -104,7 +126,7 @@ class WordBpe:
         self.special_pattern = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
         self.word_pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         symbols = _byte_symbols()
-        self.to_symbols = {b: s for b, s in enumerate(symbols)}
+        self.to_symbols = "".join(symbols)
         self.to_end = {s: chr(ord(s) + _END) for s in symbols}
         self._compile(model["merges"], symbols)
         n = max([*self.vocab.values(), *self.special.values()]) + 1
@@ -115,16 +137,17 @@ class WordBpe:
         self.id_bytes, self.id_offsets = _offset_table([f"{i} ".encode() for i in range(n)])
         self.words = _Missing(self._encode_word, CACHE_WORDS)
         self.chunks = _Missing(self._encode_chunk, CACHE_CHUNKS)
-        self.pairs: dict[int, bool] = {}
+        self.raw = [i.to_bytes(4, "little") for i in range(len(self.size))]
+        self._pair_table()
 
     def _compile(self, merges: list, symbols: list[str]) -> None:
         text: dict[int, str] = {}
         for s in symbols:
             text[self.vocab[s]] = s
             text[self.vocab[s + self.suffix]] = chr(ord(s) + _END)
-        self.first, self.second = {}, {}  # the halves of a merged token; a base symbol is its own half
+        n = max(self.vocab.values()) + 1
+        self.first, self.second, self.rank = [-1] * n, [-1] * n, [-1] * n  # the halves of a merged token and its rank
         self.merged: dict[int, int] = {}
-        self.rank: dict[int, int] = {i: -1 for i in text}
         for rank, (a, b) in enumerate(merges):
             left, right, both = self.vocab[a], self.vocab[b], self.vocab[a + b]
             self.merged[left << 17 | right] = rank
@@ -136,14 +159,16 @@ class WordBpe:
             self.size[i] = len(t)
         usable: set[int] = set()
         for i in sorted(text, key=self.rank.__getitem__):
-            if i not in self.first:
+            if self.rank[i] < 0:
                 usable.add(i)
             elif self.first[i] in usable and self.second[i] in usable and self._compatible(self.first[i], self.second[i], self.rank[i]):
                 usable.add(i)
         self.by_text = {text[i]: i for i in usable}
         self.automaton = ahocorasick.Automaton()
         for s, i in self.by_text.items():
-            self.automaton.add_word(s, i)
+            if len(s) > 1:
+                self.automaton.add_word(s, (i, len(s) - 1))
+        self.base = {s: i for s, i in self.by_text.items() if len(s) == 1}
         self.automaton.make_automaton()
         self.shorter: dict[int, int] = {}
         for s, i in self.by_text.items():
@@ -155,73 +180,75 @@ class WordBpe:
         Undo merges on both sides from the last to the first: at each moment the
         two symbols at the border must not merge earlier than the one undone last.
         """
-        rank, limit = self.rank, below
+        rank, first, second, merged, limit = self.rank, self.first, self.second, self.merged, below
+        made_left, made_right = rank[left], rank[right]
         while True:
-            joined = self.merged.get(left << 17 | right)
-            if joined is not None and joined < limit:
+            if merged.get(left << 17 | right, limit) < limit:
                 return False
-            if rank[left] > rank[right]:
+            if made_left > made_right:
                 # the left one was made later: of equal merges the left comes first in the text
-                limit, left = rank[left], self.second[left]
-            elif rank[right] >= 0:
-                limit, right = rank[right] + 1, self.first[right]
+                limit, left = made_left, second[left]
+                made_left = rank[left]
+            elif made_right >= 0:
+                limit, right = made_right + 1, first[right]
+                made_right = rank[right]
             else:
                 return True
 
-    def _fits(self, left: int, right: int) -> bool:
-        key = left << 17 | right
-        if len(self.pairs) >= CACHE_PAIRS:
-            self.pairs.clear()
-        known = self.pairs[key] = self._compatible(left, right, 1 << 40)
-        return known
+    def _pair_table(self) -> None:
+        self.after = [_After(self, left) for left in range(len(self.size))]
+        self.after.append(_After(self, -1))  # what a word may begin with
+        self.known_pairs = 0
 
     def _encode_symbols(self, s: str) -> list[int]:
-        whole = self.by_text.get(s)
-        if whole is not None:
-            return [whole]
-        n, at, out, dead = len(s), 0, [], set()
-        size, shorter, pairs = self.size, self.shorter, self.pairs
-        longest = [0] * n
-        for end, token in self.automaton.iter(s):  # of the matches that begin at a place, the longest comes last
-            longest[end - size[token] + 1] = token
-        token, last = longest[0], -1
+        n, at, out, dead = len(s), 0, [], ()
+        size, shorter, after = self.size, self.shorter, self.after
+        longest = list(map(self.base.__getitem__, s))
+        for end, (token, before) in self.automaton.iter(s):  # of the matches that begin at a place, the longest comes last
+            longest[end - before] = token
+        token, fits = longest[0], after[-1]
         while True:
             while token >= 0:
-                end = at + size[token]
-                if end not in dead:
-                    if last < 0:
-                        break
-                    known = pairs.get(last << 17 | token)
-                    if self._fits(last, token) if known is None else known:
+                if fits[token]:
+                    end = at + size[token]
+                    if end not in dead:
                         break
                 token = shorter[token]
-            if token >= 0:
-                out.append(token)
-                if end == n:
-                    return out
-                at, last = end, token
-                token = longest[at]
             else:
-                dead.add(at)
+                if dead:
+                    dead.add(at)
+                else:
+                    dead = {at}
                 token = out.pop()
-                last = out[-1] if out else -1
                 at -= size[token]
+                token, fits = shorter[token], after[out[-1] if out else -1]
+                continue
+            out.append(token)
+            if end == n:
+                return out
+            at, token, fits = end, longest[end], after[token]
 
     def _encode_word(self, word: str) -> bytes:
         """Ids of one piece of the pre-tokenizer, as little-endian 32-bit integers."""
-        if word.isascii():  # these stand for themselves, but for control characters
-            return self._encode_shown(word if word.isprintable() else word.translate(self.to_symbols))
-        return self._encode_shown(word.encode().decode("latin-1").translate(self.to_symbols))
+        if not (word.isascii() and word.isprintable()):  # those stand for themselves
+            word = charmap_decode(word.encode(), "strict", self.to_symbols)[0]
+        word = word[:-1] + self.to_end[word[-1]]
+        whole = self.by_text.get(word)
+        return self.raw[whole] if whole is not None else b"".join(map(self.raw.__getitem__, self._encode_symbols(word)))
 
     def _encode_shown(self, shown: str) -> bytes:
-        ids = self._encode_symbols(shown[:-1] + self.to_end[shown[-1]])
-        return pack(f"<{len(ids)}I", *ids)
+        return b"".join([self.raw[i] for i in self._encode_symbols(shown[:-1] + self.to_end[shown[-1]])])
 
     def _encode_chunk(self, chunk: str) -> bytes:
         """Ids of a run without white space, which no normalisation reaches across."""
         low = chunk.lower()
-        if low.isalpha() and (low.isascii() or max(low) < "\u0250"):
-            return self.words[low]
+        word = low.rstrip(MARKS)
+        if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+            if len(word) < len(low):  # marks after a word are a piece of their own
+                return self.chunks[word] + self.chunks[low[len(word) :]]
+            return self._encode_word(word) if word == chunk else self.chunks[word]
+        if not word and low == chunk:
+            return self._encode_word(chunk)
         # only the tokenizer knows how its own Unicode version orders recent marks
         if not chunk.isascii() and max(chunk) < chr(PLAIN_LIMIT) and not unicodedata.is_normalized("NFC", chunk):
             chunk = unicodedata.normalize("NFC", chunk)
