@@ -64,6 +64,28 @@ def test_bpe_random_words(tokenizer):
         assert model.encode(w).tolist() == tokenizer.encode(w, add_special_tokens=False).ids, w
 
 
+def test_bpe_full_tables(tokenizer, monkeypatch):
+    """Dictionaries and pair tables that are emptied all the time change nothing."""
+    for name in ("CACHE_CHUNKS", "CACHE_WORDS", "CACHE_PAIRS"):
+        monkeypatch.setattr(bpe, name, 7)
+    model, r = bpe.WordBpe(bpe.default_vocabulary()), random.Random(25)
+    for _ in range(2000):
+        t = "".join(r.choice("aeinorstTHé'ß,._!1  \n\x00\x1f\xa0²") for _ in range(r.randint(1, 60)))
+        assert model.encode(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
+def test_bpe_long_words(tokenizer):
+    """One word of a megabyte is encoded in linear time, with and without marks after it."""
+    model, r = bpe.word_bpe(bpe.default_vocabulary()), random.Random(35)
+    long = "".join(r.choice(["th", "ing", "sch", "ção", "x"]) for _ in range(400_000))
+    for t in (long, long + "?!", "a" * 1_000_000, "'" * 1_000_000):
+        began = time.time()
+        ids = model.encode(t)
+        assert time.time() - began < 20 and model.decode(ids).replace(" ", "") == tokenizer.decode(ids.tolist(), skip_special_tokens=False).replace(" ", "")
+    part = long[:3000]
+    assert model.encode(part).tolist() == tokenizer.encode(part, add_special_tokens=False).ids
+
+
 def test_bpe_recent_marks(tokenizer):
     """Marks that the tokenizer's Unicode version may not know, before and after older ones."""
     model, r = bpe.word_bpe(bpe.default_vocabulary()), random.Random(15)
