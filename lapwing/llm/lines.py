@@ -3,10 +3,17 @@
 Two lines are near-copies if their edit distance is at most the threshold of the longer
 one: a tenth of its length, ``BANDS`` at most. Cut the shorter one into threshold + 1
 segments: an edit spoils one segment at most, so one of them occurs in the longer line,
-shifted by no more than the edits left and right of it allow. Each line files its
-segments under (threshold, length, number, segment) and asks for its own substrings that
-could be a segment of a line as long or shorter, at the few shifts that can matter. Lines
-that meet are verified by a banded bit-parallel edit distance.
+shifted by no more than the edits left and right of it allow.
+
+Where a line has enough words, its content cuts it: a segment ends at a space before one
+of ``STARTS``. Such places are two apart at least, so an edit spoils two segments at most,
+and two lines share all but 2 * threshold of either's, wherever they lie. Their first common
+one, the longest first, is among the first 2 * threshold + 1 of both: a line is filed under
+these few, with no shifts to ask for. That finds each pair of which one line has so many
+segments. Lines that have fewer file equal parts besides, under (threshold, length, number,
+segment), and ask for their own substrings that could be a part of a line as long or
+shorter, at the few shifts that can matter. Lines that meet are verified by a banded
+bit-parallel edit distance.
 
 A bucket in which more than ``HOT`` lines meet as many is not compared pair by pair. What
 its lines share is taken out: the segment, then what all of them begin and end with. What
@@ -27,7 +34,7 @@ doc_id, have their lines each; exactly one line of a class is kept.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lapwing.llm.common import dropped, staged, table
@@ -35,12 +42,19 @@ from lapwing.llm.graph import components
 
 #: (least length, threshold), in order: a tenth of the length, two at most.
 BANDS = ((10, 1), (40, 2))
-#: Lines on the smaller side of a bucket that is compared pair by pair.
-HOT = 8
+#: Lines on the smaller side of a bucket that is compared pair by pair: so many comparisons
+#: of signs cost a line less than its next keys, a dozen with a copy of the text.
+HOT = 64
+#: A segment cut by content ends at a space before one of these. A space is none of them.
+STARTS = "aeiouAEIOU"
 #: Lines with more than this part of all places are labelled by a broadcast.
 PARTS = 1024
 #: Characters whose counts are compared before a pair is verified.
-LETTERS = "eanr"
+LETTERS = "eanrt"
+#: The same for lines in large buckets, which are often copies with a word changed.
+CROWD_LETTERS = "etaoinshrdlcmkbf"
+#: Those whose counts are compared before the texts of a pair are.
+MORE_LETTERS = "etaoinshrdlucmpfgwybv. ,;0123456789"
 
 
 def _ranges(bands: tuple) -> list[tuple[int, int, int]]:
@@ -75,15 +89,65 @@ def specs_sql(bands: tuple) -> str:
     return f"CASE {' '.join(cases)} END"
 
 
-def keyed_lines(lines: DataFrame, bands: tuple) -> DataFrame:
-    """The lines' rows (id, line, n, ...) with own, threshold, d, at, size and the key k of
-    each substring that one files or asks for."""
+def _equal_parts(lines: DataFrame, bands: tuple) -> DataFrame:
+    """The lines' rows (id, line, n, ...) with own, ask, threshold, ends, at, size and the key k
+    of each substring that one files or asks for; ``ends`` is the length of what is compared."""
     # four bytes for each code point: a substring is cut without counting through the line
     t = lines.withColumn("_points", F.encode("line", "UTF-32")).selectExpr("*", f"inline({specs_sql(bands)})").withColumn("base", F.expr("int((n - d) div (threshold + 1))"))
     longer = "(threshold + 1 - (n - d) % (threshold + 1))"  # segments from this number on are longer by one
     t = t.selectExpr("*", f"number * base + greatest(0, number - {longer}) + shift AS at", f"base + CASE WHEN number >= {longer} THEN 1 ELSE 0 END AS size")
     t = t.where("n > d AND size > 0 AND at >= 0 AND at + size <= n")
-    return t.withColumn("k", F.expr("xxhash64(threshold, n - d, number, substr(_points, 4 * at + 1, 4 * size))")).drop("base", "number", "shift", "_points")
+    t = t.withColumn("k", F.expr("xxhash64(threshold, n - d, number, substr(_points, 4 * at + 1, 4 * size))"))
+    return t.selectExpr(*lines.columns, "k", "own", "1 - own AS ask", "threshold", "n - d AS ends", "at", "size")
+
+
+def _most_sql(bands: tuple) -> str:
+    """The greatest threshold that a line of n code points can have with a longer one."""
+    return "CASE " + " ".join(f"WHEN n >= {lo - k} THEN {k}" for k, lo, _ in reversed(_ranges(bands))) + " ELSE 0 END"
+
+
+def _segment_sql(segment: str) -> str:
+    """A key of a segment: 48 bits of its hash below its length, so that the longest comes first."""
+    return f"shiftleft(bigint(~octet_length({segment})), 48) | (xxhash64({segment}) & {2**48 - 1})"
+
+
+def _by_content(lines: DataFrame, bands: tuple) -> DataFrame:
+    """The lines with their segments cut by content, the hashes of the first ones (``firsts``),
+    and whether these are enough to find each pair of the line (``enough``)."""
+    t = lines.withColumn("segments", F.split("line", f" (?=[{STARTS}])")).withColumn("most", F.expr(_most_sql(bands)))
+    # in an order that is the same for all lines; equal segments count as often as they occur
+    ordered = f"sort_array(transform(segments, c -> {_segment_sql('c')}))"
+    return t.selectExpr(*lines.columns, "segments", f"array_distinct(slice({ordered}, 1, 2 * most + 1)) AS firsts", "size(segments) > 2 * most AS enough")
+
+
+def _first_keys(lines: DataFrame, bands: tuple) -> DataFrame:
+    """(k, id, sign, own, ask): the keys of a line by content, and those of its equal parts where it needs them."""
+    t = _by_content(lines, bands)
+    content = "transform(firsts, h -> named_struct('k', h, 'own', 1, 'ask', 1))"
+    base, longer = "int((n - x.d) div (x.threshold + 1))", "(x.threshold + 1 - (n - x.d) % (x.threshold + 1))"
+    placed = f"transform({specs_sql(bands)}, x -> struct(x, x.number * {base} + greatest(0, x.number - {longer}) + x.shift AS at, {base} + IF(x.number >= {longer}, 1, 0) AS size))"
+    fitting = f"filter({placed}, y -> n > y.x.d AND y.size > 0 AND y.at >= 0 AND y.at + y.size <= n)"
+    parts = f"transform({fitting}, y -> named_struct('k', xxhash64(y.x.threshold, n - y.x.d, y.x.number, substr(points, 4 * y.at + 1, 4 * y.size)), 'own', y.x.own, 'ask', 1 - y.x.own))"
+    # bound once: inside the inner function the line would be encoded anew for each key
+    parts = f"transform(array(encode(line, 'UTF-32')), points -> {parts})[0]"
+    return t.selectExpr("id", "sign", f"inline(IF(enough, {content}, concat({content}, {parts})))")
+
+
+def _content_rows(lines: DataFrame, large: DataFrame, bands: tuple) -> DataFrame:
+    """Rows as ``_equal_parts`` makes them, of segments cut by content that are keys of
+    ``large``; lines meet again if what is left of them can be within the threshold by length."""
+    firsts = _by_content(lines, bands).select(*lines.columns, "segments", F.explode("firsts").alias("first"))
+    t = firsts.join(large, firsts["first"] == large["k"], "left_semi")
+    # a segment that occurs again can be the one in the other line, too
+    t = t.selectExpr("*", "posexplode(segments) AS (i, segment)").where(f"({_segment_sql('segment')}) = first")
+    t = t.selectExpr("*", "length(array_join(slice(segments, 1, i), ' ')) + IF(i > 0, 1, 0) AS at", "length(segment) AS size")
+    cases = []
+    for k, lo, beyond in _ranges(bands):
+        listed = lambda rows: "array(" + ", ".join(f"named_struct('own', {own}, 'threshold', {k}, 'd', {d})" for own, d in rows) + ")"  # noqa: B023, E731
+        asks = [(0, d) for d in range(k + 1)]
+        cases.append(f"CASE WHEN n >= {lo} AND n < {beyond} THEN {listed([(1, 0), *asks])} WHEN n >= {lo - k} AND n < {lo} THEN {listed([(1, 0)])} ELSE {listed([])} END")
+    t = t.selectExpr("*", f"inline(concat({', '.join(cases)}))").where("n - d >= size")
+    return t.selectExpr(*lines.columns, "xxhash64(first, threshold, n - d) AS k", "own", "1 - own AS ask", "threshold", "n - d AS ends", "at", "size")
 
 
 def within_sql(a: str, b: str, threshold: int) -> str:
@@ -116,35 +180,50 @@ def text_lines(docs: DataFrame) -> DataFrame:
 
 
 def _met(keyed: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
-    """Of rows (k, id, own, ...), each line once in each bucket where lines meet, with the
-    numbers of lines that file (n_own) and ask (n_ask). One exchange by k serves it all."""
-    dealt = keyed.repartition("k")
-    # all columns are read, so that both sides are one exchange
-    read = [F.max(F.hash(*[F.col(c) for c in dealt.columns])).alias("all")]
-    ends = dealt.groupBy("k").agg(F.max("own").alias("own"), F.min("own").alias("ask"), F.min("id").alias("lo"), F.max("id").alias("hi"), *read).where("all IS NOT NULL")
-    met = dealt.join(ends.where("own = 1 AND ask = 0 AND lo <> hi").select("k").hint("shuffle_hash"), "k", "left_semi")
-    each = staged(met.groupBy("k", "id", "sign", *more).agg(F.max("own").alias("own"), F.max(1 - F.col("own")).alias("ask")), "line-met")
-    sizes = each.groupBy("k").agg(F.sum("own").alias("n_own"), F.sum("ask").alias("n_ask"))
-    return each.join(sizes, "k")
+    """Of rows (k, id, sign, own, ask, ...), each line once in each bucket where lines meet, with
+    the numbers of lines that file (n_own) and ask (n_ask). One exchange by k serves it all."""
+    each = keyed.repartition("k").groupBy("k", "id", "sign", *more).agg(F.max("own").alias("own"), F.max("ask").alias("ask"))
+    bucket = Window.partitionBy("k")
+    sizes = {"n_own": F.sum("own").over(bucket), "n_ask": F.sum("ask").over(bucket), "lo": F.min("id").over(bucket), "hi": F.max("id").over(bucket)}
+    return each.withColumns(sizes).where("n_own > 0 AND n_ask > 0 AND lo <> hi").drop("lo", "hi")
+
+
+def _count_sql(letter: str) -> str:
+    return f"(octet_length(line) - octet_length(replace(line, '{letter}', '')))"
 
 
 def sign_sql() -> str:
-    """Counts of ``LETTERS``, four bits each: how far two counts lie apart around a circle
-    of 16 is no more than they differ."""
-    return "int(" + " | ".join(f"shiftleft((length(line) - length(replace(line, '{c}', ''))) & 15, {4 * k})" for k, c in enumerate(LETTERS)) + ")"
+    """Counts of ``LETTERS``, four bits each, and eight bits of the length."""
+    counts = [f"shiftleft({_count_sql(c)} & 15, {4 * k})" for k, c in enumerate(LETTERS)]
+    return "int(" + " | ".join([*counts, f"shiftleft(n & 255, {4 * len(LETTERS)})"]) + ")"
+
+
+def crowd_sign_sql() -> str:
+    """Counts of ``CROWD_LETTERS``, four bits each."""
+    return " | ".join(f"shiftleft(bigint({_count_sql(c)} & 15), {4 * k})" for k, c in enumerate(CROWD_LETTERS))
+
 
+def _apart_sql(a: str, b: str, bits: int, at: int = 0) -> str:
+    """How far the counts of so many bits from bit ``at`` on lie apart around their circle: no more than they differ."""
+    part = lambda x: f"(shiftrightunsigned({x}, {at}) & {2**bits - 1})"
+    return f"least(({part(a)} - {part(b)}) & {2**bits - 1}, ({part(b)} - {part(a)}) & {2**bits - 1})"
 
-def _apart_sql(a: str, b: str) -> str:
-    nibble = lambda x, k: f"(shiftrightunsigned({x}, {4 * k}) & 15)"
-    return " + ".join(f"least(({nibble(a, k)} - {nibble(b, k)}) & 15, ({nibble(b, k)} - {nibble(a, k)}) & 15)" for k in range(len(LETTERS)))
 
+def _near_sql(threshold: int) -> str:
+    """False if letters or lengths of signs differ by more than edits can change."""
+    letters = " + ".join(_apart_sql("a_sign", "b_sign", 4, 4 * k) for k in range(len(LETTERS)))
+    return f"{_apart_sql('a_sign', 'b_sign', 8, 4 * len(LETTERS))} <= {threshold} AND {letters} <= {2 * threshold}"
 
-def _pairs(met: DataFrame, hot: int, threshold: int) -> DataFrame:
-    """(a, b): lines that meet in a small bucket and whose letters differ by no more than edits can change."""
+
+def _near_crowd_sql(threshold: int) -> str:
+    return " + ".join(_apart_sql("a_sign", "b_sign", 4, 4 * k) for k in range(len(CROWD_LETTERS))) + f" <= {2 * threshold}"
+
+
+def _pairs(met: DataFrame, hot: int, near: str) -> DataFrame:
+    """(a, b): lines that meet in a small bucket and whose signs are near."""
     cold = met.where(f"least(n_own, n_ask) <= {hot}")
     a, b = (cold.where(f"{side} = 1").select("k", F.col("id").alias(x), F.col("sign").alias(f"{x}_sign")) for side, x in (("own", "a"), ("ask", "b")))
-    near = F.expr(f"a <> b AND {_apart_sql('a_sign', 'b_sign')} <= {2 * threshold}")
-    return a.join(b, "k").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return a.join(b, "k").where("a <> b").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _shared_sql(low: str, high: str) -> str:
@@ -174,24 +253,25 @@ def _trimmed(rows: DataFrame) -> DataFrame:
 def _cut_again(hot: DataFrame, bands: tuple) -> DataFrame:
     """The next keys of rows (k, id, sign, own, ask, long, threshold, own_length, rest, cuts):
     own_length is the length of the rests that are filed."""
-    cases = []
+    listed = lambda rows: "array(" + ", ".join("named_struct('files', {}, 'd', {}, 'number', {}, 'shift', {}, 'place', {})".format(*r) for r in rows) + ")"
+    cases, none = [], f"slice({listed([(1, 0, 0, 0, -1)])}, 1, 0)"
     for threshold in sorted({k for _, k in bands}):
-        rows = [(1, 0, i, 0, -1) for i in range(threshold + 1)]
-        rows += [(0, d, i, x, -1) for d in range(threshold + 1) for i in range(threshold + 1) for x in range(-threshold, threshold + 1) if abs(x) <= i and abs(d - x) <= threshold - i]
+        # a row makes those keys only that fit its rest: how much longer than the filed ones it is, is known
+        files = listed([(1, 0, i, 0, -1) for i in range(threshold + 1)])
+        asks = " ".join(f"WHEN {d} THEN " + listed([(0, d, i, x, -1) for i in range(threshold + 1) for x in range(-threshold, threshold + 1) if abs(x) <= i and abs(d - x) <= threshold - i]) for d in range(threshold + 1))
+        by_segment = f"concat(IF(own = 1, {files}, {none}), CASE IF(ask = 1, n - own_length, -1) {asks} ELSE {none} END)"
         # too short for segments of a character each: what differs at another place shares a character
-        rows += [(1, 0, 100 + x, 0, x) for x in range(threshold)] + [(0, 0, 100 + x, 0, y) for x in range(threshold) for y in range(2 * threshold)]
-        listed = ", ".join("named_struct('files', {}, 'd', {}, 'number', {}, 'shift', {}, 'place', {})".format(*r) for r in rows)
-        cases.append(f"WHEN {threshold} THEN array({listed})")
-    t = hot.withColumn("n", F.length("rest")).selectExpr("*", f"inline(CASE threshold {' '.join(cases)} END)")
-    by_segment = "place < 0 AND own_length > threshold AND IF(files = 1, own = 1, ask = 1 AND n - d = own_length)"
-    by_character = "place >= 0 AND own_length <= threshold AND n > place AND own_length > number - 100 AND IF(files = 1, own = 1, ask = 1)"
-    t = t.where(f"({by_segment}) OR ({by_character})").withColumn("base", F.expr("int((n - d) div (threshold + 1))"))
+        places = [(1, 0, 100 + x, 0, x) for x in range(threshold)], [(0, 0, 100 + x, 0, y) for x in range(threshold) for y in range(2 * threshold)]
+        by_character = f"concat(IF(own = 1, {listed(places[0])}, {none}), IF(ask = 1, {listed(places[1])}, {none}))"
+        fits = "x -> x.place < n AND own_length > x.number - 100"
+        cases.append(f"WHEN {threshold} THEN IF(own_length > {threshold}, {by_segment}, filter({by_character}, {fits}))")
+    t = hot.withColumn("n", F.length("rest")).selectExpr("*", f"inline(CASE threshold {' '.join(cases)} END)").withColumn("base", F.expr("int((n - d) div (threshold + 1))"))
     longer = "(threshold + 1 - (n - d) % (threshold + 1))"
     t = t.selectExpr("*", f"IF(place >= 0, place, number * base + greatest(0, number - {longer}) + shift) AS at", f"IF(place >= 0, 1, base + IF(number >= {longer}, 1, 0)) AS size")
     t = t.where("n > d AND size > 0 AND at >= 0 AND at + size <= n")
     inner = "transform(filter(cuts, c -> c > at AND c < at + size), c -> c - at)"
     moved = "transform(cuts, c -> CASE WHEN c <= at THEN c WHEN c >= at + size THEN c - size ELSE at END)"
-    return t.selectExpr(f"xxhash64(k, number, substr(rest, at + 1, size), {inner}) AS k", "id", "sign", "files AS own", "long", "threshold", "own_length - size AS own_length", "concat(left(rest, at), substr(rest, at + size + 1)) AS rest", f"array_sort(concat({moved}, array(at))) AS cuts")
+    return t.selectExpr(f"xxhash64(k, number, substr(rest, at + 1, size), {inner}) AS k", "id", "sign", "files AS own", "1 - files AS ask", "long", "threshold", "own_length - size AS own_length", "concat(left(rest, at), substr(rest, at + size + 1)) AS rest", f"array_sort(concat({moved}, array(at))) AS cuts")
 
 
 def _stars(crowd: DataFrame) -> DataFrame:
@@ -212,17 +292,20 @@ def _stars(crowd: DataFrame) -> DataFrame:
     return near.select(F.col("id").alias("a"), "b").distinct()
 
 
-def _hot_links(lines: DataFrame, met: DataFrame, bands: tuple, hot: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """(candidate pairs, links) of the buckets that are too large for pairs, a table for each level."""
-    large = staged(met.where(f"least(n_own, n_ask) > {hot}").select("k", "id"), "line-hot")
+def _hot_links(texts: DataFrame, large: DataFrame, bands: tuple, hot: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(candidate pairs, links) of the buckets that are too large for pairs, a table for each level:
+    ``large`` has their rows (k, id), ``texts`` the lines of these and others."""
     if large.isEmpty():
         return [], []
-    texts = staged(lines.join(large.select("id").distinct(), "id", "left_semi").groupBy("id", "line").agg(F.first("n").alias("n"), F.first("sign").alias("sign")), "line-hot-texts")
+    texts = texts.join(large.select("id").distinct(), "id", "left_semi").withColumn("sign", F.expr(crowd_sign_sql()))
+    texts = staged(texts, "line-hot-texts")
     # the first keys again, now with what the segment leaves of the line; keys that met no crowd are left out
+    keys = staged(large.select("k").distinct(), "line-hot-keys")
     long = "CASE threshold " + " ".join(f"WHEN {k} THEN n >= {lo}" for k, lo, _ in _ranges(bands)) + " END AS long"
-    rows = keyed_lines(texts, bands).join(large.select("k").distinct(), "k", "left_semi")
-    rows = rows.selectExpr("k", "id", "sign", "own", long, "threshold", "n - d - size AS own_length", "concat(left(line, at), substr(line, at + size + 1)) AS rest", "array(at) AS cuts")
-    most = max(k for _, k in bands)
+    few = texts.join(_by_content(texts, bands).where("NOT enough").select("id"), "id", "left_semi")
+    rows = _equal_parts(few, bands).join(keys, "k", "left_semi").unionByName(_content_rows(texts, keys, bands))
+    rows = rows.selectExpr("k", "id", "sign", "own", "ask", long, "threshold", "ends - size AS own_length", "concat(left(line, at), substr(line, at + size + 1)) AS rest", "array(at) AS cuts")
+    near = _near_crowd_sql(max(k for _, k in bands))
     pairs, stars = [], []
     state = ("long", "threshold", "own_length", "rest", "cuts")
     while True:
@@ -231,7 +314,7 @@ def _hot_links(lines: DataFrame, met: DataFrame, bands: tuple, hot: int) -> tupl
             return pairs, stars
         crowd = staged(_trimmed(found.where(f"least(n_own, n_ask) > {hot}").select("k", "id", "sign", "own", "ask", *state)), "line-crowd")
         stars.append(staged(_stars(crowd), "line-stars"))
-        pairs.append(staged(_pairs(found, hot, most), "line-pairs"))
+        pairs.append(staged(_pairs(found, hot, near), "line-pairs"))
         dropped(found)
         rows = _cut_again(crowd, bands)
 
@@ -245,22 +328,29 @@ def edit_links(docs: DataFrame, bands: tuple = BANDS, hot: int = HOT) -> DataFra
     """(a, b): 128-bit hashes of different lines within the longer one's threshold, enough of
     them to connect all that are (within small buckets, all)."""
     lines = text_lines(docs).select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("n")).where(f"n >= {bands[0][0] - bands[0][1]}")
-    lines = lines.withColumn("sign", F.expr(sign_sql()))
-    met = staged(_met(keyed_lines(lines, bands).select("k", "id", "sign", "own")), "line-keys")
-    most = max(k for _, k in bands)
-    pairs, stars = _hot_links(lines, met, bands, hot)
-    pairs.append(staged(_pairs(met, hot, most), "line-pairs"))
-    ends = _together([*pairs, *stars]).distinct()
-    wanted = staged(ends.select(F.col("a").alias("id")).union(ends.select(F.col("b").alias("id"))).distinct(), "line-wanted")
-    texts = lines.join(wanted, "id", "left_semi").groupBy("id", "line").agg(F.first("n").alias("n"))
-    texts = staged(texts.selectExpr("id", "line", "n", "md5(line) AS h"), "line-texts")
-    a, b = ([F.col("id").alias(x), F.struct("line", "n", "h").alias(y)] for x, y in (("a", "p"), ("b", "q")))
+    keyed = _first_keys(lines.withColumn("sign", F.expr(sign_sql())), bands)
+    met = staged(_met(keyed), "line-keys")
+    first = staged(_pairs(met, hot, _near_sql(max(k for _, k in bands))), "line-pairs")
+    large = staged(met.where(f"least(n_own, n_ask) > {hot}").select("k", "id"), "line-hot")
+    dropped(met)
+    # all texts that any later step reads are fetched once
+    ids = lambda ends: ends.select(F.col("a").alias("id")).union(ends.select(F.col("b").alias("id")))
+    asked = staged(ids(first).union(large.select("id")).distinct(), "line-asked")
+    found = lines.join(asked.hint("shuffle_hash"), "id", "left_semi").groupBy("id", "line").agg(F.first("n").alias("n"))
+    found = staged(found, "line-found")
+    pairs, stars = _hot_links(found, large, bands, hot)
+    ends = _together([first, *pairs, *stars]).distinct()
+    wanted = staged(ids(ends).distinct(), "line-wanted")
+    counts = "array(" + ", ".join(f"{_count_sql(c)}" for c in MORE_LETTERS) + ") AS counts"
+    texts = staged(found.join(wanted, "id", "left_semi").selectExpr("id", "line", "n", "md5(line) AS h", counts), "line-texts")
+    a, b = ([F.col("id").alias(x), F.struct("line", "n", "h", "counts").alias(y)] for x, y in (("a", "p"), ("b", "q")))
     both = ends.join(texts.select(*a), "a").join(texts.select(*b), "b")
     threshold = threshold_sql("greatest(p.n, q.n)", bands)
     cases = " ".join(f"WHEN {k} THEN {within_sql('c.x', 'c.y', k)}" for k in sorted({k for _, k in bands}))
     # characters are bound once: inside the fold they would be split anew at each step
     near = f"transform(array(struct(split(p.line, '') AS x, split(q.line, '') AS y)), c -> CASE {threshold} {cases} ELSE false END)[0]"
-    return both.where(f"abs(p.n - q.n) <= {threshold}").where(near).selectExpr("p.h AS a", "q.h AS b")
+    counted = f"aggregate(zip_with(p.counts, q.counts, (x, y) -> abs(x - y)), 0, (s, x) -> s + x) <= 2 * {threshold}"
+    return both.where(f"abs(p.n - q.n) <= {threshold}").where(counted).where(near).selectExpr("p.h AS a", "q.h AS b")
 
 
 def line_dedup(docs: DataFrame, bands: tuple = BANDS, hot: int = HOT) -> DataFrame:

@@ -133,3 +133,40 @@ def test_odd_rows(spark):
     assert sum(r["kept"] for r in got) == 4  # the long line, other, short, one of the huge ones
     assert lines.line_dedup(d.limit(0)).count() == 0
     assert lines.line_dedup(d.where("doc_id IN (2, 3, 4)")).count() == 0
+
+
+def wordy(seed, groups, low, high, per=6, edits=2):
+    r, found = random.Random(seed), set()
+    word = lambda: "".join(r.choice("taoinshrdlué") for _ in range(r.randint(1, 8)))
+    for _ in range(groups):
+        base = " ".join(word() for _ in range(r.randint(low, high)))
+        found.add(base)
+        for _ in range(per):
+            s = list(base)
+            for _ in range(r.randint(1, edits)):
+                k = r.randrange(len(s))
+                s[k : k + r.randint(0, 1)] = r.choice(["a", " ", "", " a", "é"])
+            found.add("".join(s))
+    return sorted(found)
+
+
+def test_lines_of_words_file_few_keys(spark):
+    """Five keys each and none to ask for; lines two edits apart share one of them if either has enough segments."""
+    texts = wordy(12, 30, 20, 60)
+    rows = spark.createDataFrame([(i, x, len(x), 0) for i, x in enumerate(texts)], "id long, line string, n int, sign int")
+    keys = {}
+    for r in lines._first_keys(rows, lines.BANDS).collect():
+        keys.setdefault(r["id"], []).append(r["k"])
+    enough = {r["id"] for r in lines._by_content(rows, lines.BANDS).where("enough").select("id").collect()}
+    assert len(enough) > 0.5 * len(texts) and all(len(keys[i]) <= 5 for i in enough)
+    near = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if abs(len(texts[i]) - len(texts[j])) <= 2 and texts[i][:4] == texts[j][:4] and distance(texts[i], texts[j]) <= 2]
+    assert near and all(set(keys[i]) & set(keys[j]) for i, j in near if i in enough or j in enough)
+
+
+def test_crowded_words(spark):
+    """Buckets of segments cut by content that are too large for pairs; a segment that occurs twice."""
+    texts = wordy(13, 2, 24, 30, per=40) + wordy(14, 2, 1, 9, per=20)
+    texts += [" ".join(["onward", "under the rain"] * 4)[:70] + x for x in ("", " a", "b", " of it", "ab")]
+    texts = sorted(set(x for x in texts if x))
+    got = lines.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), hot=2).collect()
+    assert got_classes(got, {(i, 0): x for i, x in enumerate(texts)}) == classes_of(texts, lines.BANDS)
