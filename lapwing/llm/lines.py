@@ -5,9 +5,8 @@ one: a tenth of its length, ``BANDS`` at most. Cut the shorter one into threshol
 segments: an edit spoils one segment at most, so one of them occurs in the longer line,
 shifted by no more than the edits left and right of it allow.
 
-Where a line has enough words, its content cuts it: a segment ends at a space before one
-of ``STARTS``. Such places are two apart at least, so an edit spoils two segments at most,
-and two lines share all but 2 * threshold of either's, wherever they lie. Their first common
+Where a line has enough places to do so, its content cuts it: a segment ends at each ``CUT``.
+An edit spoils two segments at most, and two lines share all but 2 * threshold of either's, wherever they lie. Their first common
 one, the longest first, is among the first 2 * threshold + 1 of both: a line is filed under
 these few, with no shifts to ask for. That finds each pair of which one line has so many
 segments. Lines that have fewer file equal parts besides, under (threshold, length, number,
@@ -15,8 +14,11 @@ segment), and ask for their own substrings that could be a part of a line as lon
 shorter, at the few shifts that can matter. Lines that meet are verified by a banded
 bit-parallel edit distance.
 
-A bucket in which more than ``HOT`` lines meet as many is not compared pair by pair. What
-its lines share is taken out: the segment, then what all of them begin and end with. What
+A bucket in which more than ``HOT`` lines meet as many is not compared pair by pair. An edit
+changes two counts of characters by one at most, so of 2 * threshold + 1 sets of characters
+two lines have the same counts in one: the bucket is dealt out by these first. That parts
+copies with words changed. Lines that more than ``CROWD`` times as many still meet, such as
+those that differ in a number, go on in their first bucket. What its lines share is taken out: the segment, then what all of them begin and end with. What
 is left, with the places where something was taken out, is cut and joined again within
 the bucket, until buckets are small, or no more characters than the threshold are left;
 lines that these are left of at the same places are linked by a star. So lines that differ
@@ -45,14 +47,20 @@ BANDS = ((10, 1), (40, 2))
 #: Lines on the smaller side of a bucket that is compared pair by pair: so many comparisons
 #: of signs cost a line less than its next keys, a dozen with a copy of the text.
 HOT = 64
-#: A segment cut by content ends at a space before one of these. A space is none of them.
-STARTS = "aeiouAEIOU"
+#: Times ``HOT``: lines dealt out by their counts are narrow rows, and their next keys, with
+#: copies of the text on every level, cost more than so many comparisons of signs.
+CROWD = 8
+#: A segment cut by content ends at this character. A single one is found without a regular
+#: expression, and a frequent one of a language's writing leaves segments longer than a word.
+CUT = "n"
 #: Lines with more than this part of all places are labelled by a broadcast.
 PARTS = 1024
 #: Characters whose counts are compared before a pair is verified.
 LETTERS = "eanrt"
 #: The same for lines in large buckets, which are often copies with a word changed.
 CROWD_LETTERS = "etaoinshrdlcmkbf"
+#: More of them, beside eight bits of the length.
+CROWD_OTHERS = " ugpwvy.,jqxz-"
 #: Those whose counts are compared before the texts of a pair are.
 MORE_LETTERS = "etaoinshrdlucmpfgwybv. ,;0123456789"
 
@@ -114,7 +122,7 @@ def _segment_sql(segment: str) -> str:
 def _by_content(lines: DataFrame, bands: tuple) -> DataFrame:
     """The lines with their segments cut by content, the hashes of the first ones (``firsts``),
     and whether these are enough to find each pair of the line (``enough``)."""
-    t = lines.withColumn("segments", F.split("line", f" (?=[{STARTS}])")).withColumn("most", F.expr(_most_sql(bands)))
+    t = lines.withColumn("segments", F.split("line", CUT)).withColumn("most", F.expr(_most_sql(bands)))
     # in an order that is the same for all lines; equal segments count as often as they occur
     ordered = f"sort_array(transform(segments, c -> {_segment_sql('c')}))"
     return t.selectExpr(*lines.columns, "segments", f"array_distinct(slice({ordered}, 1, 2 * most + 1)) AS firsts", "size(segments) > 2 * most AS enough")
@@ -135,12 +143,12 @@ def _first_keys(lines: DataFrame, bands: tuple) -> DataFrame:
 
 def _content_rows(lines: DataFrame, large: DataFrame, bands: tuple) -> DataFrame:
     """Rows as ``_equal_parts`` makes them, of segments cut by content that are keys of
-    ``large``; lines meet again if what is left of them can be within the threshold by length."""
+    their lines in ``large``; lines meet again if what is left of them can be within the threshold by length."""
     firsts = _by_content(lines, bands).select(*lines.columns, "segments", F.explode("firsts").alias("first"))
-    t = firsts.join(large, firsts["first"] == large["k"], "left_semi")
+    t = firsts.join(large.withColumnRenamed("k", "first"), ["first", "id"], "left_semi")
     # a segment that occurs again can be the one in the other line, too
     t = t.selectExpr("*", "posexplode(segments) AS (i, segment)").where(f"({_segment_sql('segment')}) = first")
-    t = t.selectExpr("*", "length(array_join(slice(segments, 1, i), ' ')) + IF(i > 0, 1, 0) AS at", "length(segment) AS size")
+    t = t.selectExpr("*", f"length(array_join(slice(segments, 1, i), '{CUT}')) + IF(i > 0, 1, 0) AS at", "length(segment) AS size")
     cases = []
     for k, lo, beyond in _ranges(bands):
         listed = lambda rows: "array(" + ", ".join(f"named_struct('own', {own}, 'threshold', {k}, 'd', {d})" for own, d in rows) + ")"  # noqa: B023, E731
@@ -203,6 +211,12 @@ def crowd_sign_sql() -> str:
     return " | ".join(f"shiftleft(bigint({_count_sql(c)} & 15), {4 * k})" for k, c in enumerate(CROWD_LETTERS))
 
 
+def crowd_more_sql() -> str:
+    """Counts of ``CROWD_OTHERS``, four bits each, and above them eight bits of the length."""
+    counts = [f"shiftleft(bigint({_count_sql(c)} & 15), {4 * k})" for k, c in enumerate(CROWD_OTHERS)]
+    return " | ".join([*counts, f"shiftleft(bigint(n & 255), {4 * len(CROWD_OTHERS)})"])
+
+
 def _apart_sql(a: str, b: str, bits: int, at: int = 0) -> str:
     """How far the counts of so many bits from bit ``at`` on lie apart around their circle: no more than they differ."""
     part = lambda x: f"(shiftrightunsigned({x}, {at}) & {2**bits - 1})"
@@ -219,6 +233,31 @@ def _near_crowd_sql(threshold: int) -> str:
     return " + ".join(_apart_sql("a_sign", "b_sign", 4, 4 * k) for k in range(len(CROWD_LETTERS))) + f" <= {2 * threshold}"
 
 
+def _count_sets(threshold: int) -> list[tuple[int, int]]:
+    """The bits of each set of characters in ``sign`` and ``more``: two lines have the same in one set.
+    Frequent characters and rare ones are dealt out evenly."""
+    sets = 2 * threshold + 1
+    dealt = lambda letters, j: sum(15 << (4 * i) for i in range(len(letters)) if j == (i % sets if i // sets % 2 == 0 else sets - 1 - i % sets))
+    masks = [(dealt(CROWD_LETTERS, j), dealt(CROWD_OTHERS, j)) for j in range(sets)]
+    return [(a - 2**64 if a >= 2**63 else a, b) for a, b in masks]
+
+
+def _counted_pairs(met: DataFrame, most: int, threshold: int) -> DataFrame:
+    """(a, b): lines that meet in a bucket of counts, most of them at most on its smaller side,
+    and whose signs are near; each once in a first bucket, for the first set that they share."""
+    cold = met.where(f"least(n_own, n_ask) <= {most}")
+    sides = (("own", "a", "ask AS a_too"), ("ask", "b", "own AS b_too"))
+    a, b = (cold.where(f"{side} = 1").selectExpr("k", *(["number"] if x == "a" else []), f"id AS {x}", f"sign AS {x}_sign", f"more AS {x}_more", too) for side, x, too in sides)
+    x, y = "(a_sign ^ b_sign)", "(a_more ^ b_more)"
+    differ = lambda z, n: f"bit_count(({z} | shiftrightunsigned({z}, 1) | shiftrightunsigned({z}, 2) | shiftrightunsigned({z}, 3)) & {int('1' * n, 16)})"
+    length = _apart_sql("a_more", "b_more", 8, 4 * len(CROWD_OTHERS))
+    # an insertion or deletion changes one count only
+    near = f"{differ(x, len(CROWD_LETTERS))} + {differ(y, len(CROWD_OTHERS))} + {length} <= {2 * threshold} AND {length} <= {threshold} AND {_near_crowd_sql(threshold)}"
+    first = " AND ".join(f"(number <= {j} OR ({x} & {p}) <> 0 OR ({y} & {q}) <> 0)" for j, (p, q) in enumerate(_count_sets(threshold)))
+    once = "(a < b OR a > b AND (a_too = 0 OR b_too = 0))"
+    return a.join(b, "k").where(f"{once} AND {near} AND {first}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _pairs(met: DataFrame, hot: int, near: str) -> DataFrame:
     """(a, b): lines that meet in a small bucket and whose signs are near."""
     cold = met.where(f"least(n_own, n_ask) <= {hot}")
@@ -294,19 +333,27 @@ def _stars(crowd: DataFrame) -> DataFrame:
 
 def _hot_links(texts: DataFrame, large: DataFrame, bands: tuple, hot: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """(candidate pairs, links) of the buckets that are too large for pairs, a table for each level:
-    ``large`` has their rows (k, id), ``texts`` the lines of these and others."""
+    ``large`` has their rows (k, id, own, ask), ``texts`` the lines of these and others."""
     if large.isEmpty():
         return [], []
-    texts = texts.join(large.select("id").distinct(), "id", "left_semi").withColumn("sign", F.expr(crowd_sign_sql()))
+    threshold = max(k for _, k in bands)
+    texts = texts.join(large.select("id").distinct(), "id", "left_semi").withColumns({"sign": F.expr(crowd_sign_sql()), "more": F.expr(crowd_more_sql())})
     texts = staged(texts, "line-hot-texts")
-    # the first keys again, now with what the segment leaves of the line; keys that met no crowd are left out
-    keys = staged(large.select("k").distinct(), "line-hot-keys")
+    sets = ", ".join(f"xxhash64(k, {j}, sign & {p}, more & {q})" for j, (p, q) in enumerate(_count_sets(threshold)))
+    counted = large.join(texts.select("id", "sign", "more"), "id").selectExpr("k AS bucket", "id", "sign", "more", "own", "ask", f"posexplode(array({sets})) AS (number, k)")
+    counted = staged(_met(counted, ("more", "number", "bucket")), "line-counted")
+    pairs, stars = [staged(_counted_pairs(counted, CROWD * hot, threshold), "line-pairs")], []
+    keys = staged(counted.where(f"least(n_own, n_ask) > {CROWD * hot}").select(F.col("bucket").alias("k"), "id").distinct(), "line-hot-keys")
+    dropped(counted)
+    if keys.isEmpty():
+        return pairs, stars
+    # the first keys again, now with what the segment leaves of the line; lines that met no crowd are left out
+    texts = texts.join(keys.select("id").distinct(), "id", "left_semi")
     long = "CASE threshold " + " ".join(f"WHEN {k} THEN n >= {lo}" for k, lo, _ in _ranges(bands)) + " END AS long"
     few = texts.join(_by_content(texts, bands).where("NOT enough").select("id"), "id", "left_semi")
-    rows = _equal_parts(few, bands).join(keys, "k", "left_semi").unionByName(_content_rows(texts, keys, bands))
+    rows = _equal_parts(few, bands).join(keys, ["k", "id"], "left_semi").unionByName(_content_rows(texts, keys, bands))
     rows = rows.selectExpr("k", "id", "sign", "own", "ask", long, "threshold", "ends - size AS own_length", "concat(left(line, at), substr(line, at + size + 1)) AS rest", "array(at) AS cuts")
-    near = _near_crowd_sql(max(k for _, k in bands))
-    pairs, stars = [], []
+    near = _near_crowd_sql(threshold)
     state = ("long", "threshold", "own_length", "rest", "cuts")
     while True:
         found = staged(_met(rows, state), "line-level")
@@ -331,7 +378,7 @@ def edit_links(docs: DataFrame, bands: tuple = BANDS, hot: int = HOT) -> DataFra
     keyed = _first_keys(lines.withColumn("sign", F.expr(sign_sql())), bands)
     met = staged(_met(keyed), "line-keys")
     first = staged(_pairs(met, hot, _near_sql(max(k for _, k in bands))), "line-pairs")
-    large = staged(met.where(f"least(n_own, n_ask) > {hot}").select("k", "id"), "line-hot")
+    large = staged(met.where(f"least(n_own, n_ask) > {hot}").select("k", "id", "own", "ask"), "line-hot")
     dropped(met)
     # all texts that any later step reads are fetched once
     ids = lambda ends: ends.select(F.col("a").alias("id")).union(ends.select(F.col("b").alias("id")))

@@ -170,3 +170,43 @@ def test_crowded_words(spark):
     texts = sorted(set(x for x in texts if x))
     got = lines.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), hot=2).collect()
     assert got_classes(got, {(i, 0): x for i, x in enumerate(texts)}) == classes_of(texts, lines.BANDS)
+
+
+def copies(seed, n, words):
+    """A line of so many words, with one or two of them exchanged in each copy; each fifth copy twice, two edits apart."""
+    r, found = random.Random(seed), set()
+    word = lambda: "".join(r.choice("etaoinshrdlumb") for _ in range(r.randint(4, 8)))
+    base = [word() for _ in range(words)]
+    for i in range(n):
+        s = list(base)
+        for _ in range(r.randint(1, 2)):
+            s[r.randrange(words)] = word()
+        text = " ".join(s)
+        found.add(text)
+        if i % 5 == 0:
+            k = r.randrange(len(text) - 1)
+            found.add(text[:k] + r.choice(["é", "x", ""]) + text[k + 1 :] + r.choice(["", "!"]))
+    return sorted(found)
+
+
+def test_copies_with_words_changed_take_no_levels(spark, monkeypatch):
+    """A crowd that is no number's is parted by its counts of characters, and not cut again level by level."""
+    texts, labels, staged = copies(15, 100, 11), [], lines.staged
+    monkeypatch.setattr(lines, "staged", lambda df, label, *more: labels.append(label) or staged(df, label, *more))
+    got = lines.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), hot=4).collect()
+    want = classes_of(texts, lines.BANDS)
+    assert got_classes(got, {(i, 0): x for i, x in enumerate(texts)}) == want and len(want) < len(texts)
+    assert "line-hot-texts" in labels and "line-level" not in labels
+
+
+@pytest.mark.parametrize("bands", [lines.BANDS, ((6, 1), (12, 2), (24, 3))])
+def test_near_lines_share_the_counts_of_a_set(spark, bands):
+    k = max(x for _, x in bands)
+    texts = variants(16, 8, 30, 60, letters="etaoinshré bz,.", per=6, edits=k) + ["e" * 40, "e" * 17 + "t" * 23, "e" * 38]
+    texts = [*texts, *(x[1:] + "q" for x in texts)]
+    rows = spark.createDataFrame([(x, len(x)) for x in texts], "line string, n int")
+    signs = [tuple(x) for x in rows.selectExpr(lines.crowd_sign_sql() + " AS sign", lines.crowd_more_sql() + " AS more").collect()]
+    sets = lines._count_sets(k)
+    near = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if abs(len(texts[i]) - len(texts[j])) <= k and distance(texts[i], texts[j]) <= k]
+    assert len(near) > 20 and len(sets) == 2 * k + 1
+    assert all(any((signs[i][0] ^ signs[j][0]) & p == 0 and (signs[i][1] ^ signs[j][1]) & q == 0 for p, q in sets) for i, j in near)
